@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 1 << 12
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,11 +86,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``size`` bytes, one row at least."""
+    """Row ranges of about ``size`` bytes, one row at least and ``BLOCK_ROWS`` at most."""
     row, n = 0, len(offsets) - 1
     while row < n:
         stop = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
-        stop = min(max(stop, row + 1), n)
+        stop = min(max(stop, row + 1), row + BLOCK_ROWS, n)
         yield row, stop
         row = stop
 

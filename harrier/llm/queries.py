@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.llm import byte_bpe, decontaminate, language_id
+from harrier.llm import byte_bpe, decontaminate, language_id, quality_fm, toxicity_nb
 from harrier.llm.sampling import remainder
 
 #: Rank file of the tokenizer; a parameter of the operator.
@@ -19,6 +19,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: At and above these scores a document counts as good, and as toxic.
+GOOD, TOXIC = 0.7, 0.5
+
+
+def _labels(spark: SparkSession, sf_dir: str, label: str, modulus: int, held: int) -> DataFrame:
+    """Labels that may be learned from, one for each document (of contradicting ones the smallest)."""
+    labels = _table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), modulus) != held)
+    return labels.groupBy("doc_id").agg(F.min(label).alias(label))
+
+
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_fm.learn(docs, _labels(spark, sf_dir, "quality", 4, 2))
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    return quality_fm.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity_nb.learn(docs, _labels(spark, sf_dir, "toxic", 5, 0))
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    return toxicity_nb.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -80,7 +104,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_fm": op3_quality_fm,
         "op4_decontaminate": op4_decontaminate,
+        "op5_toxicity": op5_toxicity,
         "op7_byte_bpe": op7_byte_bpe,
         "op10_language_id": op10_language_id,
     }
