@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.llm import byte_bpe, chat_format, decontaminate, language_id, quality_fm, toxicity_nb
+from harrier.llm import byte_bpe, chat_format, decontaminate, language_id, pii, quality_fm, toxicity_nb
 from harrier.llm.sampling import remainder
 
 #: Rank file of the tokenizer; a parameter of the operator.
@@ -136,6 +136,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(pii.count_kind("base", kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(pii.digest("base"), 256).alias("base_sha256"),
+        pii.digest("spans").alias("spans"),
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -151,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": op4_decontaminate,
         "op5_toxicity": op5_toxicity,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_pii": op8_pii,
         "op10_language_id": op10_language_id,
     }
 
