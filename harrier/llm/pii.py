@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrier.llm.components import checkpointed
+
 KINDS = ("email", "ip", "card", "phone")
 # Possessive quantifiers and \G keep the matches of the plain expressions but don't try the same run twice.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -153,10 +155,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int =
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     occurrences = mentions(rows)
     graph = occurrences.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    graph = graph.checkpoint()
+    graph = checkpointed(graph)
     known = None
     for _ in range(rounds):
-        known = _values(graph, _patterns(graph, known)).checkpoint()
+        known = checkpointed(_values(graph, _patterns(graph, known)))
     revealed = occurrences.where("kind IS NULL").select("id", "text_hash", "start", "end", "value").join(known.select("value", F.col("kind").alias("found")), "value")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("found")).cast("int") - 1
     more = revealed.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", rank.alias("rank"), "end", F.col("found").alias("kind"))).alias("more"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.llm import byte_bpe, chat_format, decontaminate, language_id, pii, quality_fm, toxicity_nb
+from harrier.llm import byte_bpe, chat_format, decontaminate, language_id, minhash_dedup, pii, quality_fm, toxicity_nb
 from harrier.llm.sampling import remainder
 
 #: Rank file of the tokenizer; a parameter of the operator.
@@ -61,6 +61,11 @@ FROM g
 """
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 #: At and above these scores a document counts as good, and as toxic.
 GOOD, TOXIC = 0.7, 0.5
 
@@ -157,6 +162,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_minhash_dedup": op2_minhash_dedup,
         "op3_quality_fm": op3_quality_fm,
         "op4_decontaminate": op4_decontaminate,
         "op5_toxicity": op5_toxicity,
