@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.llm import byte_bpe, chat_format, decontaminate, language_id, minhash_dedup, pii, quality_fm, toxicity_nb
+from harrier.llm import byte_bpe, chat_format, chunk_dedup, decontaminate, language_id, minhash_dedup, pii, quality_fm, toxicity_nb
 from harrier.llm.sampling import remainder
 
 #: Rank file of the tokenizer; a parameter of the operator.
@@ -151,6 +151,20 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunk_dedup.repeats(_table(spark, sf_dir, "documents"))
+    words = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["words"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.size("repeats").cast("long").alias("n_repeats"),
+        words("repeats").alias("repeat_words"),
+        words("cuts").alias("cut_words"),
+        (F.size("repeats") > 0).alias("repeated"),
+        (F.size("cuts") == 0).alias("kept_whole"),
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -168,6 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_pii": op8_pii,
+        "op9_chunk_dedup": op9_chunk_dedup,
         "op10_language_id": op10_language_id,
     }
 
