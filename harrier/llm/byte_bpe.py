@@ -137,6 +137,10 @@ class Encoder:
         return b"".join([self.cache.get(word) or self.missing(word) for word in self.find(text)])
 
 
+#: A Python worker serves many tasks; its encoder and the pre-tokens it has met stay with it.
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
 def _schema(docs: DataFrame, keep: tuple[str, ...], *fields: T.StructField) -> T.StructType:
     return T.StructType([docs.schema[c] for c in keep] + list(fields))
 
@@ -149,7 +153,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     table = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(table.value, pattern)
+        encoder = _ENCODERS.get((ranks_path, pattern))
+        if encoder is None:
+            encoder = _ENCODERS[ranks_path, pattern] = Encoder(table.value, pattern)
         for batch in batches:
             column = batch.column(len(keep))
             _, offsets = text_buffers(column)
