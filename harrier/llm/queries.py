@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.llm import byte_bpe, chat_format, chunk_dedup, decontaminate, language_id, minhash_dedup, pii, quality_fm, toxicity_nb
+from harrier.llm import byte_bpe, chat_format, chunk_dedup, decontaminate, embedding_dedup, language_id, minhash_dedup, pii, quality_fm, toxicity_nb
 from harrier.llm.sampling import remainder
 
 #: Rank file of the tokenizer; a parameter of the operator.
@@ -128,6 +128,11 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = public_tokenizers.path(RANKS)
@@ -180,6 +185,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_fm": op3_quality_fm,
         "op4_decontaminate": op4_decontaminate,
         "op5_toxicity": op5_toxicity,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_pii": op8_pii,
         "op9_chunk_dedup": op9_chunk_dedup,
