@@ -151,22 +151,23 @@ def _values(graph: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """id, text_hash, base (spans of the expressions) and spans (those and the discovered ones), one row a document."""
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    """id, row (all columns of docs), base (spans of the expressions) and spans (those and the discovered ones), one row a document."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     occurrences = mentions(rows)
-    graph = occurrences.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
-    graph = checkpointed(graph)
+    graph = checkpointed(occurrences.groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
     known = None
     for _ in range(rounds):
         known = checkpointed(_values(graph, _patterns(graph, known)))
+    based = rows.withColumn("base", base_spans(F.col("text")))
+    if known is None or known.isEmpty():
+        return based.select("id", "row", "base", F.col("base").alias("spans"))
     revealed = occurrences.where("kind IS NULL").select("id", "text_hash", "start", "end", "value").join(known.select("value", F.col("kind").alias("found")), "value")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("found")).cast("int") - 1
     more = revealed.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", rank.alias("rank"), "end", F.col("found").alias("kind"))).alias("more"))
-    based = rows.select("id", "text_hash", base_spans(F.col("text")).alias("base"))
     same = based["id"].eqNullSafe(more["id"]) & (based["text_hash"] == more["text_hash"])
-    joined = based.join(more, same, "left").select(based["id"], based["text_hash"], "base", "more")
+    joined = based.join(more, same, "left").select(based["id"], "row", "base", "more")
     apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
-    return joined.select("id", "text_hash", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", apart))).alias("spans"))
+    return joined.select("id", "row", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", apart))).alias("spans"))
 
 
 def digest(spans: str) -> Column:

@@ -76,9 +76,13 @@ def _labels(spark: SparkSession, sf_dir: str, label: str, modulus: int, held: in
     return labels.groupBy("doc_id").agg(F.min(label).alias(label))
 
 
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labels(spark, sf_dir, "quality", 4, 2)
+
+
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = quality_fm.learn(docs, _labels(spark, sf_dir, "quality", 4, 2))
+    model = quality_fm.learn(docs, quality_labels(spark, sf_dir))
     held_out = remainder(F.col("doc_id"), 4) == 2
     return quality_fm.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
