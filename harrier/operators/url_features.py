@@ -43,7 +43,7 @@ class TransitionModel:
         """exp of the mean log probability of the text's pairs of letters and blanks; 1 without a pair."""
         kept = F.regexp_replace(F.lower(text), "[^a-z ]", "")
         table = F.create_map(*(x for k, v in self.log_probability.items() for x in (F.lit(k), F.lit(float(v)))))
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(kept) - 1, F.lit(1))), lambda i: F.substring(kept, i, F.lit(2)))
+        pairs = F.regexp_extract_all(kept, F.lit("(?=(..))"), F.lit(1))
         total = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.coalesce(F.try_element_at(table, p), F.lit(0.0)))
         return F.when(F.length(kept) < 2, 1.0).otherwise(F.exp(total / F.size(pairs)))
 
@@ -174,8 +174,7 @@ def train_transitions(texts: DataFrame, text: str = "text", smoothing: int = 10)
     Pairs are counted natively; the 27 x 27 grid is the only thing that is ever crossed.
     """
     kept = F.regexp_replace(F.lower(F.col(text)), "[^a-z ]", "")
-    places = F.sequence(F.lit(1), F.length("k") - 1)
-    pairs = texts.select(kept.alias("k")).where(F.length("k") >= 2).select(F.explode(F.transform(places, lambda i: F.substring(F.col("k"), i, F.lit(2)))).alias("pair"))
+    pairs = texts.select(F.explode(F.regexp_extract_all(kept, F.lit("(?=(..))"), F.lit(1))).alias("pair"))
     counts = pairs.groupBy("pair").agg(F.count("*").alias("n"))
     letters = texts.sparkSession.range(27).select(F.when(F.col("id") == 26, " ").otherwise(F.char(F.col("id") + 97)).alias("c"))
     grid = letters.select(F.col("c").alias("first")).crossJoin(F.broadcast(letters.select(F.col("c").alias("second"))))
