@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from harrier.queries import urls
+from harrier.queries import policy, urls
 
-QUERIES = {**urls.QUERIES}
-SQL = {**urls.SQL}
+QUERIES = {**urls.QUERIES, **policy.QUERIES}
+SQL = {**urls.SQL, **policy.SQL}
+flagship = policy.flagship
