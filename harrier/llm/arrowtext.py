@@ -10,12 +10,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 1 << 12
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def with_text(docs: DataFrame, keep: tuple[str, ...], text: str, *more: Column) -> tuple[DataFrame, int]:
+    """The kept columns, the text if it isn't one of them, and more columns; and the place of the text."""
+    if text in keep:
+        return docs.select(*keep, *more), keep.index(text)
+    return docs.select(*keep, F.col(text).alias("__text"), *more), len(keep)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply), so that every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(31))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harrier.llm.arrowtext import ALNUM, Words, pack_lists, shingle_hashes, text_buffers, word_blocks
+from harrier.llm.arrowtext import ALNUM, Words, pack_lists, shingle_hashes, text_buffers, with_text, word_blocks
 
 WIDTH = 13
 #: Windows in one broadcast piece: at about 200 bytes each, some 40 MB.
@@ -106,7 +106,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: t
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, item, benchmark_text, width)
     n_pieces = max(1, -(-windows.count() // piece))
-    carried = T.StructType([*(docs.schema[c] for c in keep), T.StructField("__text", T.StringType()), T.StructField("__hits", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType()))])
+    out, place = with_text(docs, keep, text, F.lit(None).cast("array<int>").alias("__hits"), F.lit(None).cast("array<string>").alias("__items"))
+    n_carried = len(out.columns) - 2
+    carried = T.StructType([*out.schema.fields[:n_carried], T.StructField("__hits", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType()))])
     result = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(f"n_words long, n_hit long, items array<string>, spans {SPANS}").fields])
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -116,7 +118,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: t
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = WindowSet(shared.value)
             for batch in batches:
-                column, before_hits, before_items = (batch.column(len(keep) + i) for i in range(3))
+                column, before_hits, before_items = batch.column(place), batch.column(n_carried), batch.column(n_carried + 1)
                 _, offsets = text_buffers(column)
                 for row, stop, words in word_blocks(column, ALNUM):
                     hits: list[list[int]] = [x or [] for x in before_hits.slice(row, stop - row).to_pylist()]
@@ -127,7 +129,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: t
                         items[d].update(found)
                     for h in hits:
                         h[:] = [x for s in merge_spans(list(zip(h[::2], h[1::2], strict=True))) for x in s]
-                    kept = [batch.column(k).slice(row, stop - row) for k in range(len(keep) + 1)]
+                    kept = [batch.column(k).slice(row, stop - row) for k in range(n_carried)]
                     listed = pa.array([sorted(x) for x in items], type=pa.list_(pa.string()))
                     if not last:
                         yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, type=pa.list_(pa.int32())), listed], schema=batch.schema)
@@ -137,11 +139,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: t
                         first, base = int(words.first[d]), int(offsets[row + d] - offsets[row])
                         spans.append([{"start": int(words.starts[first + s]) - base, "end": int(words.ends[first + e - 1]) - base} for s, e in zip(h[::2], h[1::2], strict=True)])
                     n_hit = pa.array([sum(h[1::2]) - sum(h[::2]) for h in hits], type=pa.int64())
-                    yield pa.RecordBatch.from_arrays([*kept[:-1], pa.array(np.diff(words.first).astype(np.int64)), n_hit, listed, pa.array(spans, type=spans_type)], names=result.names)
+                    yield pa.RecordBatch.from_arrays([*kept[: len(keep)], pa.array(np.diff(words.first).astype(np.int64)), n_hit, listed, pa.array(spans, type=spans_type)], names=result.names)
 
         return run
 
-    out = docs.select(*keep, F.col(text).alias("__text"), F.lit(None).cast("array<int>").alias("__hits"), F.lit(None).cast("array<string>").alias("__items"))
     for k in range(n_pieces):
         own = windows if n_pieces == 1 else windows.where(F.pmod(F.xxhash64("size", "words"), F.lit(n_pieces)) == k)
         rows = [(r.size, r.hash, bytes(r.words), list(r["items"])) for r in own.collect()]

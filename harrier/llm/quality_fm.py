@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harrier.llm.arrowtext import NOT_SPACE, byte_table, text_buffers, word_blocks
+from harrier.llm.arrowtext import NOT_SPACE, byte_table, text_buffers, with_text, word_blocks
 from harrier.llm.sampling import sampled_rows
 
 #: Labelled documents that the model is fitted on.
@@ -34,6 +34,8 @@ WORD_BUCKETS = 1 << 13
 FACTORS = 8
 BINS = 10
 EPOCHS = 6
+#: Small samples are gone over more often, up to so many batches.
+LEAST_BATCHES = 1_200
 STEP = 0.15
 BATCH = 128
 L2 = 1e-5
@@ -138,7 +140,7 @@ def fit(rows: Rows, label: np.ndarray, seed: int = 7) -> Model:
     model = Model(float(np.log(share / (1 - share))), np.zeros(size), rng.normal(0, 0.05, (size, FACTORS)), cuts)
     first, feature, value = model.design(rows)
     seen_w, seen_v = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_BATCHES * BATCH // len(label)))):
         order = rng.permutation(len(label))
         for batch in np.array_split(order, max(1, len(order) // BATCH)):
             at = np.concatenate([np.arange(first[i], first[i + 1]) for i in batch])
@@ -190,11 +192,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", n_chars: str = "n_c
     """The columns in ``keep`` and ``score``, the probability of label 1. The model has a fixed size and is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    rows, place = with_text(docs, keep, text, F.col(n_chars).cast("long").alias("__n_chars"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = batch.column(len(keep) + 1).cast(pa.float64()).to_numpy(zero_copy_only=False)
-            for row, stop, rows in features(batch.column(len(keep)), lengths):
+            lengths = batch.column(batch.num_columns - 1).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            for row, stop, rows in features(batch.column(place), lengths):
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, stop - row) for k in range(len(keep))), pa.array(shared.value.score(rows))], names=[*keep, "score"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col(text).alias("__text"), F.col(n_chars).cast("long").alias("__n_chars")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
