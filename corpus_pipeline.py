@@ -1,8 +1,8 @@
 """A training-data pipeline over ``documents``: quality, near-dedup, decontamination, personal data, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
-columns of documents. Rows are carried as a struct beside what a stage computes, so extra columns of any name pass
-through. Null ids are kept; null texts count as empty; an empty table stays empty.
+columns of documents. Rows are carried whole beside what a stage computes, under numbered names, so extra columns of
+any name pass through. Null ids are kept; null texts count as empty; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,15 +18,26 @@ from harrier.llm.components import shared_folder
 from harrier.llm.queries import GOOD, RANKS, quality_labels
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """row (all columns), text and n_chars."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", "n_chars")
+def _small_batches(spark: SparkSession) -> None:
+    """Python workers get a thousand rows at a time at most, since whole rows pass through them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], dict[str, str]]:
+    """docs with its columns renamed by their places, these names, and the new name of each."""
+    names = tuple(f"c{i}" for i in range(len(docs.columns)))
+    return docs.toDF(*names), names, dict(zip(docs.columns, names, strict=True))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
+    _small_batches(spark)
     model = quality_fm.learn(docs, quality_labels(spark, sf_dir))
-    return quality_fm.score(_packed(docs), model, keep=("row",)).where(F.col("score") >= GOOD).select("row.*")
+    rows, names, new = _numbered(docs)
+    scored = quality_fm.score(rows, model, text=new["text"], n_chars=new["n_chars"], keep=names)
+    return scored.where(F.col("score") >= GOOD).select(*names).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +49,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is inside benchmark windows."""
+    _small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.find_hits(_packed(docs), benchmark, keep=("row",)).where(~decontaminate.contaminated()).select("row.*")
+    rows, names, new = _numbered(docs)
+    hits = decontaminate.find_hits(rows, benchmark, text=new["text"], keep=names)
+    return hits.where(~decontaminate.contaminated()).select(*names).toDF(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +68,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (packed little-endian unsigned 32-bit), their number and digest, and whether they decode to the text."""
+    _small_batches(spark)
     path = public_tokenizers.path(RANKS)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = byte_bpe.encode(rows.withColumn("text_sha256", F.sha2("text", 256)), path, public_tokenizers.PATTERN, keep=("doc_id", "text_sha256"))
