@@ -8,7 +8,7 @@ at the wanted similarity have at least T = ``threshold(...)`` collisions but for
 *Prefix*: order a node's postings from the rarest to the most frequent; two nodes with T collisions share one of
 the first ``COORDINATES - T + 1``, so lists are merged over that prefix only, and a node with fewer than T shared
 values has no partner at all. *Skip*: a list whose nodes are already in one component is skipped. Lists are first
-merged against one leader each (the node with the smallest hash, linear work); lists that still span several
+merged against one leader each (linear work); lists that still span several
 components get further leaders while that would need too many comparisons, and then all their pairs between
 components are compared, so that no component is missed, whatever the length of the lists.
 
@@ -35,9 +35,10 @@ from harrier.llm.components import checkpointed, connected_components
 
 COORDINATES = 32
 MISS = 1e-5
-#: Rounds of leaders, and comparisons per posting at which all pairs between components are compared instead.
+#: Rounds of leaders at most, and comparisons per posting at which all pairs between components are compared instead,
+#: as they are when a round of leaders has not halved them.
 LEADER_ROUNDS = 4
-PAIRS_PER_POSTING = 20
+PAIRS_PER_POSTING = 200
 
 _A = seeded(101, COORDINATES) | np.uint64(1)
 _B = seeded(202, COORDINATES)
@@ -128,56 +129,110 @@ def _with_signatures(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs
 
 
-def confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def measure(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full sets and of what is common to both: a, b, a_size, b_size, common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), dtype=np.uint64) for c in (left, right))
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, type=pa.int64())), batch.column(1).take(pa.array(keep, type=pa.int64()))], names=["a", "b"])
+            sizes = np.zeros((3, batch.num_rows), dtype=np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                sizes[:, i] = len(x), len(y), len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(n) for n in sizes)], names=["a", "b", "a_size", "b_size", "common"])
 
     right = pairs.join(shingles.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = right.join(shingles.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
+    sizes = [T.StructField(c, T.LongType()) for c in ("a_size", "b_size", "common")]
+    return both.select("a", "b", "x", "y").mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"], *sizes]))
+
+
+def similar(common: Column, percent: int) -> Column:
+    """Whether sets with so many common shingles are similar enough."""
+    return 100 * common >= percent * (F.col("a_size") + F.col("b_size") - common)
+
+
+def private_counts(shingles: DataFrame, percent: int) -> DataFrame:
+    """node, size of its set, and own, how many of its shingles no other candidate has, where a partner is possible.
+
+    A partner shares percent of the set at least; a node with more shingles of its own has none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                parts = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1).slice(i, 256)]
+                owner = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256).take(owner), pa.array(np.concatenate(parts))], names=["node", "shingle"])
+
+    each = shingles.select("id", "shingles").mapInArrow(run, T.StructType([T.StructField("node", shingles.schema["id"].dataType), T.StructField("shingle", T.LongType())]))
+    single = each.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("own"))
+    sized = shingles.select(F.col("id").alias("node"), (F.octet_length("shingles") / 8).cast("long").alias("size"))
+    counts = sized.join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+    return counts.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
+
+
+def possible(percent: int) -> Column:
+    """Whether two nodes can be similar enough, given their sizes and how many shingles each has of its own."""
+    most = F.least(F.col("a_size") - F.col("a_own"), F.col("b_size") - F.col("b_own"))
+    return similar(most, percent) & (100 * most >= percent * F.greatest(F.col("a_size") + F.col("b_own"), F.col("b_size") + F.col("a_own")))
+
+
+def possible_by_leader(percent: int) -> Column:
+    """The same, given what each has in common with the leader of a list: both share no more of the leader's set than
+    the one that shares less, and outside it no more than what isn't the other's own."""
+    outside = F.least(*(F.col(f"{s}_size") - F.col(f"{s}_common") - F.col(f"{s}_own") for s in "ab"))
+    return F.coalesce(similar(F.least("a_common", "b_common") + outside, percent), F.lit(True))
 
 
 def link(docs: DataFrame, nodes: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
     """(node, component) of the nodes that are linked with others."""
     least = threshold(percent)
     postings = checkpointed(prefix_postings(nodes, least))
-    active = postings.select("node").distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("__text")).join(active.select(F.col("node").alias("id")), "id", "left_semi")
+    candidates = postings.select(F.col("node").alias("id")).distinct()
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("__text")).join(candidates, "id", "left_semi")
     shingles = checkpointed(sets(texts, "__text", width).dropDuplicates(["id"]))
+    counts = checkpointed(private_counts(shingles, percent))
+    postings = checkpointed(postings.join(counts, "node"))
     total = postings.count()
-    labels = active.select("node", F.col("node").alias("component"))
-    lists, edges = postings.join(labels, "node"), None
+    lists, before = postings.withColumn("component", F.col("node")), 0.0
+    labels = counts.select("node", F.col("node").alias("component"))
+    edges = leaders = measured = None
     for turn in range(LEADER_ROUNDS + 1):
-        counts = lists.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("parts"))
-        open_keys = counts.where("parts > 1")
+        parts = lists.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("parts"))
+        open_keys = parts.where("parts > 1")
         work = open_keys.agg(F.sum(F.expr("double(n) * n - own") / 2)).first()[0] or 0.0
         if not work:
             break
         rest = lists.join(open_keys.select("key"), "key")
-        last = turn == LEADER_ROUNDS or (turn > 0 and work <= PAIRS_PER_POSTING * total)
+        last = turn == LEADER_ROUNDS or turn > 0 and (work <= PAIRS_PER_POSTING * total or work > before / 2)
+        before = work
         if last:
-            signed = rest.join(nodes.select("node", *_LANES), "node")
-            left, right = (signed.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "component", *_LANES))) for s in "ab")
-            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a_component") < F.col("b_component")) & (collisions("a_", "b_") >= least))
-            pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+            known = measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), "common")
+            led = rest.join(leaders.select("key", F.col("leader.node").alias("leader")), "key").where("node != leader").join(known, ["leader", "node"], "left")
+            # a pair that shares several lists is taken from the first of them
+            prefix = rest.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+            led = led.join(prefix, "node")
+            left, right = (led.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "component", "size", "own", "common", "keys"))) for s in "ab")
+            first = F.array_min(F.array_intersect("a_keys", "b_keys")) == left["key"]
+            near = (F.col("a_component") < F.col("b_component")) & possible(percent) & possible_by_leader(percent) & first
+            pairs = left.join(right, (left["key"] == right["key"]) & near).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
         else:
-            leaders = rest.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("leader"))
-            pairs = rest.join(leaders, "key").where("component != leader.component").select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
-            pairs = _with_signatures(pairs, nodes).where(collisions("a_", "b_") >= least).select("a", "b")
-        found = confirm(pairs, shingles, percent)
+            # the leader is the node with the smallest share of its own, as an original has among its edited copies
+            order = F.struct(F.col("own") / F.col("size"), "node") if turn == 0 else F.struct((F.col("own") / F.col("size") * 16).cast("int"), F.xxhash64("node", F.lit(turn)))
+            chosen = rest.groupBy("key").agg(F.min_by(F.struct("node", "component", "size", "own"), order).alias("leader"))
+            met = rest.join(chosen, "key").where("component != leader.component")
+            met = met.select(*(F.col(f"leader.{c}").alias(f"a_{c}") for c in ("node", "size", "own")), *(F.col(c).alias(f"b_{c}") for c in ("node", "size", "own")))
+            pairs = met.where(possible(percent)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+        pairs = _with_signatures(pairs, nodes).where(collisions("a_", "b_") >= least).select("a", "b")
+        found = measure(pairs, shingles)
+        if turn == 0:
+            leaders, measured = chosen, checkpointed(found)
+            found = measured
+        found = found.where(similar(F.col("common"), percent)).select("a", "b")
         edges = checkpointed(found if edges is None else edges.unionByName(found))
         labels = connected_components(edges)
-        lists = postings.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        lists = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if last:
             break
     return labels
