@@ -587,7 +587,7 @@ SQL = {
     "geo_features": f"WITH {_ADDR} SELECT n_regionkey, count(DISTINCT country) AS geo_countries_count, CAST(1 AS BIGINT) AS geo_continents_count, round(stddev_pop(lat), 6) AS geo_lat_stdev, round(avg(lat), 6) AS geo_mean_lat, round(min(lat), 6) AS geo_min_lat, round(max(lat), 6) AS geo_max_lat, round(max(lon) - min(lon), 6) AS geo_lon_range, round(min(lat) + max(lat) / 2, 6) AS geo_centroid_lat, round((max(lat) - min(lat)) * (max(lon) - min(lon)), 6) AS geo_estimated_area FROM ad GROUP BY n_regionkey",
     "country_hash": "WITH i AS (SELECT n_regionkey, list_sort(list_distinct(list(n_nationkey))) AS ids FROM nation GROUP BY n_regionkey) SELECT n_regionkey, CAST(list_reduce(list_concat([0::BIGINT], ids), lambda a, x: CASE WHEN a + x > 30 THEN (a + x) * 2 ELSE a + x END) % 2147483647 AS BIGINT) AS hash FROM i",
     "ip_range_join": f"WITH {_ADDR}, q AS (SELECT string_split(ip, '.') AS o FROM ad) SELECT CASE WHEN o[1] = '10' AND CAST(o[2] AS INT) < 3 THEN 'fine' || o[2] ELSE 'net' || (CAST(o[1] AS INT) - 10) END AS name, count(*) AS n FROM q GROUP BY 1",
-    "ip_entropy": f"WITH {_ADDR}, q AS (SELECT n_regionkey, string_split(ip, '.')[1] || '.' || string_split(ip, '.')[2] AS p, count(*) AS n FROM ad GROUP BY ALL) SELECT n_regionkey, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY n_regionkey) AS t FROM q) GROUP BY n_regionkey",
+    "ip_entropy": f"WITH {_ADDR}, q AS (SELECT n_regionkey, string_split(ip, '.')[1] || '.' || string_split(ip, '.')[2] AS p, count(*) AS n FROM ad GROUP BY ALL) SELECT n_regionkey, abs(round(sum(n / t * log2(n / t)), 6)) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY n_regionkey) AS t FROM q) GROUP BY n_regionkey",
     "rdap_age_features": "WITH x AS (SELECT o_orderkey, o_orderpriority, o_orderdate AS s, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + INTERVAL 400 DAY END AS e, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL 36 HOUR END AS c, TIMESTAMP '1998-12-01' AS n FROM orders) SELECT o_orderkey, round(CASE WHEN e IS NOT NULL THEN greatest(0.0, (epoch_us(e) - epoch_us(s)) / 86400e6) END, 6) AS rdap_registration_period, round(greatest(0.0, (epoch_us(n) - epoch_us(s)) / 86400e6), 6) AS rdap_domain_age, round(CASE WHEN c IS NOT NULL THEN greatest(0.0, (epoch_us(n) - epoch_us(c)) / 86400e6) END, 6) AS rdap_time_from_last_change, round(greatest(0.0, (epoch_us(CASE WHEN e IS NULL OR e > n THEN n ELSE e END) - epoch_us(s)) / 86400e6), 6) AS rdap_domain_active_time, o_orderkey % 2 = 0 AS rdap_has_dnssec, CAST(length(o_orderpriority) AS BIGINT) AS rdap_registrar_name_len FROM x",
     "age_labels": "SELECT p_partkey, CASE WHEN d < 60 THEN d || ' days' WHEN d < 730 THEN CAST(round_even(d / 30, 0) AS BIGINT) || ' months' ELSE printf('%.1f years', d / 365) END AS label FROM (SELECT p_partkey, p_partkey % 1500 AS d FROM part)",
     "dns_ttl_features": "SELECT l_orderkey, round(avg(t), 6) AS ttl_avg, round(count(*) FILTER (WHERE t < 101) / count(*), 6) AS ttl_low, round(count(*) FILTER (WHERE t >= 101 AND t < 501) / count(*), 6) AS ttl_mid, count(DISTINCT t) AS n_distinct FROM (SELECT l_orderkey, CAST(l_quantity * 20 AS INT) AS t FROM lineitem) GROUP BY l_orderkey",
