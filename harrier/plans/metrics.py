@@ -46,14 +46,23 @@ def report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return each.unionByName(macro).unionByName(weighted)
 
 
-def by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """One row for each distinct score, highest first: positives and negatives at it and at or above it.
+def by_score(df: DataFrame, truth: str, score: str, pieces: int = 256) -> DataFrame:
+    """One row for each distinct score: positives and negatives at it (pos, neg) and at or above it (tp, fp).
 
-    Scores are counted first, so the running sums go over distinct scores and not over rows.
+    Scores are counted first, then cut at approximate quantiles into ``pieces`` of about equal size. Running sums go
+    over each piece on its own, after the totals of the pieces above it, so no task sees all scores.
     """
-    counts = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.sum((~F.col(truth).cast("boolean")).cast("long")).alias("neg"))
-    down = Window.orderBy(F.desc("score"))
-    return counts.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    positive = F.col(truth).cast("boolean")
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    cuts = sorted(set(counts.approxQuantile("score", [i / pieces for i in range(1, pieces)], 0.5 / pieces)))
+    piece = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: F.col("score") >= c))
+    placed = counts.withColumn("piece", piece)
+    above = Window.orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)  # over a row for each piece
+    totals = placed.groupBy("piece").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    before = totals.select("piece", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("fp0"))
+    down = Window.partitionBy("piece").orderBy(F.desc("score"))
+    met = placed.join(F.broadcast(before), "piece")
+    return met.select("score", "pos", "neg", (F.col("tp0") + F.sum("pos").over(down)).alias("tp"), (F.col("fp0") + F.sum("neg").over(down)).alias("fp"))
 
 
 def ranking_metrics(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -72,8 +81,8 @@ def ranking_metrics(df: DataFrame, truth: str, score: str) -> DataFrame:
 def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:
     """threshold, fpr and tpr at each distinct score."""
     steps = by_score(df, truth, score)
-    every = Window.partitionBy()
-    return steps.select(F.col("score").alias("threshold"), over(F.col("fp"), F.sum("neg").over(every)).alias("fpr"), over(F.col("tp"), F.sum("pos").over(every)).alias("tpr"))
+    totals = steps.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return steps.crossJoin(F.broadcast(totals)).select(F.col("score").alias("threshold"), over(F.col("fp"), F.col("n_neg")).alias("fpr"), over(F.col("tp"), F.col("n_pos")).alias("tpr"))  # totals: one row
 
 
 def latency_summary(df: DataFrame, keys: Sequence[str], phases: Sequence[str], outcome: str = "outcome") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from harrier.plans.metrics import ranking_metrics, rates
 
 SEED = 42
+LOT = 20_000
 
 
 def estimators(seed: int = SEED) -> dict:
@@ -91,10 +92,12 @@ def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 0) ->
     """df with ``fold``: rows of a group share it, and positive and negative groups are each dealt out evenly.
 
     Groups are summed first; within each class they are dealt in rounds from the largest, in turns of alternate
-    direction, so folds have nearly equal numbers of rows.
+    direction, so folds have nearly equal numbers of rows. Many groups are dealt in several independent lots of about
+    ``LOT`` groups, so no task orders them all.
     """
     groups = df.groupBy(group).agg(F.count("*").alias("n"), F.max(F.col(label).cast("int")).alias("y"))
-    order = Window.partitionBy("y").orderBy(F.desc("n"), F.xxhash64(F.lit(seed), F.col(group)), group)
+    lot = F.pmod(F.xxhash64(group), F.lit(max(1, groups.count() // LOT)))
+    order = Window.partitionBy("y", lot).orderBy(F.desc("n"), F.xxhash64(F.lit(seed), F.col(group)), group)
     dealt = groups.withColumn("r", F.row_number().over(order) - 1)
     turn, place = F.floor(F.col("r") / k).cast("int"), F.col("r") % k
     fold = F.when(turn % 2 == 0, place).otherwise(F.lit(k - 1) - place)
@@ -114,10 +117,9 @@ def leaks(df: DataFrame, group: str, part: str = "part") -> DataFrame:
     return df.groupBy(group).agg(F.count_distinct(part).alias("parts")).where("parts > 1")
 
 
-def holdout(df: DataFrame, label: str, key: str, share: float = 0.2, seed: int = SEED) -> DataFrame:
-    """df with ``held_out`` for the given share of each class, by the rank of a seeded hash."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    return df.withColumn("held_out", F.percent_rank().over(order) < share)
+def holdout(df: DataFrame, key: str, share: float = 0.2, seed: int = SEED) -> DataFrame:
+    """df with ``held_out`` for about the given share of each class, by a seeded hash of the key and so without a shuffle."""
+    return df.withColumn("held_out", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < share * 1_000_000)
 
 
 def evaluate(df: DataFrame, truth: str, score: str) -> DataFrame:

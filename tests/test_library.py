@@ -324,4 +324,4 @@ def test_models(spark):
         models.train(df, columns, "y", "rbf_svm")
     parts = models.nested_split(df.withColumn("yb", F.col("y") > 0), "grp", "yb", 1)
     assert parts.count() == 300 and models.leaks(parts, "grp").count() == 0 and parts.select("part").distinct().count() == 3
-    assert 50 <= models.holdout(df, "y", "id").where("held_out").count() <= 70
+    assert 40 <= models.holdout(df, "id").where("held_out").count() <= 80
