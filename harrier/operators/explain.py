@@ -27,6 +27,9 @@ def _counted(n: Column, unit: str) -> Column:
     return F.concat(n.cast("int").cast("string"), F.lit(unit))
 
 
+# Labels, values, weights and limits of the signals below are fixed values.
+
+
 def url_signals(df: DataFrame) -> Column:
     n = lambda c: number(df, c)
     words, brands = n("keyword_count") + n("target_keyword_count"), n("target_brand_count") + n("similar_brand_count")

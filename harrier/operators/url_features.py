@@ -65,18 +65,26 @@ def repeats(word: Column) -> Column:
 
 
 def splitter(vocabulary: frozenset[str]):
-    """Splits compound words by a vocabulary, longest parts first; parts inside another part are dropped."""
+    """Splits compound words by a vocabulary, the longest parts of four letters or more first.
+
+    A part that is still a word without its last s or y loses it; the longest rest of four letters or more is a part
+    too; parts inside another part are dropped; a word without any part stays whole.
+    """
 
     def split(word: str) -> list[str]:
+        if word in vocabulary:
+            return [word]
         rest, parts = word, []
-        for size in range(len(word), 2, -1):
-            for i in range(len(word) - size + 1):
-                piece = rest[i : i + size]
-                if "*" not in piece and piece in vocabulary:
-                    parts.append(piece)
-                    rest = rest[:i] + "*" * size + rest[i + size :]
-        parts += sorted((p for p in rest.split("*") if len(p) > 2), key=len, reverse=True)[:1]
-        return [p for p in parts if not any(p != q and p in q for q in parts)]
+        for size in range(len(word), 3, -1):
+            for start in range(len(word) - size + 1):
+                piece = rest[start : start + size]
+                if piece in vocabulary:
+                    part = piece[:-1] if piece[-1] in "sy" and piece[:-1] in vocabulary else piece
+                    parts.append(part)
+                    rest = rest.replace(part, "*" * len(part))
+        longest = max(rest.split("*"), key=len)
+        parts += [longest] if len(longest) > 3 else []
+        return [p for p in parts if not any(p != q and p in q for q in parts)] or [word]
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def apply(words: pd.Series) -> pd.Series:
