@@ -24,7 +24,8 @@ def margins(n: int, top: float = 0.5) -> list[float]:
 
 def grid(df: DataFrame, values: Sequence[float], name: str = "value") -> DataFrame:
     """A small table (step, value)."""
-    return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], f"step int, {name} double")
+    listed = F.array(*(F.lit(float(v)) for v in values))
+    return df.sparkSession.range(len(values)).select(F.col("id").cast("int").alias("step"), F.element_at(listed, F.col("id").cast("int") + 1).alias(name))
 
 
 def steps_outside(p: Column, values: Sequence[float]) -> Column:
