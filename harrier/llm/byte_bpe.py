@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from harrier.llm.arrowtext import row_blocks, text_buffers
 
 #: Entries of each of a worker's two tables of encoded pre-tokens; when the newer one is full, it becomes the older.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Longer pre-tokens aren't kept in that table.
 CACHE_BYTES = 64
 
@@ -46,7 +46,6 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.longest = max(map(len, ranks), default=1)
         n_ranks = max(ranks.values(), default=0) + 1
         self.buckets: list[list[int]] = [[] for _ in range(n_ranks)]
         self.low = [0] * ((n_ranks >> 8) + 1)
@@ -61,7 +60,7 @@ class Encoder:
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks, get, longest = self.ranks, self.ranks.get, self.longest
+        ranks, get = self.ranks, self.ranks.get
         whole = get(piece)
         if whole is not None:
             return [whole]
@@ -96,22 +95,32 @@ class Encoder:
             middle = following[i]
             end = following[middle]
             following[i] = end
-            previous[end] = i
             pair[middle] = pair[i] = -1
             before = previous[i]
-            for start, stop in ((i, following[end] if end < n else 0), (before, end if before >= 0 else 0)):
-                if stop:
-                    rank = get(piece[start:stop], -1) if stop - start <= longest else -1
-                    pair[start] = rank
-                    if rank >= 0:
-                        bucket = buckets[rank]
-                        if bucket:
-                            heappush(bucket, start)
-                        else:
-                            bucket.append(start)
-                            word = rank >> 8
-                            low[word] |= bit[rank & 255]
-                            top |= bit[word]
+            if end < n:
+                previous[end] = i
+                rank = get(piece[i : following[end]], -1)
+                if rank >= 0:
+                    pair[i] = rank
+                    bucket = buckets[rank]
+                    if bucket:
+                        heappush(bucket, i)
+                    else:
+                        bucket.append(i)
+                        word = rank >> 8
+                        low[word] |= bit[rank & 255]
+                        top |= bit[word]
+            if before >= 0:
+                pair[before] = rank = get(piece[before:end], -1)
+                if rank >= 0:
+                    bucket = buckets[rank]
+                    if bucket:
+                        heappush(bucket, before)
+                    else:
+                        bucket.append(before)
+                        word = rank >> 8
+                        low[word] |= bit[rank & 255]
+                        top |= bit[word]
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : following[i]]])
