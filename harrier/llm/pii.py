@@ -6,10 +6,11 @@ pass the kind's test; failing matches are dropped without a retry.
 Bootstrapping then looks for identifiers that the expressions miss. *Mentions* are the base-like spans and every
 token with digits or an at sign. A mention's *patterns* are the two words to its left, and one word to its left
 with one to its right. Distinct (pattern, value) pairs form a bipartite graph whose seeds are the values that are
-base entities. In each round a pattern is scored for the kind that prevails among its values, by
-(sum of the values' scores) / (values + 2), and accepted at ``PATTERN_SCORE``; a value that isn't known yet gets
-1 - prod(1 - score) over its accepted patterns and joins the seeds at ``VALUE_SCORE``. Scores are per distinct
-value, so copies of a document give no extra weight. Unknown values need ``MIN_DIGITS`` digits.
+base entities. In each round a pattern is scored for the kind that prevails among its values, by the lower bound
+(Wilson's, ``SURE`` standard deviations) of that kind's share of the values' scores, so that a pattern with few
+values scores low, and accepted at ``PATTERN_SCORE``; a value that isn't known yet gets 1 - prod(1 - score) over its
+accepted patterns and joins the seeds at ``VALUE_SCORE``. Scores are per distinct value, so copies of a document give
+no extra weight. Unknown values need ``MIN_DIGITS`` digits.
 
 Positions count code points, ends are exclusive. Null and empty texts have no spans. Repeated rows get equal spans
 each. Texts are told apart by id and a hash, so a repeated id with another text does no harm; a null id is kept.
@@ -37,8 +38,10 @@ GUARDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": EXPRESSIONS[
 MENTION = rf"{EXPRESSIONS['phone']}|(?<![0-9]){EXPRESSIONS['card']}|(?<!\S)(?=\S*[0-9@])\S++"
 _EDGE = r"""^[("'<\[{]+|[)"'>\]}.,;:!?]+$"""
 ROUNDS = 3
-PATTERN_SCORE = 0.7
-VALUE_SCORE = 0.7
+PATTERN_SCORE = 0.35
+VALUE_SCORE = 0.35
+#: Standard deviations of the lower bound of a pattern's share.
+SURE = 3.3
 MIN_DIGITS = 3
 
 
@@ -139,7 +142,14 @@ def _patterns(graph: DataFrame, known: DataFrame | None) -> DataFrame:
     else:
         scored = graph.join(known.select("value", F.col("kind").alias("found"), F.col("score").alias("value_score")), "value", "left").select("pattern", F.coalesce("kind", "found").alias("kind"), F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("value_score", F.lit(0.0))).alias("score"))
     sums = scored.groupBy("pattern").agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in KINDS))
-    best = F.greatest(*(F.struct((F.col(k) / (F.col("n") + 2)).alias("score"), F.lit(k).alias("kind")) for k in KINDS))
+    n, z = F.col("n"), SURE
+
+    def sure(k: str) -> Column:
+        share = F.col(k) / n
+        spread = z * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / n + z * z / (4 * n * n))
+        return (share + z * z / (2 * n) - spread) / (1 + z * z / n)
+
+    best = F.greatest(*(F.struct(sure(k).alias("score"), F.lit(k).alias("kind")) for k in KINDS))
     return sums.select("pattern", best.alias("best")).where(F.col("best.score") >= PATTERN_SCORE).select("pattern", "best.kind", "best.score")
 
 
