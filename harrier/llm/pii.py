@@ -109,9 +109,10 @@ def _words(gap: Column) -> Column:
 def mentions(docs: DataFrame) -> DataFrame:
     """From (id, text_hash, text): id, text_hash, start, end, value, kind (null: unknown) and pattern, a row for each pattern."""
     text = F.col("text")
-    hits = F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
-    rows = docs.where(text.rlike("[0-9@]")).select("id", "text_hash", located(text, MENTION).alias("found"), F.split(text, MENTION, -1).alias("gaps"), F.size(hits).alias("n"))
-    each = rows.where("n > 0").select("id", "text_hash", "gaps", F.posexplode("found").alias("i", "m"))
+    rows = docs.where(text.rlike("[0-9@]")).select("id", "text_hash", located(text, MENTION).alias("found"), F.split(text, MENTION, -1).alias("gaps")).where(F.size("found") > 0)
+    # a mention with the text between it and its neighbours only, so that exploding doesn't multiply long texts
+    beside = F.transform("found", lambda m, i: F.struct(m.alias("m"), F.get("gaps", i).alias("before"), F.get("gaps", i + 1).alias("after")))
+    each = rows.select("id", "text_hash", F.explode(beside).alias("x")).select("id", "text_hash", "x.*")
     raw = F.col("m.value")
     token = F.regexp_replace(raw, _EDGE, "")
     lead = F.length(raw) - F.length(F.regexp_replace(raw, r"""^[("'<\[{]+""", ""))
@@ -122,8 +123,8 @@ def mentions(docs: DataFrame) -> DataFrame:
         (F.col("m.start") + lead + F.length(token)).alias("end"),
         token.alias("token"),
         F.lower(token).alias("value"),
-        _words(F.get("gaps", F.col("i"))).alias("left"),
-        F.get(_words(F.get("gaps", F.col("i") + 1)), F.lit(0)).alias("right"),
+        _words(F.col("before")).alias("left"),
+        F.get(_words(F.col("after")), F.lit(0)).alias("right"),
     )
     kind = F.coalesce(*(F.when(F.col("token").rlike(f"^(?:{EXPRESSIONS[k]})$") & passes(k, F.col("token")), F.lit(k)) for k in KINDS))
     before = F.slice(F.reverse("left"), 1, 2)
