@@ -230,3 +230,47 @@ def test_pipeline_on_awkward_rows(spark, sf):
         assert out.columns == table.columns, name
         assert stage(spark, table.limit(0), sf).count() == 0, name
         assert 0 < out.count() <= table.count(), name
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+def is_contaminated(text, windows):
+    words = words_of(text)
+    hit = {j for size in {len(w) for w in windows} for i in range(len(words) - size + 1) if tuple(words[i : i + size]) in windows for j in range(i, i + size)}
+    return bool(hit) and 20 * len(hit) >= len(words)
+
+
+def redacted(text):
+    out, at = [], 0
+    for span in filter(None, base_spans(text).split(",")):
+        kind, start, end = span.split(":")
+        if int(start) >= at:
+            out += [text[at : int(start)], f"<{kind}>"]
+            at = int(end)
+    return "".join(out) + text[at:]
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    """Every stage's rows, each from what the stage before it kept."""
+    import public_tokenizers
+    import tiktoken
+
+    from harrier.llm.byte_bpe import load_ranks
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in table.collect()}
+    good = {r.doc_id for r in queries()["op3_quality_fm"](spark, sf).collect() if r.predicted}
+    classes = brute_force_components({k: rows[k].text for k in good}, 5, 80)
+    first = {k for k, (_, component) in classes.items() if component == k}
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        words = words_of(r.text)
+        windows |= {tuple(words[i : i + 13]) for i in range(max(len(words) - 12, 1))} - {()}
+    clean = {k for k in first if not is_contaminated(rows[k].text, windows)}
+    texts = {k: redacted(rows[k].text) for k in clean}
+    assert len(good) > len(first) > len(clean) > 0 and any(texts[k] != rows[k].text for k in clean)
+    tokenizer = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == {k: tokenizer.encode_ordinary(t) for k, t in texts.items()}
