@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,3 +99,9 @@ def longest_run(text: Column | str, pattern: str) -> Column:
 def ratio(part: Column, text: Column | str) -> Column:
     """part by the text's length; 0 for the empty text."""
     return F.coalesce(F.try_divide(part.cast("double"), F.length(col(text)).cast("double")), F.lit(0.0))
+
+
+def leading(n: int, test: Callable[[Column], Column]) -> Column:
+    """How many of the places 0..n-1 pass a test that, once failed, fails at all later places (by halving)."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & test(at + step - 1), at + step).otherwise(at)) if n else F.lit(0)

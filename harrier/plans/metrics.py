@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrier.functions.text import leading
+
 OUTCOMES = ("ok", "unreachable", "timeout", "feature_error", "model_error")
 
 
@@ -55,7 +57,8 @@ def by_score(df: DataFrame, truth: str, score: str, pieces: int = 256) -> DataFr
     positive = F.col(truth).cast("boolean")
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
     cuts = sorted(set(counts.approxQuantile("score", [i / pieces for i in range(1, pieces)], 0.5 / pieces)))
-    piece = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: F.col("score") >= c))
+    listed = F.array(*map(F.lit, cuts)).cast("array<double>")
+    piece = leading(len(cuts), lambda i: F.col("score") >= F.get(listed, i))
     placed = counts.withColumn("piece", piece)
     above = Window.orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)  # over a row for each piece
     totals = placed.groupBy("piece").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))

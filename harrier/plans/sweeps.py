@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrier.functions.text import leading
 from harrier.plans.cascade import aggregate, outside
 from harrier.plans.metrics import confusion, rates
 
@@ -30,8 +31,8 @@ def grid(df: DataFrame, values: Sequence[float], name: str = "value") -> DataFra
 
 def steps_outside(p: Column, values: Sequence[float]) -> Column:
     """At how many of the ascending margins a probability is outside its band (so at steps below that number)."""
-    each = F.array(*(F.struct(F.lit(0.5 - v).alias("low"), F.lit(0.5 + v).alias("high")) for v in values))
-    return F.size(F.filter(each, lambda b: outside(p, b["low"], b["high"])))
+    low, high = (F.array(*(F.lit(0.5 + sign * v) for v in values)) for sign in (-1, 1))
+    return leading(len(values), lambda i: outside(p, F.get(low, i), F.get(high, i)))
 
 
 def histogram(df: DataFrame, stages: Sequence[str], truth: str, values: Sequence[float], aggregation: str = "mean") -> DataFrame:
@@ -107,8 +108,10 @@ def margin_grid(df: DataFrame, stages: Sequence[str], truth: str, values: Sequen
 
 
 def threshold_sweep(df: DataFrame, score: str, truth: str, thresholds: Sequence[float]) -> DataFrame:
-    """positive at score >= threshold, for each threshold; scores are counted by how many thresholds they reach."""
-    reached = F.size(F.filter(F.array(*(F.lit(float(t)) for t in thresholds)), lambda t: F.coalesce(F.col(score) >= t, F.lit(False))))
+    """positive at score >= threshold, for each threshold in ascending order; scores are counted by how many they reach."""
+    thresholds = sorted(float(t) for t in thresholds)
+    listed = F.array(*(F.lit(t) for t in thresholds))
+    reached = leading(len(thresholds), lambda i: F.coalesce(F.col(score) >= F.get(listed, i), F.lit(False)))
     counts = df.groupBy(reached.alias("k"), F.col(truth).cast("boolean").alias("y")).agg(F.count("*").alias("n"))
     met = counts.join(F.broadcast(grid(df, thresholds, "threshold")))
     return rates(met.groupBy("step", "threshold").agg(*_weighted(F.col("k") > F.col("step"))))
