@@ -36,6 +36,7 @@ NEIGHBOURS = 10
 GROUP = 48
 TABLES = 6
 BALL_TABLES, BALL_BITS = 8, 20
+#: Rounds at one length of lists; those that don't suffice are followed by rounds with longer lists.
 ROUNDS = 6
 STILL = 0.01
 AUDIT, RECALL = 256, 0.98
@@ -169,7 +170,7 @@ def descend(graph: DataFrame, centres: DataFrame, n: int, size: int) -> DataFram
     """One round: the neighbours of each centre, in either direction, are compared with each other."""
     back = graph.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine")
     both = nearest(graph.unionByName(back), 2 * size).select("id", "other").unionByName(centres.select("id", F.col("id").alias("other")))
-    gathered = both.join(centres.select(F.col("id").alias("other"), "vector"), "other").withColumn("t", F.pmod(F.xxhash64("id"), F.lit(max(1, n // 256))))
+    gathered = both.join(centres.select(F.col("id").alias("other"), "vector"), "other").withColumn("t", F.pmod(F.xxhash64("id"), F.lit(max(1, n * size // (256 * NEIGHBOURS)))))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out: dict[tuple[int, int], float] = {}
@@ -223,18 +224,21 @@ def neighbour_graph(centres: DataFrame, radii: DataFrame, least: float) -> tuple
     """The graph after the descent, and its audited recall."""
     size, n = NEIGHBOURS, centres.count()
     graph = checkpointed(first_graph(centres, size))
-    recall = 0.0
-    for _ in range(ROUNDS):
+    rounds = 0
+    while True:
         after = checkpointed(descend(graph, centres, n, size))
         total, kept = after.count(), after.join(graph, ["id", "other"], "left_semi").count()
-        graph = after
+        graph, rounds = after, rounds + 1
         lists = candidates(graph, radii, least).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
-        saturated = lists.where(F.col("count") >= size).limit(1).count()
+        saturated = lists.where(F.col("count") >= size).limit(1).count() > 0
         recall = audit(graph, centres, radii, least)
-        if recall >= RECALL and not saturated and total - kept <= STILL * total or recall == 1.0 and not saturated:
+        enough = recall >= RECALL and not saturated
+        if enough and (recall == 1.0 or total - kept <= STILL * total or rounds >= ROUNDS):
             break
-        if saturated:
-            size *= 2
+        if saturated or rounds >= ROUNDS:
+            if size >= n:  # a list has room for all others
+                break
+            size, rounds = 2 * size, 0
     return graph, recall
 
 

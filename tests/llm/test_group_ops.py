@@ -134,6 +134,21 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_of_one_group_outside_the_balls(spark, monkeypatch):
+    # every pair of a group is linked, and far enough apart for no ball: lists must grow to the size of the group
+    monkeypatch.setattr(embedding_dedup, "NEIGHBOURS", 2)
+    monkeypatch.setattr(embedding_dedup, "GROUP", 8)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=512)
+    vectors = [base + rng.normal(size=512) * 0.25 for _ in range(300)]
+    table = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    unit = np.stack([v / np.sqrt(v @ v) for v in vectors])
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    got = {r.id: r for r in embedding_dedup.near_duplicates(table).collect()}
+    assert want.min() > 200 and [got[i].n_links for i in range(300)] == want.tolist()
+    assert all(r.component_id == 0 for r in got.values())
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
