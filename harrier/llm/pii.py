@@ -43,6 +43,8 @@ VALUE_SCORE = 0.35
 #: Standard deviations of the lower bound of a pattern's share.
 SURE = 3.3
 MIN_DIGITS = 3
+#: Matches of a text whose places are computed together.
+RUN = 256
 
 
 def _digits(value: Column) -> Column:
@@ -77,7 +79,7 @@ def located(text: Column, expression: str) -> Column:
     """All matches as an array of (start, end, value), from the gaps between them and their lengths."""
     hits = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
     gaps = F.split(text, expression, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, value: string>>").alias("found"))
+    none = F.array().cast("array<struct<start: int, end: int, value: string>>")
 
     def add(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
@@ -85,9 +87,21 @@ def located(text: Column, expression: str) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
 
+    def in_runs(steps: Column) -> Column:
+        # appending copies an array, so matches are gathered in runs, and the runs in turn
+        runs = F.sequence(F.lit(0), F.greatest(F.size(steps) - 1, F.lit(0)), F.lit(RUN))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start: int, end: int, value: string>>>").alias("runs"))
+
+        def add_run(state: Column, i: Column) -> Column:
+            begin = F.struct(state["at"].alias("at"), none.alias("found"))
+            join = lambda s: F.struct(s["at"].alias("at"), F.concat(state["runs"], F.array(s["found"])).alias("runs"))
+            return F.aggregate(F.slice(steps, i + 1, F.lit(RUN)), begin, add, join)
+
+        return F.aggregate(runs, first, add_run, lambda s: F.flatten(s["runs"]))
+
     steps = F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
     steps = F.filter(steps, lambda x: x["hit"].isNotNull())  # one gap more than hits
-    return F.aggregate(steps, empty, add, lambda s: s["found"])
+    return F.get(F.transform(F.array(steps), in_runs), F.lit(0))  # steps are computed once
 
 
 def base_spans(text: Column) -> Column:
