@@ -476,6 +476,13 @@ def nearest_vectors(spark, sf_dir):
     return models.nearest_vectors(queries, base, 5).select("query", F.col("rank").cast("long").alias("rank"), "neighbour")
 
 
+def nearest_vectors_full(spark, sf_dir):
+    """The five nearest of all rows for every row whose id is divisible by 50."""
+    base = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    found = models.nearest_in_blocks(base.where("id % 50 = 0"), base, 5)
+    return found.select("query", F.col("rank").cast("long").alias("rank"), "neighbour")
+
+
 QUERIES = {
     "cascade_two_sided": _cascade(SHIPPED),
     "cascade_max": _cascade(Policy(SHIPPED.stages, aggregation="max")),
@@ -534,6 +541,7 @@ QUERIES = {
     "label_map_sum": label_map_sum,
     "predict_scores": predict_scores,
     "nearest_vectors": nearest_vectors,
+    "nearest_vectors_full": nearest_vectors_full,
 }
 
 _M = (0.49, 0.28, 0.10)
