@@ -1,4 +1,4 @@
-"""Embedding near-dedup by NN-descent on a neighbour graph.
+"""Embedding near-dedup by hyperplane buckets and exact comparison of the families that meet in them.
 
 Vectors of one label are compared by cosine in double precision; pairs at ``least`` or more are links. Vectors
 that are null, empty or zero, hold a null or non-finite component, or have a null label or id link with nothing.
@@ -7,14 +7,14 @@ that are null, empty or zero, hold a null or non-finite component, or have a nul
    close vectors together, and a vector within half the link angle of a table's smallest id joins that ball. By the
    triangle inequality all members of a ball are linked with each other, so they are counted, not paired, and only
    the ball's centre takes part in the descent. A third of all vectors may be copies of one.
-2. *NN-descent.* Each centre starts with its nearest among random and hyperplane groups of about ``GROUP``
-   vectors, then joins its neighbours' neighbours (both directions) round by round and keeps the ``NEIGHBOURS``
-   nearest. A list that is full of candidates for links is saturated and is enlarged to twice its length, as often
-   as needed. Rounds end when few lists change and the audit is content.
-3. *Audit.* ``AUDIT`` centres, those with the smallest hashes, are compared with all others in blocks; the share of
-   their true candidate pairs that the graph has is the recall. Below ``RECALL`` the descent goes on with longer lists.
-4. *Links.* Two balls may hold a link if their centres are no farther apart than the link angle and both radii.
-   Such candidate pairs are decided member by member in blocks unless the triangle inequality decides for all.
+2. *Buckets.* Tables of hyperplane signs put vectors into buckets of about ``8 * GROUP`` centres. A label has as many
+   tables as a pair at ``least`` needs to share no bucket with a chance below ``MISS``; both numbers follow the label's
+   size, so recall doesn't fall with it. Vectors of a bucket are compared in blocks of ``BLOCK`` against blocks.
+3. *Families.* A ball with many links goes to the family of the smallest centre that it is linked with, so a dense group
+   outside the balls is one family rather than a pair for each two of its members. Pairs of families with a link between
+   them are found in the buckets.
+4. *Links.* The members of such a pair, and of one family, are compared exactly, in blocks against blocks, and counted;
+   no task holds a whole family. Members of one ball aren't compared.
 
 Rows of one id are one vector (the smallest by content). Results have one row for each input row.
 """
@@ -22,24 +22,25 @@ Rows of one id are one vector (the smallest by content). Results have one row fo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrier.llm.components import checkpointed, connected_components
 
 LEAST = 0.93
+#: Links of a vector from which its ball goes to a family.
 NEIGHBOURS = 10
+#: Buckets hold about 8 * GROUP centres; a pair of the least similarity shares none with a chance below MISS.
 GROUP = 48
-TABLES = 6
+MISS = 1e-6
+#: The search for pairs of families asks for so much less than a link.
+SLACK = 1e-9
 BALL_TABLES, BALL_BITS = 8, 20
-#: Rounds at one length of lists; those that don't suffice are followed by rounds with longer lists.
-ROUNDS = 6
-STILL = 0.01
-AUDIT, RECALL = 256, 0.98
 BLOCK = 512
 
 
@@ -120,153 +121,138 @@ def angles(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return both.select("id", "centre", "x", "y").mapInArrow(run, "id long, centre long, angle double")
 
 
-def _best(similar: np.ndarray, ids: np.ndarray, size: int) -> list[tuple[int, int, float]]:
-    """(id, other, cosine) of the nearest others of each row of a similarity matrix."""
-    np.fill_diagonal(similar, -2)
-    size = min(size, len(ids) - 1)
-    out = []
-    if size > 0:
-        nearest = np.argpartition(-similar, size - 1, axis=1)[:, :size]
-        for i, row in enumerate(nearest):
-            out += [(int(ids[i]), int(ids[j]), float(similar[i, j])) for j in row]
-    return out
+def blocked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (id, centre, owner, salt and the key ``by``) with the number of their block within the key.
 
+    Members of a ball of more than ``BLOCK`` share blocks with each other only; ``owner`` is that ball, or null.
+    """
+    parts = rows.where("owner IS NULL").groupBy(by).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    small = rows.where("owner IS NULL").join(parts, by).withColumn("block", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
+    return small.unionByName(rows.where("owner IS NOT NULL").withColumn("block", F.xxhash64("owner", "salt")))
 
-EDGES = "id long, other long, cosine double"
 
+def met(rows: DataFrame, pairs: DataFrame | None, by: list[str], vectors: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of units of two blocks (unit, side, id and what ``vectors`` holds of it, dealt over tasks t), and their number.
 
-def _edges(rows: list[tuple[int, int, float]]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["id", "other", "cosine"]).astype({"id": "int64", "other": "int64", "cosine": "float64"})
+    Blocks meet within a key or, with ``pairs`` (a, b) of keys, across each pair. Two blocks of one ball don't meet.
+    """
+    numbered = checkpointed(blocked(rows, by))
+    blocks = numbered.groupBy(*by, "block", "owner").agg(F.count("*").alias("n")).drop("n")
+    one = blocks.select(*(F.col(c).alias(f"{c}_i") for c in (*by, "block", "owner")))
+    two = blocks.select(*(F.col(c).alias(f"{c}_j") for c in (*by, "block", "owner")))
+    if pairs is None:
+        both = one.join(two, [one[f"{c}_i"] == two[f"{c}_j"] for c in by])
+    else:
+        both = pairs.join(one, F.col("a") == one[f"{by[0]}_i"]).join(two, F.col("b") == two[f"{by[0]}_j"])
+    same = reduce(lambda x, y: x & y, [F.col(f"{c}_i") == F.col(f"{c}_j") for c in by])
+    other = ~F.coalesce(F.col("owner_i") == F.col("owner_j"), F.lit(False))
+    units = both.where(other & (~same | (F.col("block_i") <= F.col("block_j"))))
+    units = checkpointed(units.withColumn("unit", F.xxhash64(*(f"{c}_{s}" for s in "ij" for c in (*by, "block")))).withColumn("twice", ~same | (F.col("block_i") != F.col("block_j"))))
+    sides = [(0, "i", units), (1, "j", units.where("twice"))]
+    found = [numbered.join(u.select("unit", *(F.col(f"{c}_{s}").alias(c) for c in (*by, "block"))), [*by, "block"]).select("unit", F.lit(side).alias("side"), "id") for side, s, u in sides]
+    n = max(1, units.count() // 16)
+    return reduce(DataFrame.unionByName, found).join(vectors, "id").withColumn("t", F.pmod("unit", F.lit(n))), n
+
+
+def bucketed(distinct: DataFrame, least: float) -> DataFrame:
+    """Rows with their buckets (label, code), one for each of the label's tables.
+
+    A table has ``bits`` hyperplane signs, so that a bucket holds about ``8 * GROUP`` centres, and the tables of a label
+    are as many as it takes for a pair at ``least`` to share no bucket with a chance below ``MISS``, whatever its size.
+    """
+    sizes = distinct.groupBy("label").agg(F.count_distinct("centre").alias("n"))
+    bits = F.greatest(F.lit(0), F.least(F.lit(24), F.ceil(F.log2(F.col("n") / (8 * GROUP))))).cast("int")
+    share = F.pow(F.lit(1 - float(np.arccos(least)) / np.pi), F.col("bits"))
+    tables = F.when(F.col("bits") == 0, 1).otherwise(F.ceil(F.log(F.lit(MISS)) / F.log(1 - share))).cast("int")
+    sized = distinct.join(F.broadcast(sizes.select("label", bits.alias("bits")).withColumn("tables", tables)), "label")
+    schema = distinct.select("id", "centre", "owner", "salt", "label").schema.add("code", "long")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, tables = (np.array(batch.column(k).to_pylist(), dtype=np.int64) for k in (6, 7))
+            lengths = np.array([len(x.as_buffer()) // 8 for x in batch.column(5)])
+            for dims in np.unique(lengths):
+                at = np.flatnonzero(lengths == dims)
+                x = _matrix([batch.column(5)[int(i)].as_py() for i in at])
+                for table in range(int(tables[at].max())):
+                    use = tables[at] > table
+                    signs = x[use] @ _planes(int(dims), 24, 100 + table) > 0
+                    weights = np.where(np.arange(24) < bits[at[use]][:, None], np.int64(1) << np.arange(24), 0)
+                    take = pa.array(at[use])
+                    code = pa.array((signs * weights).sum(axis=1) + (np.int64(table) << 32))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(5)), code], names=schema.names)
 
-def first_graph(centres: DataFrame, size: int) -> DataFrame:
-    """The nearest neighbours of each centre within random and hyperplane groups of about ``GROUP``."""
-    sizes = centres.groupBy("label").agg(F.count("*").alias("n"))
-    bits = F.greatest(F.lit(0), F.least(F.lit(24), F.ceil(F.log2(F.col("n") / GROUP)))).cast("int")
-    with_bits = centres.join(sizes.select("label", bits.alias("bits")), "label")
-    codes = coded(with_bits, "bits", TABLES, 100).unionByName(centres.select("id", "label", F.lit(-1).cast("long").alias("code")))
-    many = codes.groupBy("label", "code").agg(F.ceil(F.count("*") / (2 * GROUP)).alias("parts"))
-    parted = codes.join(many, ["label", "code"]).select("id", "label", "code", F.pmod(F.xxhash64("id", "code"), F.col("parts")).alias("part"))
+    return sized.select("id", "centre", "owner", "salt", "label", "vector", "bits", "tables").mapInArrow(run, schema)
 
-    def run(groups: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        for _, group in groups.groupby(["label", "code", "part"], sort=False):
-            x = _matrix(group["vector"])
-            out += _best(x @ x.T, group["id"].to_numpy(), size)
-        return _edges(out)
 
-    spread = parted.join(centres.select("id", "vector"), "id").withColumn("task", F.pmod(F.xxhash64("label", "code", "part"), F.lit(1 << 30)))
-    n_tasks = F.greatest(F.lit(1), F.ceil(F.lit(centres.count() * (TABLES + 1)) / (32 * GROUP)))
-    return nearest(spread.groupBy(F.pmod("task", n_tasks).alias("t")).applyInPandas(run, EDGES), size)
+def _sides(unit: pd.DataFrame, least: float) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+    """The two blocks of a unit and which rows of different balls are linked."""
+    x, y = unit[unit["side"] == 0], unit[unit["side"] == 1]
+    y = y if len(y) else x
+    hit = _matrix(x["vector"]) @ _matrix(y["vector"]).T >= least
+    return x, y, hit & (x["centre"].to_numpy()[:, None] != y["centre"].to_numpy()[None, :])
 
 
-def nearest(edges: DataFrame, size: int) -> DataFrame:
-    """The ``size`` nearest of each id's distinct neighbours."""
-    order = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    return edges.groupBy("id", "other").agg(F.max("cosine").alias("cosine")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= size).drop("r")
+def families(units: DataFrame, least: float) -> DataFrame:
+    """(centre, family): a ball with links to ``NEIGHBOURS`` vectors or more goes to the family of the smallest linked centre."""
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, unit in rows.groupby("unit", sort=False):
+            x, y, hit = _sides(unit, least)
+            for a, b, h in ((x, y, hit), (y, x, hit.T)):
+                at = np.flatnonzero(h.any(axis=1))
+                others = np.where(h[at], b["centre"].to_numpy()[None, :], np.iinfo(np.int64).max).min(axis=1) if len(at) else []
+                out += list(zip(a["centre"].to_numpy()[at], others, h[at].sum(axis=1), strict=True))
+        return pd.DataFrame(out, columns=["centre", "other", "n"]).astype("int64")
+
+    found = units.groupBy("t").applyInPandas(run, "centre long, other long, n long").groupBy("centre").agg(F.min("other").alias("other"), F.max("n").alias("n"))
+    return found.select("centre", F.when(F.col("n") >= NEIGHBOURS, F.least("centre", "other")).otherwise(F.col("centre")).alias("family"))
 
-def descend(graph: DataFrame, centres: DataFrame, n: int, size: int) -> DataFrame:
-    """One round: the neighbours of each centre, in either direction, are compared with each other."""
-    back = graph.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine")
-    both = nearest(graph.unionByName(back), 2 * size).select("id", "other").unionByName(centres.select("id", F.col("id").alias("other")))
-    gathered = both.join(centres.select(F.col("id").alias("other"), "vector"), "other").withColumn("t", F.pmod(F.xxhash64("id"), F.lit(max(1, n * size // (256 * NEIGHBOURS)))))
+
+def family_pairs(units: DataFrame, least: float) -> DataFrame:
+    """The distinct (a, b), a <= b, of families with a link between two of their balls that share a bucket."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out: dict[tuple[int, int], float] = {}
-        for _, group in rows.groupby("id", sort=False):
-            x, ids = _matrix(group["vector"]), group["other"].to_numpy()
-            for a, b, c in _best(x @ x.T, ids, size):
-                out[a, b] = c
-        return _edges([(a, b, c) for (a, b), c in out.items()])
+        out = set()
+        for _, unit in rows.groupby("unit", sort=False):
+            x, y, hit = _sides(unit, least)
+            i, j = np.nonzero(hit)
+            p, q = x["family"].to_numpy()[i], y["family"].to_numpy()[j]
+            pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0)
+            out |= set(map(tuple, pairs.tolist()))
+        return pd.DataFrame(list(out), columns=["a", "b"]).astype("int64")
 
-    return nearest(graph.unionByName(gathered.groupBy("t").applyInPandas(run, EDGES)), size)
+    return units.groupBy("t").applyInPandas(run, "a long, b long").distinct()
 
 
-def audit(graph: DataFrame, centres: DataFrame, radii: DataFrame, least: float) -> float:
-    """Recall of candidate pairs for at most ``AUDIT`` centres against all centres."""
-    queries = centres.select("id", "label", "vector").join(radii, "id").orderBy(F.xxhash64("id"), "id").limit(AUDIT).toPandas()
-    if not len(queries):
-        return 1.0
-    shared = centres.sparkSession.sparkContext.broadcast({k: (g["id"].to_numpy(), _matrix(g["vector"]), g["radius"].to_numpy()) for k, g in queries.groupby("label")})
-    reach = float(np.arccos(least))
+def member_links(units: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, n) links of vectors with those of other balls, and (a, b) of balls, edges that join the same balls as all links do.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pandas()
-            out = []
-            for label, group in rows.groupby("label"):
-                if label in shared.value:
-                    ids, x, radius = shared.value[label]
-                    for i in range(0, len(group), BLOCK):
-                        part = group.iloc[i : i + BLOCK]
-                        angle = np.arccos(np.clip(x @ _matrix(part["vector"]).T, -1, 1))
-                        for q, j in zip(*np.nonzero(angle <= reach + radius[:, None] + part["radius"].to_numpy()[None, :]), strict=True):
-                            if ids[q] != part["id"].iat[j]:
-                                out.append((int(ids[q]), int(part["id"].iat[j])))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], type=pa.int64()), pa.array([o[1] for o in out], type=pa.int64())], names=["id", "other"])
-
-    true = centres.join(radii, "id").select("id", "label", "vector", "radius").mapInArrow(run, "id long, other long").distinct()
-    known = graph.select("id", "other").unionByName(graph.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
-    found = true.join(known.withColumn("hit", F.lit(1)), ["id", "other"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
-    return found["hit"] / found["n"] if found["n"] else 1.0
-
-
-def candidates(graph: DataFrame, radii: DataFrame, least: float) -> DataFrame:
-    """(a, b, cosine) of centre pairs near enough for a link between members."""
-    reach = float(np.arccos(least))
-    pairs = graph.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    wide = pairs.join(radii.select(F.col("id").alias("a"), F.col("radius").alias("ra")), "a").join(radii.select(F.col("id").alias("b"), F.col("radius").alias("rb")), "b")
-    return wide.where(F.acos(F.least(F.greatest("cosine", F.lit(-1.0)), F.lit(1.0))) <= reach + F.col("ra") + F.col("rb") + 1e-9).select("a", "b", "cosine")
-
-
-def neighbour_graph(centres: DataFrame, radii: DataFrame, least: float) -> tuple[DataFrame, float]:
-    """The graph after the descent, and its audited recall."""
-    size, n = NEIGHBOURS, centres.count()
-    graph = checkpointed(first_graph(centres, size))
-    rounds = 0
-    while True:
-        after = checkpointed(descend(graph, centres, n, size))
-        total, kept = after.count(), after.join(graph, ["id", "other"], "left_semi").count()
-        graph, rounds = after, rounds + 1
-        lists = candidates(graph, radii, least).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
-        saturated = lists.where(F.col("count") >= size).limit(1).count() > 0
-        recall = audit(graph, centres, radii, least)
-        enough = recall >= RECALL and not saturated
-        if enough and (recall == 1.0 or total - kept <= STILL * total or rounds >= ROUNDS):
-            break
-        if saturated or rounds >= ROUNDS:
-            if size >= n:  # a list has room for all others
-                break
-            size, rounds = 2 * size, 0
-    return graph, recall
-
-
-def member_links(pairs: DataFrame, member: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(id, n) links of members across candidate balls, and (a, b) of the balls that have any.
-
-    Members of either ball are compared in blocks of ``BLOCK`` rows against blocks, so no task holds a whole ball.
+    A unit gives one edge for each ball that it links, so the edges of a group don't grow with the square of its size.
     """
-    sized = member.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    numbered = member.join(sized, "centre").select("centre", "id", "vector", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "blocks")
-    side = sized.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    left = pairs.join(side.withColumnRenamed("centre", "a").withColumnRenamed("block", "i"), "a")
-    units = left.join(side.withColumnRenamed("centre", "b").withColumnRenamed("block", "j"), "b").withColumn("unit", F.xxhash64("a", "b", "i", "j"))
-    one = units.join(numbered, (units["a"] == numbered["centre"]) & (units["i"] == numbered["block"])).select("unit", "a", "b", F.lit(0).alias("side"), "id", "vector")
-    two = units.join(numbered, (units["b"] == numbered["centre"]) & (units["j"] == numbered["block"])).select("unit", "a", "b", F.lit(1).alias("side"), "id", "vector")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (a, b, _), unit in rows.groupby(["a", "b", "unit"], sort=False):
-            x, y = unit[unit["side"] == 0], unit[unit["side"] == 1]
-            hit = _matrix(x["vector"]) @ _matrix(y["vector"]).T >= least
-            out += [(a, b, int(i), int(k)) for i, k in zip(x["id"], hit.sum(axis=1), strict=True) if k]
-            out += [(a, b, int(i), int(k)) for i, k in zip(y["id"], hit.sum(axis=0), strict=True) if k]
+        for _, unit in rows.groupby("unit", sort=False):
+            x, y, hit = _sides(unit, least)
+            if not hit.any():
+                continue
+            own = x is y
+            counts = [(x, hit.sum(axis=1))] if own else [(x, hit.sum(axis=1)), (y, hit.sum(axis=0))]
+            top = np.iinfo(np.int64).max
+            left, right = x["centre"].to_numpy().copy(), y["centre"].to_numpy().copy()
+            while True:  # the smallest centre that the links lead to
+                up = np.minimum(left, np.where(hit, right[None, :], top).min(axis=1))
+                down = np.minimum(right, np.where(hit, up[:, None], top).min(axis=0))
+                if (up == left).all() and (down == right).all():
+                    break
+                left, right = up, down
+            for (side, n), root in zip(counts, (left, right), strict=False):
+                out += [(int(c), int(r), int(i), int(k)) for c, r, i, k in zip(side["centre"], root, side["id"], n, strict=True) if k]
         return pd.DataFrame(out, columns=["a", "b", "id", "n"]).astype("int64")
 
-    tasks = max(1, units.count() // 16)
-    links = one.unionByName(two).groupBy(F.pmod("unit", F.lit(tasks)).alias("t")).applyInPandas(run, "a long, b long, id long, n long")
-    links = checkpointed(links)
+    links = checkpointed(units.groupBy("t").applyInPandas(run, "a long, b long, id long, n long"))
     return links.groupBy("id").agg(F.sum("n").alias("n")), links.select("a", "b").distinct()
 
 
@@ -275,13 +261,21 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(embedding).alias("embedding"))
     unit = checkpointed(unit_vectors(rows))
     ball = checkpointed(balls(unit, least))
-    member = ball.join(unit, "id")
-    groups = ball.groupBy("centre").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
-    radii = groups.select(F.col("centre").alias("id"), "radius")
-    centres = checkpointed(unit.join(radii.select("id"), "id", "left_semi"))
-    graph, _ = neighbour_graph(centres, checkpointed(radii), least)
-    pairs = checkpointed(candidates(graph, radii, least))
-    across, linked = member_links(pairs, member, least)
+    groups = ball.groupBy("centre").agg(F.count("*").alias("size"))
+    big = groups.where(F.col("size") > BLOCK).select("centre", F.col("centre").alias("owner"), F.ceil(F.col("size") / BLOCK).alias("parts"))
+    member = checkpointed(ball.join(unit, "id").join(big, "centre", "left").select("id", "centre", "label", "vector", "owner", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0).cast("long")).alias("salt")))
+    vectors = member.select("id", "centre", "vector")
+    # equal vectors of a ball have the same buckets, so one of them stands for all in the search
+    codes = bucketed(member.groupBy("label", "centre", "vector").agg(F.min(F.struct("id", "owner", "salt")).alias("m")).select("label", "centre", "vector", "m.*"), least)
+    near, _ = met(codes, None, ["label", "code"], vectors)
+    family = checkpointed(families(near, least - SLACK))
+    named = vectors.join(family, "centre", "left").withColumn("family", F.coalesce("family", "centre"))
+    near = near.join(family, "centre", "left").withColumn("family", F.coalesce("family", "centre"))
+    pairs = checkpointed(family_pairs(near, least - SLACK))
+    rows_of = member.select("id", "centre", "owner", "salt").join(named.select("id", "family"), "id")
+    rows_of = rows_of.join(pairs.select(F.explode(F.array("a", "b")).alias("family")).distinct(), "family", "left_semi")
+    units, _ = met(rows_of, pairs, ["family"], vectors)
+    across, linked = member_links(units, least)
     # components of centres, each named by the smallest member of its balls
     of_centre = connected_components(linked)
     smallest = ball.groupBy("centre").agg(F.min("id").alias("smallest"), F.count("*").alias("n"))
