@@ -146,6 +146,17 @@ def budget_picks(points: DataFrame, budgets: Sequence[float], value: str = "f1",
     return met.groupBy("budget").agg(F.max(value).alias(f"best_{value}"), F.count("*").alias("n_feasible"))
 
 
+def budget_margins(points: DataFrame, budgets: Sequence[float], value: str = "f1", cost: str = "mean_latency_ms") -> DataFrame:
+    """For each budget the cheapest of the nearly best points within it, as ``pick_margins`` has it, with the numbers of ties and of feasible points."""
+    met = points.join(F.broadcast(grid(points, budgets, "budget")), F.col(cost) <= F.col("budget"))
+    best = met.groupBy("budget").agg(F.max(value).alias("__best"), F.count("*").alias("n_feasible"))
+    tied = met.join(F.broadcast(best), "budget").where(F.abs(F.col(value) - F.col("__best")) <= 1e-8 + 1e-5 * F.abs("__best"))  # a row for each budget
+    keys = [c for c in points.columns if c.startswith("s") and c[1:].isdigit()]
+    order = F.struct((-F.col(cost)).alias("c"), *((-F.col(k)).alias(k) for k in keys))
+    picked = tied.groupBy("budget", "n_feasible").agg(F.max_by(F.struct(*points.columns), order).alias("__p"), F.count("*").alias("n_ties"))
+    return picked.select("budget", "__p.*", "n_ties", "n_feasible")
+
+
 def decisions(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """One row of confusion counts and rates."""
     cells = confusion(F.col(truth).cast("boolean"), F.col(predicted).cast("boolean"))

@@ -141,10 +141,33 @@ def margin_grid3(spark, sf_dir):
     return _grid(spark, sf_dir).select(*(F.col(f"s{i}").cast("long").alias(f"s{i}") for i in range(3)), "tp", "fp", "fn", "tn", F.round("mean_latency_ms", 6).alias("mean_latency_ms"))
 
 
+def _steps(*more):
+    return [*(F.col(f"s{i}").cast("long").alias(f"s{i}") for i in range(3)), *(F.round(f"margin_{i}", R).alias(f"margin_{i}") for i in range(3)), *more]
+
+
 def margin_grid_full(spark, sf_dir):
-    """All 51 x 51 x 51 combinations, for the ten best of them."""
-    best = _grid(spark, sf_dir, 51).orderBy(F.desc("f1"), "mean_latency_ms", "s0", "s1", "s2").limit(10)
-    return best.select(*(F.col(f"s{i}").cast("long").alias(f"s{i}") for i in range(3)), "tp", "fp", "fn", "tn", F.round("f1", R).alias("f1"))
+    """All 51 x 51 x 51 combinations."""
+    return _grid(spark, sf_dir, 51).select(*_steps("tp", "fp", "fn", "tn", F.round("f1", R).alias("f1"), F.round("mean_latency_ms", 6).alias("mean_latency_ms")))
+
+
+def budget_picks_full(spark, sf_dir):
+    """The margins picked for each budget from all 51 x 51 x 51 combinations."""
+    out = sweeps.budget_margins(_grid(spark, sf_dir, 51), BUDGETS)
+    return out.select("budget", *_steps(F.round("f1", R).alias("f1"), F.round("mean_latency_ms", 6).alias("mean_latency_ms"), "n_ties", "n_feasible"))
+
+
+def margin_ties_full(spark, sf_dir):
+    out = sweeps.pick_margins(_grid(spark, sf_dir, 51), 250.0)
+    return out.select(*_steps(F.round("f1", R).alias("f1"), "n_ties"))
+
+
+def exit_composition_full(spark, sf_dir):
+    return sweeps.margin_sweep(probabilities(spark, sf_dir), P, "y", DELTAS, aggregation="max").select(F.col("step").cast("long").alias("step"), "exit_0", "exit_1", "exit_2", "exit_3")
+
+
+def outcome_cube_full(spark, sf_dir):
+    out = sweeps.outcomes_by_exit(probabilities(spark, sf_dir), P, "y", DELTAS)
+    return out.select(F.col("step").cast("long").alias("step"), F.col("exit_at").cast("long").alias("exit_at"), "outcome", "n")
 
 
 def budget_picks(spark, sf_dir):
@@ -499,6 +522,10 @@ QUERIES = {
     "threshold_sweep": threshold_sweep,
     "margin_grid3": margin_grid3,
     "margin_grid_full": margin_grid_full,
+    "budget_picks_full": budget_picks_full,
+    "margin_ties_full": margin_ties_full,
+    "exit_composition_full": exit_composition_full,
+    "outcome_cube_full": outcome_cube_full,
     "budget_picks": budget_picks,
     "margin_ties": margin_ties,
     "roc_auc": roc_auc,
