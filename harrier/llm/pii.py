@@ -3,14 +3,19 @@ r"""Personal data: base patterns, and identifiers found by bootstrapped contextu
 Base spans are the leftmost non-overlapping matches of one expression per kind (email, ip, card, phone) that also
 pass the kind's test; failing matches are dropped without a retry.
 
-Bootstrapping then looks for identifiers that the expressions miss. *Mentions* are the base-like spans and every
-token with digits or an at sign. A mention's *patterns* are the two words to its left, and one word to its left
-with one to its right. Distinct (pattern, value) pairs form a bipartite graph whose seeds are the values that are
-base entities. In each round a pattern is scored for the kind that prevails among its values, by the lower bound
-(Wilson's, ``SURE`` standard deviations) of that kind's share of the values' scores, so that a pattern with few
-values scores low, and accepted at ``PATTERN_SCORE``; a value that isn't known yet gets 1 - prod(1 - score) over its
-accepted patterns and joins the seeds at ``VALUE_SCORE``. Scores are per distinct value, so copies of a document give
-no extra weight. Unknown values need ``MIN_DIGITS`` digits.
+Bootstrapping then looks for identifiers that the expressions miss. *Mentions* are the base-like spans, every token
+with digits or an at sign, and every token after a label (``user: ann``, ``key=value``). *Seeds* are the values that are
+base entities and, as a fifth kind, ``secret``: labelled or quoted strings of 32 hexadecimal digits or more. A mention's
+*patterns* are its label; the two words to its left; the words on both sides; and, for values that aren't plain words,
+each word up to four words away on either side together with the value's shape (``+9 (9) 9-9``).
+
+Distinct (pattern, value) pairs form a bipartite graph. In each round a pattern is scored for the kind that prevails
+among its values, by the lower bound (Wilson's, ``SURE`` standard deviations) of that kind's share of the values'
+scores, unknown values counting as none, and accepted at ``PATTERN_SCORE`` (five values of one kind and no other pass);
+a value that isn't known yet gets 1 - prod(1 - score) over its accepted patterns and joins the known ones at
+``VALUE_SCORE``, for good. Rounds go on until none joins. Scores are per distinct value, so copies of a document give
+no extra weight. Values that have the form of a base kind but fail its test are never revealed. A secret is reported
+where an accepted pattern confirms it, not for its form alone.
 
 Positions count code points, ends are exclusive. Null and empty texts have no spans. Repeated rows get equal spans
 each. Texts are told apart by id and a hash, so a repeated id with another text does no harm; a null id is kept.
@@ -35,14 +40,22 @@ EXPRESSIONS = {
 }
 #: Cheap tests that a text with a match passes.
 GUARDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": EXPRESSIONS["card"], "phone": r"\+[0-9]"}
-MENTION = rf"{EXPRESSIONS['phone']}|(?<![0-9]){EXPRESSIONS['card']}|(?<!\S)(?=\S*[0-9@])\S++"
-_EDGE = r"""^[("'<\[{]+|[)"'>\]}.,;:!?]+$"""
-ROUNDS = 3
-PATTERN_SCORE = 0.35
-VALUE_SCORE = 0.35
+#: A label with its separator, and a value that follows one.
+_LABEL = r"[\p{L}_][\p{L}\p{N}_-]*+[\x20\t]?[=:]++[\x20\t]?[\"'(\[{<]*+"
+_LABELLED = r"(?<=[\p{L}\p{N}_][\x20\t]?[=:][\x20\t]?[\"']?)[\p{L}\p{N}_][^\s\"'=:]*+"
+MENTION = rf"{EXPRESSIONS['phone']}|(?<![0-9]){EXPRESSIONS['card']}|(?<!\S)(?=\S*[0-9@])\S++|{_LABELLED}"
+_LEAD, _TRAIL = r"^[^\p{L}\p{N}@+_]+", r"[^\p{L}\p{N}_]+$"
+_SECRET = "^[0-9A-Fa-f]{32,}$"
+#: All kinds of spans, in their order; those after the base kinds come from the method alone.
+ALL_KINDS = (*KINDS, "secret")
+PATTERN_SCORE = 0.6
+VALUE_SCORE = 0.6
 #: Standard deviations of the lower bound of a pattern's share.
-SURE = 3.3
-MIN_DIGITS = 3
+SURE = 1.645
+#: Words on either side that a pattern with a shape reaches.
+REACH = 4
+#: Pieces that the joins of the graph deal a hot pattern or value in.
+SALTS = 16
 #: Matches of a text whose places are computed together.
 RUN = 256
 
@@ -117,77 +130,112 @@ def base_spans(text: Column) -> Column:
 
 
 def _words(gap: Column) -> Column:
-    return F.regexp_extract_all(F.lower(gap), F.lit(r"[\p{L}\p{M}']+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(gap), F.lit(r"[\p{L}']+"), F.lit(0))
+
+
+def shape(value: Column) -> Column:
+    """A value with its runs of letters, of digits and of both written as a, 9 and x."""
+    runs = F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), r"\p{N}+", "9")
+    return F.regexp_replace(runs, "(?:a9)+a?|(?:9a)+9?", "x")
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """From (id, text_hash, text): id, text_hash, start, end, value, kind (null: unknown) and pattern, a row for each pattern."""
+    """From (id, text_hash, text): id, text_hash, start, end, value, kind (of a seed, or null), refuted and patterns, a row for each mention."""
     text = F.col("text")
-    rows = docs.where(text.rlike("[0-9@]")).select("id", "text_hash", located(text, MENTION).alias("found"), F.split(text, MENTION, -1).alias("gaps")).where(F.size("found") > 0)
+    rows = docs.where(text.rlike("[0-9@=:]")).select("id", "text_hash", located(text, MENTION).alias("found"), F.split(text, MENTION, -1).alias("gaps")).where(F.size("found") > 0)
     # a mention with the text between it and its neighbours only, so that exploding doesn't multiply long texts
     beside = F.transform("found", lambda m, i: F.struct(m.alias("m"), F.get("gaps", i).alias("before"), F.get("gaps", i + 1).alias("after")))
     each = rows.select("id", "text_hash", F.explode(beside).alias("x")).select("id", "text_hash", "x.*")
-    raw = F.col("m.value")
-    token = F.regexp_replace(raw, _EDGE, "")
-    lead = F.length(raw) - F.length(F.regexp_replace(raw, r"""^[("'<\[{]+""", ""))
+    # a label stands inside the token, or before it
+    inner = F.regexp_extract(F.col("m.value"), rf"^({_LABEL})(?=[\p{{L}}\p{{N}}@+_])", 1)
+    outer = F.regexp_extract("before", rf"({_LABEL})$", 1)
+    each = each.withColumn("raw", F.substring(F.col("m.value"), F.length(inner) + 1, F.length("m.value"))).withColumn("inside", F.length(inner)).withColumn("label", F.when(F.length(inner) > 0, inner).otherwise(outer))
+    lead = F.length("raw") - F.length(F.regexp_replace("raw", _LEAD, ""))
+    token = F.regexp_replace(F.regexp_replace("raw", _LEAD, ""), _TRAIL, "")
     each = each.select(
         "id",
         "text_hash",
-        (F.col("m.start") + lead).alias("start"),
-        (F.col("m.start") + lead + F.length(token)).alias("end"),
+        (F.col("m.start") + F.col("inside") + lead).alias("start"),
+        (F.col("m.start") + F.col("inside") + lead + F.length(token)).alias("end"),
         token.alias("token"),
         F.lower(token).alias("value"),
-        _words(F.col("before")).alias("left"),
-        F.get(_words(F.col("after")), F.lit(0)).alias("right"),
-    )
-    kind = F.coalesce(*(F.when(F.col("token").rlike(f"^(?:{EXPRESSIONS[k]})$") & passes(k, F.col("token")), F.lit(k)) for k in KINDS))
-    before = F.slice(F.reverse("left"), 1, 2)
-    two = F.when(F.size("left") >= 2, F.concat_ws(" ", F.lit("<"), F.get(before, F.lit(1)), F.get(before, F.lit(0))))
-    around = F.when(F.size("left") >= 1, F.concat_ws(" ", F.lit("<"), F.get(before, F.lit(0)), F.lit("> "), F.col("right")))
-    around = F.when(F.col("right").isNotNull(), around)
-    each = each.where(F.length("value") > 0).withColumn("kind", kind)
-    each = each.where(F.col("kind").isNotNull() | ((F.length(_digits(F.col("value"))) >= MIN_DIGITS) & (F.length("value") >= 5)))
-    return each.select("id", "text_hash", "start", "end", "value", "kind", F.explode(F.array_compact(F.array(two, around))).alias("pattern"))
-
-
-def _patterns(graph: DataFrame, known: DataFrame | None) -> DataFrame:
-    """pattern, kind and score of the accepted patterns, given the graph and the values found so far."""
-    if known is None:
-        scored = graph.select("pattern", "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("score"))
-    else:
-        scored = graph.join(known.select("value", F.col("kind").alias("found"), F.col("score").alias("value_score")), "value", "left").select("pattern", F.coalesce("kind", "found").alias("kind"), F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("value_score", F.lit(0.0))).alias("score"))
-    sums = scored.groupBy("pattern").agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in KINDS))
-    n, z = F.col("n"), SURE
-
-    def sure(k: str) -> Column:
-        share = F.col(k) / n
-        spread = z * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / n + z * z / (4 * n * n))
-        return (share + z * z / (2 * n) - spread) / (1 + z * z / n)
-
-    best = F.greatest(*(F.struct(sure(k).alias("score"), F.lit(k).alias("kind")) for k in KINDS))
-    return sums.select("pattern", best.alias("best")).where(F.col("best.score") >= PATTERN_SCORE).select("pattern", "best.kind", "best.score")
-
-
-def _values(graph: DataFrame, patterns: DataFrame) -> DataFrame:
-    """value, kind and score of the unknown values that the accepted patterns reveal."""
-    unknown = graph.where("kind IS NULL").select("pattern", "value")
-    votes = unknown.join(patterns, "pattern").groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best"), F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999)))).alias("miss"))
-    return votes.select("value", F.col("best.kind").alias("kind"), (1 - F.exp("miss")).alias("score")).where(F.col("score") >= VALUE_SCORE)
-
-
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+        shape(token).alias("shape"),
+        F.regexp_extract(F.lower("label"), r"^[\p{L}\p{N}_-]+", 0).alias("label"),
+        ((F.length("label") > 0) | F.col("raw").rlike("^[\"']")).alias("marked"),
+        F.reverse(F.slice(F.reverse(_words(F.col("before"))), 1, REACH)).alias("left"),
+        F.slice(_words(F.col("after")), 1, REACH).alias("right"),
+    ).where(F.length("value") > 0)
+    form = {k: F.col("token").rlike(f"^(?:{EXPRESSIONS[k]})$") for k in KINDS}
+    secret = F.col("marked") & F.col("token").rlike(_SECRET) & F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Fa-f]")
+    kind = F.coalesce(*(F.when(form[k] & passes(k, F.col("token")), F.lit(k)) for k in KINDS), F.when(secret, F.lit("secret")))
+    refuted = form["ip"] | form["card"] | form["phone"]
+    one, two = F.get("left", F.size("left") - 1), F.get("left", F.size("left") - 2)
+    patterns = [
+        F.when(F.length("label") > 0, F.concat(F.lit("= "), F.col("label"))),
+        F.when(F.size("left") >= 2, F.concat_ws(" ", F.lit("<"), two, one)),
+        F.when((F.size("left") >= 1) & (F.size("right") >= 1), F.concat_ws(" ", F.lit("<>"), one, F.get("right", F.lit(0)))),
+    ]
+    far = F.concat(F.transform("left", lambda w: F.concat_ws(" ", F.lit("<~"), w, "shape")), F.transform("right", lambda w: F.concat_ws(" ", F.lit(">~"), w, "shape")))
+    far = F.when(F.col("shape") != "a", far).otherwise(F.array().cast("array<string>"))
+    return each.select("id", "text_hash", "start", "end", "value", kind.alias("kind"), refuted.alias("refuted"), F.array_distinct(F.array_compact(F.concat(F.array(*patterns), far))).alias("patterns"))
+
+
+def _salted(rows: DataFrame, few: DataFrame, on: str, by: str) -> DataFrame:
+    """rows joined with few on a key, a hot key's rows being dealt in ``SALTS`` pieces by another column."""
+    dealt = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, [on, "salt"]).drop("salt")
+
+
+def sure(share: Column, n: Column) -> Column:
+    """Wilson's lower bound of a share of n."""
+    z = SURE
+    spread = z * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - spread) / (1 + z * z / n)
+
+
+def _patterns(totals: DataFrame, gained: DataFrame | None) -> DataFrame:
+    """pattern, kind and score of the accepted patterns, from the sums of seeds and of the values found so far."""
+    every = totals if gained is None else totals.unionByName(gained.withColumn("n", F.lit(0).cast("long"))).groupBy("pattern").agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in ALL_KINDS))
+    best = F.greatest(*(F.struct(sure(F.col(k) / F.col("n"), F.col("n")).alias("score"), F.lit(k).alias("kind")) for k in ALL_KINDS))
+    return every.select("pattern", best.alias("best")).where(F.col("best.score") >= PATTERN_SCORE).select("pattern", "best.kind", "best.score")
+
+
+def _sums(rows: DataFrame, score: Column) -> list[Column]:
+    return [F.sum(F.when(F.col("kind") == k, score).otherwise(0.0)).alias(k) for k in ALL_KINDS]
+
+
+def bootstrap(graph: DataFrame) -> DataFrame:
+    """value, kind and score of the values that accepted patterns reveal, from (pattern, value, kind, refuted)."""
+    totals = checkpointed(graph.groupBy("pattern").agg(F.count("*").alias("n"), *_sums(graph, F.lit(1.0))))
+    open_pairs = graph.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)) & ~F.col("refuted"))
+    known = gained = None
+    while True:
+        votes = _salted(open_pairs.select("pattern", "value"), _patterns(totals, gained), "pattern", "value")
+        scored = votes.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best"), F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999)))).alias("miss"))
+        new = scored.select("value", F.col("best.kind").alias("kind"), (1 - F.exp("miss")).alias("score")).where(F.col("score") >= VALUE_SCORE)
+        new = checkpointed(new if known is None else new.join(known, "value", "left_anti"))
+        if new.isEmpty():
+            return new if known is None else known
+        known = new if known is None else checkpointed(known.unionByName(new))
+        # seeds count in the totals already
+        more = _salted(graph.where("kind IS NULL").select("pattern", "value"), new, "value", "pattern")
+        more = more.groupBy("pattern").agg(*_sums(more, F.col("score")))
+        gained = checkpointed(more if gained is None else gained.unionByName(more).groupBy("pattern").agg(*(F.sum(k).alias(k) for k in ALL_KINDS)))
+
+
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, row (all columns of docs), base (spans of the expressions) and spans (those and the discovered ones), one row a document."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    occurrences = mentions(rows)
-    graph = checkpointed(occurrences.groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
-    known = None
-    for _ in range(rounds):
-        known = checkpointed(_values(graph, _patterns(graph, known)))
+    occurrences = checkpointed(mentions(rows))
+    pairs = occurrences.select("value", "kind", "refuted", F.explode("patterns").alias("pattern"))
+    # a value's seed kind is that of any of its mentions
+    known = bootstrap(checkpointed(pairs.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.max("refuted").alias("refuted"))))
     based = rows.withColumn("base", base_spans(F.col("text")))
-    if known is None or known.isEmpty():
+    if known.isEmpty():
         return based.select("id", "row", "base", F.col("base").alias("spans"))
-    revealed = occurrences.where("kind IS NULL").select("id", "text_hash", "start", "end", "value").join(known.select("value", F.col("kind").alias("found")), "value")
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("found")).cast("int") - 1
+    candidates = occurrences.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))).select("id", "text_hash", "start", "end", "value")
+    revealed = _salted(candidates, known.select("value", F.col("kind").alias("found")), "value", "text_hash")
+    rank = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("found")).cast("int") - 1
     more = revealed.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", rank.alias("rank"), "end", F.col("found").alias("kind"))).alias("more"))
     same = based["id"].eqNullSafe(more["id"]) & (based["text_hash"] == more["text_hash"])
     joined = based.join(more, same, "left").select(based["id"], "row", "base", "more")

@@ -157,6 +157,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(pii.count_kind("base", kind).alias(f"n_{kind}") for kind in pii.KINDS),
         F.sha2(pii.digest("base"), 256).alias("base_sha256"),
         pii.digest("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_discovered"),
     )
 
 
