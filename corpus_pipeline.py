@@ -41,10 +41,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that of the smallest id."""
-    kept = minhash_dedup.near_duplicates(docs, width=5, percent=80).where("kept AND id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), the first by id and text.
+
+    Different texts under one id are judged each on its own; of equal ones one row stays.
+    """
+    return minhash_dedup.first_of_each(docs, width=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

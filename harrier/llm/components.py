@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where there is none."""
+    """The session's checkpoint folder. A temporary one stands in where there is none, on one machine only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -22,6 +25,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def salted(rows: DataFrame, few: DataFrame, on: str, by: str, salts: int = 16) -> DataFrame:
+    """rows joined with few on a key of which few has one row; a hot key's rows are dealt in ``salts`` pieces by another column."""
+    dealt = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(dealt, [on, "__salt"]).drop("__salt")
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
     return row["n"], row["x"] or 0
@@ -32,7 +41,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Large-star and small-star steps alternate until the edges are stars around the smallest nodes, which takes
     a number of rounds that grows with the logarithm of the components' size. Minima are taken by partial
-    aggregation and joined back, so a node with many edges is no bottleneck; nothing goes to the driver but counts.
+    aggregation and joined back; the edges of a node that has many are split by AQE's skew join (on by default) where
+    they exceed its threshold. Nothing goes to the driver but counts.
     """
     stars = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     stars = checkpointed(stars)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrier.llm.components import checkpointed
+from harrier.llm.components import checkpointed, salted
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive quantifiers and \G keep the matches of the plain expressions but don't try the same run twice.
@@ -54,8 +54,6 @@ VALUE_SCORE = 0.6
 SURE = 1.645
 #: Words on either side that a pattern with a shape reaches.
 REACH = 4
-#: Pieces that the joins of the graph deal a hot pattern or value in.
-SALTS = 16
 #: Matches of a text whose places are computed together.
 RUN = 256
 
@@ -180,12 +178,6 @@ def mentions(docs: DataFrame) -> DataFrame:
     return each.select("id", "text_hash", "start", "end", "value", kind.alias("kind"), refuted.alias("refuted"), F.array_distinct(F.array_compact(F.concat(F.array(*patterns), far))).alias("patterns"))
 
 
-def _salted(rows: DataFrame, few: DataFrame, on: str, by: str) -> DataFrame:
-    """rows joined with few on a key, a hot key's rows being dealt in ``SALTS`` pieces by another column."""
-    dealt = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, [on, "salt"]).drop("salt")
-
-
 def sure(share: Column, n: Column) -> Column:
     """Wilson's lower bound of a share of n."""
     z = SURE
@@ -210,7 +202,7 @@ def bootstrap(graph: DataFrame) -> DataFrame:
     open_pairs = graph.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)) & ~F.col("refuted"))
     known = gained = None
     while True:
-        votes = _salted(open_pairs.select("pattern", "value"), _patterns(totals, gained), "pattern", "value")
+        votes = salted(open_pairs.select("pattern", "value"), _patterns(totals, gained), "pattern", "value")
         scored = votes.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best"), F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999)))).alias("miss"))
         new = scored.select("value", F.col("best.kind").alias("kind"), (1 - F.exp("miss")).alias("score")).where(F.col("score") >= VALUE_SCORE)
         new = checkpointed(new if known is None else new.join(known, "value", "left_anti"))
@@ -218,7 +210,7 @@ def bootstrap(graph: DataFrame) -> DataFrame:
             return new if known is None else known
         known = new if known is None else checkpointed(known.unionByName(new))
         # seeds count in the totals already
-        more = _salted(graph.where("kind IS NULL").select("pattern", "value"), new, "value", "pattern")
+        more = salted(graph.where("kind IS NULL").select("pattern", "value"), new, "value", "pattern")
         more = more.groupBy("pattern").agg(*_sums(more, F.col("score")))
         gained = checkpointed(more if gained is None else gained.unionByName(more).groupBy("pattern").agg(*(F.sum(k).alias(k) for k in ALL_KINDS)))
 
@@ -234,7 +226,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     if known.isEmpty():
         return based.select("id", "row", "base", F.col("base").alias("spans"))
     candidates = occurrences.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))).select("id", "text_hash", "start", "end", "value")
-    revealed = _salted(candidates, known.select("value", F.col("kind").alias("found")), "value", "text_hash")
+    revealed = salted(candidates, known.select("value", F.col("kind").alias("found")), "value", "text_hash")
     rank = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("found")).cast("int") - 1
     more = revealed.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", rank.alias("rank"), "end", F.col("found").alias("kind"))).alias("more"))
     same = based["id"].eqNullSafe(more["id"]) & (based["text_hash"] == more["text_hash"])

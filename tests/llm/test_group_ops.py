@@ -83,7 +83,8 @@ def test_minhash_family_of_edited_copies(spark, monkeypatch):
     texts |= {900: "", 901: None, 902: "Two words", 903: "two WORDS", 904: "one", 905: texts[500]}
     docs = spark.createDataFrame([*texts.items(), (902, "Two words"), (None, "two words")], "doc_id long, text string").withColumn("node", F.lit("clash"))
     want = brute_force_components(texts, 3, 85)
-    for rounds, pairs in ((4, 200), (4, 0), (1, 0)):
+    for rounds, pairs, block in ((4, 200, 512), (4, 0, 512), (1, 0, 16)):
+        monkeypatch.setattr(minhash_dedup, "BLOCK", block)
         monkeypatch.setattr(minhash_dedup, "LEADER_ROUNDS", rounds)
         monkeypatch.setattr(minhash_dedup, "PAIRS_PER_POSTING", pairs)
         rows = minhash_dedup.near_duplicates(docs, width=3, percent=85).collect()
@@ -93,6 +94,24 @@ def test_minhash_family_of_edited_copies(spark, monkeypatch):
     assert minhash_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_minhash_with_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    text = lambda: [f"w{i}" for i in rng.integers(0, 9000, 120)]
+    a, b, c = text(), text(), text()
+    edited = lambda x, j: " ".join([*x[:j], "other", *x[j + 1 :]])
+    a, b, c, a2, b2, c2 = (" ".join(a), " ".join(b), " ".join(c), edited(a, 40), edited(b, 50), edited(c, 60))
+    rows = [(5, a), (5, b), (6, a2), (7, b2), (8, c), (9, c2), (9, c2), (9, ""), (5, a), (3, None), (3, None), (None, a)]
+    for parts, block in ((1, 512), (7, 2)):
+        monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"text_hash": F.lit("clash"), "__hash": F.lit("x")}).repartition(parts)
+        found = [(r.id, r.n_shingles > 0, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs).collect()]
+        want = [(5, True, 5, True)] * 3 + [(6, True, 5, False), (7, True, 5, False), (8, True, 8, True), (9, True, 8, False), (9, True, 8, False), (9, False, 9, True), (3, False, 3, True), (3, False, 3, True), (None, True, None, True)]
+        assert Counter(found) == Counter(want)
+        out = minhash_dedup.first_of_each(docs)
+        assert out.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(5, a), (5, b), (8, c), (9, ""), (3, None), (None, a)])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(300, 340)] + [(5, 5), (9, 8), (8, 9)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
