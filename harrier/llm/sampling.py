@@ -15,7 +15,10 @@ def sampled_rows(docs: DataFrame, chosen: DataFrame, key: str, limit: int, *colu
     """Rows of ``docs`` whose key is among at most ``limit`` keys of ``chosen`` (key and further columns, one row a key).
 
     The keys with the smallest hashes are taken. They are at most ``limit`` rows of a few bytes, so they are
-    broadcast, and the texts stay where they are read.
+    broadcast, and the other texts stay where they are read. Of the rows of a repeated key the smallest is taken, so
+    there are at most ``limit`` rows.
     """
     keys = chosen.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), F.col(key)).limit(limit)
-    return docs.select(key, *columns).join(F.broadcast(keys), key)
+    found = docs.select(key, *columns).join(F.broadcast(keys), key)
+    names = [c for c in found.columns if c != key]
+    return found.groupBy(key).agg(F.min(F.struct(*names)).alias("__row")).select(key, "__row.*")

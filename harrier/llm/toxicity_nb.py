@@ -6,7 +6,8 @@ features are which n-grams it has. Each is scaled by r = log of the smoothed sha
 that have it over that of the others, and weighted by a logistic regression on the scaled features.
 
 The model is fitted on a bounded sample: at most ``LEARN_ROWS`` documents of each class, those with the smallest
-hashes of their ids; the intercept is then moved to the share of toxic rows among all that may be learned from.
+hashes of their ids. The intercept is then set so that a probability of 0.5 parts the classes best (by F1, each class
+weighing what it does among all rows that may be learned from), as scored by models that haven't seen the row (``FOLDS``).
 Tasks count n-grams and Spark sums them; the ``FEATURES`` n-grams that tell the classes apart best are kept. With
 no rows of one class, scores are the share of label 1 (0.5 without any). Null and empty texts have no n-grams.
 """
@@ -28,10 +29,10 @@ from harrier.llm.sampling import sampled_rows
 LEARN_ROWS = 3_000
 FEATURES = 6_000
 LENGTHS = (4, 5, 6, 7)
-LONGEST_WORD = 40
 SMOOTHING = 0.5
 L2 = 2e-3
 ROUNDS = 400
+FOLDS = 3
 _BITS = 22
 _FOLD: list[np.ndarray] = []
 
@@ -75,7 +76,7 @@ def _grams(codes: np.ndarray, blank: np.ndarray, owner: np.ndarray) -> Iterator[
         yield span_hash(prefix, start, start + n), owner[start]
     at = np.flatnonzero(blank)
     size = np.diff(at)
-    whole = np.flatnonzero((size > 1) & (size <= LONGEST_WORD))
+    whole = np.flatnonzero(size > 1)
     yield span_hash(prefix, at[whole], at[whole + 1] + 1) ^ np.uint64(1 << 40), owner[at[whole]]
 
 
@@ -139,6 +140,18 @@ def _regression(n: int, row: np.ndarray, feature: np.ndarray, ratio: np.ndarray,
     return weight * ratio, bias
 
 
+def best_cut(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
+    """The margin that parts the classes with the best F1: halfway between the rows on both sides; of ties the middle one."""
+    order = np.argsort(-margin, kind="stable")
+    m, y, w = margin[order], label[order], weight[order]
+    tp, fp = np.cumsum(w * y), np.cumsum(w * (1 - y))
+    f1 = 2 * tp / (tp + fp + (w * y).sum())
+    f1[:-1][m[:-1] == m[1:]] = -1  # rows of one margin go together
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    k = int(best[len(best) // 2])
+    return float((m[k] + m[min(k + 1, len(m) - 1)]) / 2)
+
+
 def learn(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = LEARN_ROWS, size: int = FEATURES) -> Model:
     """Fits on at most ``limit`` rows of each class of ``labelled`` (key and label 0 or 1, one row a key)."""
     labelled = labelled.select(F.col(key), F.col(label).cast("int").alias("__label")).where("__label IN (0, 1)")
@@ -182,9 +195,20 @@ def learn(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
     found = found.sort_values(["key", "features"], kind="stable")
     lists = [np.frombuffer(x, dtype=np.int32) for x in found["features"]]
     label_of = found["label"].to_numpy(dtype=float)
-    weight, bias = _regression(len(found), np.repeat(np.arange(len(found)), [len(x) for x in lists]), np.concatenate(lists), best["ratio"].to_numpy(), label_of)
-    moved = np.log(n1 / n0) - np.log(max(label_of.sum(), 1) / max((1 - label_of).sum(), 1))
-    return Model(float(bias + moved), known.value, weight)
+    ratio, row = best["ratio"].to_numpy(), np.repeat(np.arange(len(found)), [len(x) for x in lists])
+    feature, fold, margin = np.concatenate(lists), np.arange(len(found)) % FOLDS, np.zeros(len(found))
+    # folds are dealt within each class
+    for k in (0, 1):
+        fold[label_of == k] = np.arange(int((label_of == k).sum())) % FOLDS
+    for k in range(FOLDS):
+        seen = fold != k
+        number = np.cumsum(seen) - 1
+        own = seen[row]
+        weight, bias = _regression(int(seen.sum()), number[row[own]], feature[own], ratio, label_of[seen])
+        margin[~seen] = (bias + np.bincount(row, weight[feature], len(found)))[~seen]
+    share = np.where(label_of == 1, n1 / max(label_of.sum(), 1), n0 / max((1 - label_of).sum(), 1))
+    weight, bias = _regression(len(found), row, feature, ratio, label_of)
+    return Model(float(bias - best_cut(margin, label_of, share)), known.value, weight)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
