@@ -25,10 +25,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def salted(rows: DataFrame, few: DataFrame, on: str, by: str, salts: int = 16) -> DataFrame:
+def salted(rows: DataFrame, few: DataFrame, on: str | list[str], by: str, salts: int = 16) -> DataFrame:
     """rows joined with few on a key of which few has one row; a hot key's rows are dealt in ``salts`` pieces by another column."""
     dealt = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(dealt, [on, "__salt"]).drop("__salt")
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(dealt, [*([on] if isinstance(on, str) else on), "__salt"]).drop("__salt")
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:

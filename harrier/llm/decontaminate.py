@@ -5,10 +5,11 @@ Words are runs of ASCII letters and digits and of non-ASCII characters, after lo
 up the hash of every token window of a document in the set, verify each hit word by word, and mark the words
 inside. Nothing is sampled and every window length that the benchmark has is scanned.
 
-The set is sent to the tasks in pieces of at most ``PIECE_WINDOWS`` windows; a benchmark of more windows takes
-further passes over the documents, so a broadcast stays within its bound whatever the benchmark's size. An item
-whose text or id is null is no item; a null document has no words. Documents are treated row by row, so repeated
-rows get equal results.
+A benchmark of at most ``SET_WINDOWS`` windows (counted once for each item) is sent to the tasks as a whole. Of a larger one they get a bitmap of the
+windows' hashes, whose size is fixed (``BITMAP_BITS``); the windows that it lets through are joined with the benchmark's,
+words and all. A broadcast stays within its bound whatever the benchmark's size, and documents are read in two passes
+at most. An item whose text or id is null is no item; a null document has no words. Documents are treated row by row,
+so repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harrier.llm.arrowtext import ALNUM, Words, pack_lists, shingle_hashes, text_buffers, with_text, word_blocks
+from harrier.llm.components import checkpointed, salted
 
 WIDTH = 13
-#: Windows in one broadcast piece: at about 200 bytes each, some 40 MB.
-PIECE_WINDOWS = 200_000
+#: Windows in a broadcast set: at about 200 bytes each, some 40 MB.
+SET_WINDOWS = 200_000
+#: A bitmap of 2**26 bits is 8 MB.
+BITMAP_BITS = 26
 _BITS = 22
 
 SPANS = "array<struct<start: int, end: int>>"
@@ -61,7 +65,7 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
 
 
 class WindowSet:
-    """A piece of the benchmark's windows, as the tasks look it up."""
+    """The benchmark's windows, as the tasks look them up."""
 
     def __init__(self, rows: list[tuple[int, int, bytes, list[str]]]):
         self.exact: dict[tuple[int, bytes], list[str]] = {(size, words): items for size, _, words, items in rows}
@@ -101,54 +105,82 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", benchmark_text: str = "text", width: int = WIDTH, piece: int = PIECE_WINDOWS) -> DataFrame:
+def bitmap(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """The first ``BITMAP_BITS`` bits of the windows' hashes as a bitmap, and the windows' sizes."""
+    place = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
+    longs = windows.select((place / 64).cast("long").alias("at"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(hash, {64 - BITMAP_BITS}) % 64))").alias("bit")).groupBy("at").agg(F.expr("bit_or(bit)").alias("bits"))
+    found = longs.toPandas()  # 2**20 rows at most
+    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out, sorted(r["size"] for r in windows.select("size").distinct().collect())
+
+
+def joined_hits(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """key, hits (first word and word after the last, in turn) and items, for each text (key, text) that has any."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap(windows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, sizes = shared.value
+        for batch in batches:
+            for row, _, words in word_blocks(batch.column(1), ALNUM):
+                for size in sizes:
+                    hashes = shingle_hashes(words.hashes, size)
+                    place = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+                    at = np.flatnonzero(bits[place >> 6] >> (place & 63) & 1)
+                    doc = np.searchsorted(words.first, at, side="right") - 1
+                    inside = at + size <= words.first[doc + 1]
+                    at, doc = at[inside], doc[inside]
+                    text = [b" ".join(words.bytes[s:e].tobytes() for s, e in zip(words.starts[i : i + size], words.ends[i : i + size], strict=True)) for i in at.tolist()]
+                    columns = [batch.column(0).take(pa.array(row + doc)), pa.array((at - words.first[doc]).astype(np.int32)), pa.array(np.full(len(at), size, dtype=np.int32)), pa.array(hashes[at].view(np.int64)), pa.array(text, type=pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "first", "size", "hash", "words"])
+
+    maybe = texts.mapInArrow(run, "key string, first int, size int, hash long, words binary")
+    sure = salted(maybe.distinct(), windows, ["size", "hash", "words"], "key")
+    return sure.groupBy("key").agg(F.flatten(F.collect_set(F.array("first", F.col("first") + F.col("size")))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", benchmark_text: str = "text", width: int = WIDTH, most: int = SET_WINDOWS) -> DataFrame:
     """The columns in ``keep``, n_words, n_hit, items (sorted, distinct) and spans (byte ranges to cut, end exclusive)."""
-    spark = docs.sparkSession
-    windows = benchmark_windows(benchmark, item, benchmark_text, width)
-    n_pieces = max(1, -(-windows.count() // piece))
-    out, place = with_text(docs, keep, text, F.lit(None).cast("array<int>").alias("__hits"), F.lit(None).cast("array<string>").alias("__items"))
+    windows = checkpointed(benchmark_windows(benchmark, item, benchmark_text, width))
+    known = None
+    hits, items = F.lit(None).cast("array<int>"), F.lit(None).cast("array<string>")
+    if (windows.agg(F.sum(F.size("items"))).first()[0] or 0) <= most:
+        known = docs.sparkSession.sparkContext.broadcast(WindowSet([(r.size, r.hash, bytes(r.words), list(r["items"])) for r in windows.collect()]))
+        out, place = with_text(docs, keep, text, hits.alias("__hits"), items.alias("__items"))
+    else:
+        # hits depend on the text alone
+        keyed = F.md5(F.col(text).cast("binary"))
+        texts = docs.where(F.col(text).isNotNull()).select(keyed.alias("key"), F.col(text).alias("text"))
+        found = checkpointed(joined_hits(texts, windows)).select(F.col("key").alias("__key"), F.col("hits").alias("__hits"), F.col("items").alias("__items"))
+        out, place = with_text(docs, keep, text, keyed.alias("__key"))
+        names = [c for c in out.columns if c != "__key"]
+        out = out.join(found, "__key", "left").select(*names, "__hits", "__items")
     n_carried = len(out.columns) - 2
-    carried = T.StructType([*out.schema.fields[:n_carried], T.StructField("__hits", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType()))])
     result = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(f"n_words long, n_hit long, items array<string>, spans {SPANS}").fields])
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def pass_with(rows: list[tuple[int, int, bytes, list[str]]], last: bool):
-        shared = spark.sparkContext.broadcast(rows)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = WindowSet(shared.value)
-            for batch in batches:
-                column, before_hits, before_items = batch.column(place), batch.column(n_carried), batch.column(n_carried + 1)
-                _, offsets = text_buffers(column)
-                for row, stop, words in word_blocks(column, ALNUM):
-                    hits: list[list[int]] = [x or [] for x in before_hits.slice(row, stop - row).to_pylist()]
-                    items: list[set[str]] = [set(x or []) for x in before_items.slice(row, stop - row).to_pylist()]
-                    for d, i, size, found in known.scan(words):
-                        i -= int(words.first[d])
-                        hits[d] += [i, i + size]
-                        items[d].update(found)
-                    for h in hits:
-                        h[:] = [x for s in merge_spans(list(zip(h[::2], h[1::2], strict=True))) for x in s]
-                    kept = [batch.column(k).slice(row, stop - row) for k in range(n_carried)]
-                    listed = pa.array([sorted(x) for x in items], type=pa.list_(pa.string()))
-                    if not last:
-                        yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, type=pa.list_(pa.int32())), listed], schema=batch.schema)
-                        continue
-                    spans = []
-                    for d, h in enumerate(hits):
-                        first, base = int(words.first[d]), int(offsets[row + d] - offsets[row])
-                        spans.append([{"start": int(words.starts[first + s]) - base, "end": int(words.ends[first + e - 1]) - base} for s, e in zip(h[::2], h[1::2], strict=True)])
-                    n_hit = pa.array([sum(h[1::2]) - sum(h[::2]) for h in hits], type=pa.int64())
-                    yield pa.RecordBatch.from_arrays([*kept[: len(keep)], pa.array(np.diff(words.first).astype(np.int64)), n_hit, listed, pa.array(spans, type=spans_type)], names=result.names)
-
-        return run
-
-    for k in range(n_pieces):
-        own = windows if n_pieces == 1 else windows.where(F.pmod(F.xxhash64("size", "words"), F.lit(n_pieces)) == k)
-        rows = [(r.size, r.hash, bytes(r.words), list(r["items"])) for r in own.collect()]
-        last = k == n_pieces - 1
-        out = out.mapInArrow(pass_with(rows, last), result if last else carried)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, before_hits, before_items = batch.column(place), batch.column(n_carried), batch.column(n_carried + 1)
+            _, offsets = text_buffers(column)
+            for row, stop, words in word_blocks(column, ALNUM):
+                hits: list[list[int]] = [x or [] for x in before_hits.slice(row, stop - row).to_pylist()]
+                items: list[set[str]] = [set(x or []) for x in before_items.slice(row, stop - row).to_pylist()]
+                for d, i, size, found in known.value.scan(words) if known is not None else ():
+                    i -= int(words.first[d])
+                    hits[d] += [i, i + size]
+                    items[d].update(found)
+                merged = [merge_spans(list(zip(h[::2], h[1::2], strict=True))) for h in hits]
+                spans = []
+                for d, own in enumerate(merged):
+                    first, base = int(words.first[d]), int(offsets[row + d] - offsets[row])
+                    spans.append([{"start": int(words.starts[first + s]) - base, "end": int(words.ends[first + e - 1]) - base} for s, e in own])
+                n_hit = pa.array([sum(e - s for s, e in own) for own in merged], type=pa.int64())
+                kept = [batch.column(k).slice(row, stop - row) for k in range(len(keep))]
+                listed = pa.array([sorted(x) for x in items], type=pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(words.first).astype(np.int64)), n_hit, listed, pa.array(spans, type=spans_type)], names=result.names)
+
+    return out.mapInArrow(run, result)
 
 
 def contaminated(share: int = 20) -> Column:

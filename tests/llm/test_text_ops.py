@@ -85,12 +85,12 @@ def test_op4_against_sql(spark, sf):
     pd.testing.assert_frame_equal(got[sorted(got)], want[sorted(want)], check_dtype=False)
 
 
-def test_decontamination_in_pieces_and_cases(spark):
+def test_decontamination_by_bitmap_and_cases(spark):
     test = " ".join(f"w{i}" for i in range(20))
     bench = spark.createDataFrame([("b", "Short, ITEM"), ("a", test), ("c", None), (None, "x y"), ("d", "... !")], "item_id string, text string")
     docs = spark.createDataFrame([(1, f"before {test.upper()} after"), (2, "a short item here"), (3, None), (4, ""), (5, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (1, f"before {test.upper()} after")], "doc_id long, text string").withColumn("n_hit", F.lit("clash"))
     one = decontaminate.find_hits(docs, bench).toPandas()
-    many = decontaminate.find_hits(docs, bench, piece=3).toPandas()
+    many = decontaminate.find_hits(docs, bench, most=3).toPandas()
     def key(d):
         return sorted((a, b, c, tuple(i), tuple((s["start"], s["end"]) for s in spans)) for a, b, c, i, spans in d[["doc_id", "n_words", "n_hit", "items", "spans"]].itertuples(index=False))
 
