@@ -1,13 +1,17 @@
 """Substring dedup by content-defined chunks of a gear rolling hash.
 
-A chunk ends where the gear hash of the last ``WINDOW`` bytes falls in one of ``1 / 16`` of its values and the
-chunk has ``SHORTEST`` bytes at least, or at ``LONGEST`` bytes. Boundaries depend on nearby bytes only, so a
-passage is cut alike wherever it stands, and an insertion disturbs the chunks next to it alone. Chunks are short
-(about 24 bytes), so single ones recur by chance; a *block* is ``CHUNKS_PER_BLOCK`` consecutive chunks, one begins
-at every chunk, and blocks are compared by a 64-bit digest. Blocks that occur in more than one document are merged
-to spans, and spans of ``words`` words or more are repeats. Chunk edges lose some words at either end of a passage,
-hence the default of 32 for passages of over 50 words. The first document (the smallest id) keeps a repeat; the
-others may cut it.
+A chunk ends where the gear hash of the last ``WINDOW`` bytes falls in one of ``1 / 16`` of its values and the chunk
+has ``SHORTEST`` bytes at least; where none does within ``LONGEST`` bytes, it ends at their lowest hash (the first of
+equal ones). Boundaries depend on nearby bytes only, so a passage is cut alike wherever it stands, and an insertion
+disturbs the chunks next to it alone. Chunks are short (about 23 bytes), so single ones recur by chance; a *block* is
+``CHUNKS_PER_BLOCK`` consecutive chunks. Of every two neighbouring blocks that with the lower digest is taken, so a
+passage with three whole chunks has one, and blocks are compared by a 64-bit digest.
+
+Blocks that occur in more than one document are merged to runs, whichever documents share each. A run that may or may not have more than ``words``
+words, given the text of up to ``CONTEXT`` bytes on either side, is extended byte by byte against the text of a
+document that shares its first block, and of one that shares its last, and its whole common words are counted. Runs
+of more words are repeats. The first document (the smallest id and text hash) keeps a repeat; the others may cut it.
+The edges of runs that are long enough without it stay at chunk edges.
 
 Offsets are in bytes, ends exclusive. Repeats within one document only don't count. Null and empty texts and rows
 with a null id have no spans. Rows of one id and text count once. Extra columns are not read.
@@ -16,21 +20,26 @@ with a null id have no spans. Rows of one id and text count once. Extra columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harrier.llm.arrowtext import NOT_SPACE, prefix_hash, row_blocks, seeded, shingle_hashes, span_hash, text_buffers
+from harrier.llm.components import checkpointed, salted
 
 WINDOW = 16
-SHORTEST, LONGEST = 8, 512
+SHORTEST, LONGEST = 8, 64
 BOUNDARY = np.uint16(0xF000)
-CHUNKS_PER_BLOCK = 4
-MIN_WORDS = 32
+CHUNKS_PER_BLOCK = 2
+#: Bytes on either side of a run in which it may be extended.
+CONTEXT = 2 * LONGEST
+#: A repeat has more words.
+WORDS = 50
 
 _GEAR = (seeded(303, 256) & np.uint64(0xFFFF)).astype(np.uint16)
 _BYTE = seeded(404, 256)
@@ -48,10 +57,11 @@ def boundaries(data: np.ndarray) -> np.ndarray:
     """The ends of a text's chunks."""
     if not len(data):
         return np.zeros(0, dtype=np.int64)
+    gear = gear_hash(data)
     ends, last = [], 0
-    for at in (np.flatnonzero((gear_hash(data) & BOUNDARY) == 0) + 1).tolist() + [len(data)]:
+    for at in (np.flatnonzero((gear & BOUNDARY) == 0) + 1).tolist() + [len(data)]:
         while at - last > LONGEST:
-            last += LONGEST
+            last += SHORTEST + int(gear[last + SHORTEST - 1 : last + LONGEST].argmin())
             ends.append(last)
         if at - last >= SHORTEST or at == len(data) and at > last:
             ends.append(at)
@@ -59,25 +69,34 @@ def boundaries(data: np.ndarray) -> np.ndarray:
     return np.array(ends, dtype=np.int64)
 
 
-def blocks_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """digest, start, end, first word and word after the last of each block of a text."""
+def blocks_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """digest, span (start << 32 | end), words (begun before the start << 32 | before the end) and near (words begun
+    within ``CONTEXT`` bytes before << 16 | after) of each block of a text that is taken."""
     ends = boundaries(data)
     if not len(ends):
-        return (np.zeros(0, dtype=np.int64),) * 5
+        return (np.zeros(0, dtype=np.int64),) * 4
     starts = np.concatenate([[0], ends[:-1]])
     chunks = span_hash(prefix_hash(_BYTE[data]), starts, ends)
     digests = shingle_hashes(chunks, CHUNKS_PER_BLOCK)
     n = len(digests)
+    low = digests[1:] <= digests[:-1]
+    taken = np.zeros(n, dtype=bool)
+    taken[1:] |= low
+    taken[: n - 1] |= ~low
+    taken |= n == 1
+    at = np.flatnonzero(taken)
     inside = NOT_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     words = np.concatenate([[0], np.cumsum(begins)])
-    return digests.view(np.int64), starts[:n], ends[CHUNKS_PER_BLOCK - 1 :], words[starts[:n]], words[ends[CHUNKS_PER_BLOCK - 1 :]]
+    start, end = starts[at], ends[at + CHUNKS_PER_BLOCK - 1]
+    before, after = words[start] - words[np.maximum(start - CONTEXT, 0)], words[np.minimum(end + CONTEXT, len(data))] - words[end]
+    return digests[at].view(np.int64), start << 32 | end, words[start] << 32 | words[end], before << 16 | after
 
 
 def block_rows(docs: DataFrame, positions: bool) -> DataFrame:
-    """From (id, text_hash, text): a row for each distinct block of a document, or with positions for each block."""
-    names = ["digest", "id"] + (["text_hash", "span", "words"] if positions else [])
+    """From (id, text_hash, text): the digest of each distinct block of a row, or with positions a row for each block."""
+    names = ["digest"] + (["id", "text_hash", "span", "words", "near"] if positions else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,71 +104,171 @@ def block_rows(docs: DataFrame, positions: bool) -> DataFrame:
             for row, stop in row_blocks(offsets):
                 parts = [blocks_of(data[offsets[i] : offsets[i + 1]]) for i in range(row, stop)]
                 if not positions:
-                    parts = [(np.unique(p[0]),) for p in parts]
-                count = np.array([len(p[0]) for p in parts])
-                owner = pa.array(np.repeat(np.arange(row, stop), count))
-                digest, *at = (np.concatenate([p[k] for p in parts]) for k in range(len(parts[0])))
-                columns = [pa.array(digest), batch.column(0).take(owner)]
-                if positions:
-                    columns += [batch.column(1).take(owner), pa.array(at[0] << 32 | at[1]), pa.array(at[2] << 32 | at[3])]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(p[0]) for p in parts]))], names=names)
+                    continue
+                owner = pa.array(np.repeat(np.arange(row, stop), [len(p[0]) for p in parts]))
+                digest, *at = (pa.array(np.concatenate([p[k] for p in parts])) for k in range(4))
+                yield pa.RecordBatch.from_arrays([digest, batch.column(0).take(owner), batch.column(1).take(owner), *at], names=names)
+
+    kinds = {"id": docs.schema["id"].dataType}
+    return docs.select("id", "text_hash", "text").mapInArrow(run, T.StructType([T.StructField(n, kinds.get(n, T.LongType())) for n in names]))
+
+
+def shared_blocks(docs: DataFrame) -> DataFrame:
+    """id, text_hash, start, end, words, near of each block that another document has too, its partner (id, text_hash,
+    span of the first document that has the block, or for that one of the last) and whether that is an earlier one."""
+    # blocks of one text only are most of them, and leave here as bare digests
+    several = checkpointed(block_rows(docs, False).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    found = checkpointed(block_rows(docs, True).join(several, "digest"))
+    place = F.struct("id", "text_hash", "span")
+    owners = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.id != last.id")
+    cut = (F.col("first.id") != F.col("id")) | (F.col("first.text_hash") != F.col("text_hash")) & (F.col("last.id") == F.col("id"))
+    other = F.when(F.col("first.id") != F.col("id"), F.col("first")).otherwise(F.col("last"))
+    each = salted(found, owners, "digest", "text_hash")
+    return each.select("id", "text_hash", F.shiftright("span", 32).alias("start"), (F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))).alias("end"), F.shiftright("words", 32).alias("w0"), F.col("words").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w1"), F.shiftright("near", 16).alias("before"), F.col("near").bitwiseAND(F.lit(0xFFFF)).alias("after"), other.alias("other"), cut.alias("cut"))
+
+
+def runs(blocks: DataFrame) -> DataFrame:
+    """The blocks of a document merged where they meet: id, text_hash, cut, start, end, words, before and after, and
+    left and right, the partners (id, text_hash, at) at the start and at the end."""
+    # once for all shared blocks, and once for those that an earlier document has
+    both = blocks.where("cut").unionByName(blocks.withColumn("cut", F.lit(False)))
+    own = ["id", "text_hash", "cut"]
+    order = Window.partitionBy(*own).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = both.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at_start, at_end = F.shiftright("other.span", 32), F.col("other.span").bitwiseAND(F.lit(0xFFFFFFFF))
+    side = lambda at: F.struct("other.id", "other.text_hash", at.alias("at"))
+    merged = numbered.groupBy(*own, "run").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        (F.max("w1") - F.min("w0")).alias("words"),
+        F.min_by("before", "start").alias("before"),
+        F.max_by("after", "end").alias("after"),
+        F.min(F.struct("start", side(at_start).alias("at"))).alias("left"),
+        F.max(F.struct("end", side(at_end).alias("at"))).alias("right"),
+    )
+    return merged.select(*own, "start", "end", "words", "before", "after", F.col("left.at").alias("left"), F.col("right.at").alias("right"))
+
+
+def contexts(docs: DataFrame, points: DataFrame) -> DataFrame:
+    """The text beside each point (id, text_hash, at, right) of a document: from the run's byte next to the point outwards,
+    up to ``CONTEXT`` bytes and a blank where the text ends."""
+    kind = T.StructType([docs.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("at", T.LongType()), T.StructField("right", T.BooleanType()), T.StructField("beside", T.BinaryType())])
+
+    def beside(text: bytes, at: int, right: bool) -> bytes:
+        found = text[at - 1 : at + CONTEXT] if right else text[max(at - CONTEXT, 0) : at + 1][::-1]
+        return found if len(found) > CONTEXT else found + b" "
 
-    kinds = {"digest": T.LongType(), "id": docs.schema["id"].dataType, "text_hash": T.LongType(), "span": T.LongType(), "words": T.LongType()}
-    return docs.select("id", "text_hash", "text").mapInArrow(run, T.StructType([T.StructField(n, kinds[n]) for n in names]))
-
-
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("words", T.LongType())]))
-
-
-def _merge(found: list[dict], words: int) -> list[dict]:
-    out: list[list[int]] = []
-    for start, end, first, last in sorted((f["span"] >> 32, f["span"] & 0xFFFFFFFF, f["words"] >> 32, f["words"] & 0xFFFFFFFF) for f in found):
-        if out and start <= out[-1][1]:
-            out[-1][1], out[-1][3] = max(out[-1][1], end), max(out[-1][3], last)
-        else:
-            out.append([start, end, first, last])
-    return [{"start": s, "end": e, "words": b - a} for s, e, a, b in out if b - a >= words]
-
-
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = MIN_WORDS) -> DataFrame:
-    """id, text_hash, n_bytes, repeats (all repeated spans) and cuts (those that an earlier document keeps), a row for each row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(2))
+            for i in range(batch.num_rows):
+                text, places = data[offsets[i] : offsets[i + 1]].tobytes(), batch.column(3)[i].as_py()
+                one = pa.array(np.full(len(places), i))
+                found = [beside(text, p["at"], p["right"]) for p in places]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(one), batch.column(1).take(one), pa.array([p["at"] for p in places], type=pa.int64()), pa.array([p["right"] for p in places]), pa.array(found, type=pa.binary())], names=kind.names)
+
+    # distinct points of a document are bounded by its length
+    listed = points.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "right")).alias("points"))
+    return docs.join(listed, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text_hash", "text", "points").mapInArrow(run, kind)
+
+
+def _word(text: bytes, i: int) -> bool:
+    return i < len(text) and text[i] not in b" \t\n\x0b\x0c\r"
+
+
+def further(a: bytes, b: bytes, right: bool) -> tuple[int, int]:
+    """By how many bytes two runs go on alike, given what is beside them (from the last byte of the run outwards), and how
+    many more words the run then has, a word that is cut short at its edge being none."""
+    n = 0
+    while n + 1 < min(len(a), len(b)) and a[n + 1] == b[n + 1]:
+        n += 1
+    if right:
+        ends = lambda i: _word(a, i) and not _word(a, i + 1) and not _word(b, i + 1)
+        while n and not ends(n):
+            n -= 1  # back to where a word ends in both
+        begun = sum(_word(a, i) and not _word(a, i - 1) for i in range(1, n + 1))
+        return n, begun - (not n and _word(a, 0) and not ends(0))
+    while n and not (_word(a, n) and not _word(a, n + 1) and not _word(b, n + 1)):
+        n -= 1  # back to where a word begins in both
+    return n, sum(_word(a, i) and not _word(a, i + 1) for i in range(1, n + 1)) - (not n and _word(a, 0) and not _word(a, 1) and _word(b, 1))
+
+
+def extended(uncertain: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The runs that have more than ``words`` whole words in common with a partner, extended to their true edges."""
+    place = lambda at: F.struct("id", "text_hash", F.col(at).alias("at"))
+    sides = [(place("start"), False, "a"), (F.col("left"), False, "b"), (place("end"), True, "c"), (F.col("right"), True, "d")]
+    points = [uncertain.select(s["id"].alias("id"), s["text_hash"].alias("text_hash"), s["at"].alias("at"), F.lit(r).alias("right")) for s, r, _ in sides]
+    beside = checkpointed(contexts(docs, reduce(DataFrame.unionByName, points).distinct()))
+    rows = uncertain
+    for s, r, name in sides:
+        keys = {f"__{k}": s[k] for k in ("id", "text_hash", "at")}
+        few = beside.where(F.col("right") == F.lit(r)).select(*(F.col(k[2:]).alias(k) for k in keys), F.col("beside").alias(name))
+        rows = salted(rows.withColumns(keys), few, [*keys], "text_hash").drop(*keys)
+
+    @F.pandas_udf("start long, end long, words long")
+    def edges(start: pd.Series, end: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        left, right = ([further(x, y, r) for x, y in zip(p, q, strict=True)] for p, q, r in ((a, b, False), (c, d, True)))
+        more = np.array([(x, y, i + j) for (x, i), (y, j) in zip(left, right, strict=True)], dtype=np.int64).reshape(-1, 3)
+        return pd.DataFrame({"start": start - more[:, 0], "end": end + more[:, 1], "words": n + more[:, 2]})
+
+    found = rows.select("id", "text_hash", "cut", edges("start", "end", "words", "a", "b", "c", "d").alias("e"))
+    return found.select("id", "text_hash", "cut", "e.*").where(F.col("words") > words)
+
+
+SPAN = "array<struct<start: bigint, end: bigint, words: bigint>>"
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """id, text_hash, n_bytes, repeats (all repeated spans of more than ``words`` words) and cuts (those that an earlier
+    document keeps), a row for each row."""
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     usable = rows.where("id IS NOT NULL")
-    owners = block_rows(usable, False).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("digest", "first")
-    found = block_rows(usable, True).join(owners, "digest")
-    each = found.groupBy("id", "text_hash").agg(F.collect_set(F.struct("span", "words", (F.col("first") != F.col("id")).alias("cut"))).alias("found"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
-        for batch in batches:
-            lists = batch.column(2).to_pylist()
-            every = pa.array([_merge(x, words) for x in lists], type=kind)
-            cut = pa.array([_merge([f for f in x if f["cut"]], words) for x in lists], type=kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), every, cut], names=["id", "text_hash", "repeats", "cuts"])
-
-    merged = each.mapInArrow(merge, T.StructType([each.schema["id"], each.schema["text_hash"], T.StructField("repeats", SPANS), T.StructField("cuts", SPANS)]))
+    found = checkpointed(runs(shared_blocks(usable)).where(F.col("words") + F.col("before") + F.col("after") > words))
+    # the first and the last word of a run may not be whole
+    sure = F.col("words") - 2 > words
+    spans = found.where(sure).select("id", "text_hash", "cut", "start", "end", "words").unionByName(extended(found.where(~sure), usable, words))
+    span = F.struct("start", "end", "words")
+    lists = spans.groupBy("id", "text_hash").agg(*(F.sort_array(F.collect_set(F.when(c, span))).alias(name) for name, c in (("repeats", ~F.col("cut")), ("cuts", F.col("cut")))))
     sizes = rows.select("id", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"))
-    none = F.array().cast(SPANS)
-    joined = sizes.join(merged, ["id", "text_hash"], "left")
-    return joined.select("id", "text_hash", "n_bytes", F.coalesce("repeats", none).alias("repeats"), F.coalesce("cuts", none).alias("cuts"))
+    joined = sizes.join(lists, ["id", "text_hash"], "left")
+    return joined.select("id", "text_hash", "n_bytes", *(F.coalesce(c, F.array().cast(SPAN)).alias(c) for c in ("repeats", "cuts")))
 
 
 def cut_text(text: bytes, cuts: list[tuple[int, int]]) -> bytes:
-    """A text without the given byte spans, which are in order and apart."""
+    """A text without the given byte spans, which are in order and may overlap."""
     out, at = [], 0
     for start, end in cuts:
-        out.append(text[at:start])
-        at = end
+        out.append(text[at : max(start, at)])
+        at = max(at, end)
     return b"".join([*out, text[at:]])
 
 
+def whole_characters(text: bytes, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The cuts drawn in to where characters begin."""
+    inside = lambda i: i < len(text) and text[i] & 0xC0 == 0x80
+    out = []
+    for start, end in cuts:
+        while inside(start):
+            start += 1
+        while inside(end):
+            end -= 1
+        if start < end:
+            out.append((start, end))
+    return out
+
+
 def without_repeats(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the cuts taken out of the text."""
     cuts = found.where(F.size("cuts") > 0).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.transform("cuts", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))).alias("__cuts")).distinct()
 
+    def without(text: bytes, spans: list[tuple[int, int]]) -> str:
+        return cut_text(text, whole_characters(text, spans)).decode("utf-8")
+
     @F.pandas_udf(T.StringType())
     def apply(values: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([v if v is None or not len(s) else cut_text(v.encode("utf-8"), [(c["start"], c["end"]) for c in s]).decode("utf-8", "ignore") for v, s in zip(values, spans, strict=True)])
+        return pd.Series([v if v is None or not len(s) else without(v.encode("utf-8"), [(c["start"], c["end"]) for c in s]) for v, s in zip(values, spans, strict=True)])
 
     joined = docs.join(cuts, (F.col(key) == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__hash")), "left")
     changed = apply(F.col(text), F.coalesce("__cuts", F.array().cast("array<struct<start: bigint, end: bigint>>")))

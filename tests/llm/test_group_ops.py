@@ -337,13 +337,54 @@ def test_chunks_resist_insertion_and_find_repeats(spark):
     assert [len(got[k][0].repeats) for k in (1, 2, 3, 4, 5, 6, 7, None)] == [1, 1, 0, 0, 0, 0, 0, 0]
     assert got[1][0].cuts == [] and len(got[2][0].cuts) == 1
     span = got[2][0].cuts[0]
-    assert rows[1][1].encode()[span.start : span.end].decode() in " " + passage + " " and span.words >= 40
+    assert rows[1][1].encode()[span.start : span.end].decode() in " " + passage + " " and span.words >= 50
     cut = chunk_dedup.without_repeats(table, found)
     assert {len(r.text) for r in cut.where("doc_id = 2").collect()} == {len(rows[1][1]) - (span.end - span.start)}
     assert cut.count() == len(rows)
     assert chunk_dedup.repeats(table.limit(0)).count() == 0
 
 
+def repeated_by_brute_force(texts, words=51):
+    """The keys of the texts that share so many words in a row, and all between them, with a text of another id."""
+    windows = defaultdict(set)
+    for k, t in texts:
+        ends = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", (t or "").encode())]
+        for (start, _), (_, end) in zip(ends, ends[words - 1 :], strict=False):
+            windows[(t or "").encode()[start:end]].add(k)
+    return {k for ids in windows.values() if len(ids) > 1 for k in ids}
+
+
+def test_chunks_against_brute_force(spark, sf):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.id for r in chunk_dedup.repeats(docs).collect() if r.repeats}
+    want = repeated_by_brute_force(texts)
+    assert len(want) > 50 and want <= got
+    assert len(got - want) <= 2  # of pieces that several documents share
+    # passages around the least length, in the midst of other words
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"{'abcdefghij'[: rng.integers(1, 9)]}{i}" for i in rng.integers(0, 99, n)]
+    rows = []
+    for k in range(150):
+        passage = words(46 + k % 10)
+        rows += [(2 * k + side, " ".join([*words(rng.integers(0, 60)), *passage, *words(rng.integers(0, 60))])) for side in (0, 1)]
+    got = {r.id for r in chunk_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.repeats}
+    want = repeated_by_brute_force(rows)
+    assert len(want) > 140 and got <= want and len(want - got) <= 2
+
+
+def test_further():
+    def both(a, b, run):
+        i, j = a.index(run), b.index(run)
+        beside = lambda t, at, right: (t[at - 1 :] if right else t[: at + 1][::-1]) + b" "
+        return chunk_dedup.further(beside(a, i, False), beside(b, j, False), False), chunk_dedup.further(beside(a, i + len(run), True), beside(b, j + len(run), True), True)
+
+    assert both(b"one two [run] three four", b"no two [run] three five", b"[run]") == ((4, 1), (6, 1))
+    assert both(b"xx[run]yy", b"zz[run]ww", b"[run]") == ((0, 0), (0, -1))
+    assert both(b" [run] ", b"z[run]", b"[run]") == ((0, -1), (0, 0))
+    assert both(b"[run]", b"[run]", b"[run]") == ((0, 0), (0, 0))
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids, states = [], docs
