@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harrier.llm.arrowtext import NOT_SPACE, prefix_hash, row_blocks, seeded, shingle_hashes, span_hash, text_buffers
-from harrier.llm.components import checkpointed, salted
+from harrier.llm.components import checkpointed
 
 WINDOW = 16
 SHORTEST, LONGEST = 8, 64
@@ -40,6 +40,10 @@ CHUNKS_PER_BLOCK = 2
 CONTEXT = 2 * LONGEST
 #: A repeat has more words.
 WORDS = 50
+#: Blocks that a thousandth of the documents have, by a sample of every 64th id, are dealt over so many tasks each; at
+#: most ``FREQUENT`` are. The sample decides about nothing else.
+SALTS = 64
+FREQUENT = 10_000
 
 _GEAR = (seeded(303, 256) & np.uint64(0xFFFF)).astype(np.uint16)
 _BYTE = seeded(404, 256)
@@ -94,18 +98,15 @@ def blocks_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return digests[at].view(np.int64), start << 32 | end, words[start] << 32 | words[end], before << 16 | after
 
 
-def block_rows(docs: DataFrame, positions: bool) -> DataFrame:
-    """From (id, text_hash, text): the digest of each distinct block of a row, or with positions a row for each block."""
-    names = ["digest"] + (["id", "text_hash", "span", "words", "near"] if positions else [])
+def block_rows(docs: DataFrame) -> DataFrame:
+    """From (id, text_hash, text): digest, id, text_hash, span, words and near of each block."""
+    names = ["digest", "id", "text_hash", "span", "words", "near"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
             for row, stop in row_blocks(offsets):
                 parts = [blocks_of(data[offsets[i] : offsets[i + 1]]) for i in range(row, stop)]
-                if not positions:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(p[0]) for p in parts]))], names=names)
-                    continue
                 owner = pa.array(np.repeat(np.arange(row, stop), [len(p[0]) for p in parts]))
                 digest, *at = (pa.array(np.concatenate([p[k] for p in parts])) for k in range(4))
                 yield pa.RecordBatch.from_arrays([digest, batch.column(0).take(owner), batch.column(1).take(owner), *at], names=names)
@@ -114,41 +115,54 @@ def block_rows(docs: DataFrame, positions: bool) -> DataFrame:
     return docs.select("id", "text_hash", "text").mapInArrow(run, T.StructType([T.StructField(n, kinds.get(n, T.LongType())) for n in names]))
 
 
+def frequent(docs: DataFrame) -> DataFrame:
+    """The digests of blocks that many documents have, at most ``FREQUENT``."""
+    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(64)) == 0)
+    counts = block_rows(sample).groupBy("digest").agg(F.count("*").alias("n"))
+    least = F.greatest(F.lit(32), F.lit(sample.count() / 1000))
+    return counts.where(F.col("n") >= least).orderBy(F.desc("n"), "digest").limit(FREQUENT).select("digest", F.lit(True).alias("hot"))
+
+
 def shared_blocks(docs: DataFrame) -> DataFrame:
-    """id, text_hash, start, end, words, near of each block that another document has too, its partner (id, text_hash,
-    span of the first document that has the block, or for that one of the last) and whether that is an earlier one."""
-    # blocks of one text only are most of them, and leave here as bare digests
-    several = checkpointed(block_rows(docs, False).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
-    found = checkpointed(block_rows(docs, True).join(several, "digest"))
-    place = F.struct("id", "text_hash", "span")
-    owners = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.id != last.id")
-    cut = (F.col("first.id") != F.col("id")) | (F.col("first.text_hash") != F.col("text_hash")) & (F.col("last.id") == F.col("id"))
-    other = F.when(F.col("first.id") != F.col("id"), F.col("first")).otherwise(F.col("last"))
-    each = salted(found, owners, "digest", "text_hash")
-    return each.select("id", "text_hash", F.shiftright("span", 32).alias("start"), (F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))).alias("end"), F.shiftright("words", 32).alias("w0"), F.col("words").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w1"), F.shiftright("near", 16).alias("before"), F.col("near").bitwiseAND(F.lit(0xFFFF)).alias("after"), other.alias("other"), cut.alias("cut"))
+    """id, text_hash, span, words and near of each block that another document has too, its partner (id, text_hash, span
+    of the first document that has the block, or for that one of the last) and whether that is an earlier one (cut)."""
+    hot = checkpointed(frequent(docs))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("text_hash"), F.lit(SALTS)) + 1).otherwise(0).cast("int")
+    # one shuffle: blocks are grouped and joined where they lie
+    dealt = block_rows(docs).join(F.broadcast(hot), "digest", "left").withColumn("salt", salt).drop("hot").repartition("digest", "salt")
+    whole = F.struct("id", "text_hash", "span", "words", "near")
+    ends = [F.min("first").alias("first"), F.max("last").alias("last")]
+    parts = dealt.groupBy("digest", "salt").agg(F.min(whole).alias("first"), F.max(whole).alias("last"), F.max("salt").alias("piece"))
+    joined = dealt.join(parts.where("piece > 0 OR first.id != last.id").drop("piece"), ["digest", "salt"])
+    spread = parts.where("piece > 0").groupBy("digest").agg(*ends).select("digest", F.col("first").alias("first_of_all"), F.col("last").alias("last_of_all"))
+    joined = joined.join(F.broadcast(checkpointed(spread)), "digest", "left").withColumns({"first": F.coalesce("first_of_all", "first"), "last": F.coalesce("last_of_all", "last")}).where("first.id != last.id")
+    mine = F.col("first.id") == F.col("id")
+    other = F.when(mine, F.col("last")).otherwise(F.col("first"))
+    return joined.select("id", "text_hash", "span", "words", "near", other["id"].alias("other_id"), other["text_hash"].alias("other_hash"), other["span"].alias("other_span"), (~mine).alias("cut"))
 
 
 def runs(blocks: DataFrame) -> DataFrame:
     """The blocks of a document merged where they meet: id, text_hash, cut, start, end, words, before and after, and
-    left and right, the partners (id, text_hash, at) at the start and at the end."""
-    # once for all shared blocks, and once for those that an earlier document has
-    both = blocks.where("cut").unionByName(blocks.withColumn("cut", F.lit(False)))
-    own = ["id", "text_hash", "cut"]
-    order = Window.partitionBy(*own).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = both.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    at_start, at_end = F.shiftright("other.span", 32), F.col("other.span").bitwiseAND(F.lit(0xFFFFFFFF))
-    side = lambda at: F.struct("other.id", "other.text_hash", at.alias("at"))
-    merged = numbered.groupBy(*own, "run").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        (F.max("w1") - F.min("w0")).alias("words"),
-        F.min_by("before", "start").alias("before"),
-        F.max_by("after", "end").alias("after"),
-        F.min(F.struct("start", side(at_start).alias("at"))).alias("left"),
-        F.max(F.struct("end", side(at_end).alias("at"))).alias("right"),
+    left and right, the partners (id, text_hash, at) at the start and at the end. Once for all shared blocks, and once
+    for those that an earlier document has (cut)."""
+    low, high = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    order = Window.partitionBy("id", "text_hash").orderBy("span")
+    start, end = low("span"), high("span")
+    numbered = blocks
+    for name, use in (("all", F.lit(True)), ("cut", F.col("cut"))):
+        reach = F.max(F.when(use, end)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        numbered = numbered.withColumn("new", (use & F.coalesce(start > reach, F.lit(True))).cast("int")).withColumn(f"run_{name}", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    side = lambda at: F.struct(F.col("other_id").alias("id"), F.col("other_hash").alias("text_hash"), at.alias("at"))
+    kinds = F.array(F.struct(F.lit(False).alias("cut"), F.col("run_all").alias("run")), F.struct(F.lit(True).alias("cut"), F.col("run_cut").alias("run")))
+    each = numbered.withColumn("kind", F.explode(F.when(F.col("cut"), kinds).otherwise(F.slice(kinds, 1, 1)))).drop("cut")
+    merged = each.groupBy("id", "text_hash", "kind.cut", "kind.run").agg(
+        F.min(start).alias("start"),
+        F.max(end).alias("end"),
+        (F.max(high("words")) - F.min(low("words"))).alias("words"),
+        F.min(F.struct(start.alias("start"), F.shiftright("near", 16).alias("words"), side(low("other_span")).alias("at"))).alias("left"),
+        F.max(F.struct(end.alias("end"), F.col("near").bitwiseAND(F.lit(0xFFFF)).alias("words"), side(high("other_span")).alias("at"))).alias("right"),
     )
-    return merged.select(*own, "start", "end", "words", "before", "after", F.col("left.at").alias("left"), F.col("right.at").alias("right"))
+    return merged.select("id", "text_hash", "cut", "start", "end", "words", F.col("left.words").alias("before"), F.col("right.words").alias("after"), F.col("left.at").alias("left"), F.col("right.at").alias("right"))
 
 
 def contexts(docs: DataFrame, points: DataFrame) -> DataFrame:
@@ -205,7 +219,7 @@ def extended(uncertain: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     for s, r, name in sides:
         keys = {f"__{k}": s[k] for k in ("id", "text_hash", "at")}
         few = beside.where(F.col("right") == F.lit(r)).select(*(F.col(k[2:]).alias(k) for k in keys), F.col("beside").alias(name))
-        rows = salted(rows.withColumns(keys), few, [*keys], "text_hash").drop(*keys)
+        rows = rows.withColumns(keys).join(few, [*keys]).drop(*keys)
 
     @F.pandas_udf("start long, end long, words long")
     def edges(start: pd.Series, end: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
