@@ -112,7 +112,7 @@ def block_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([digest, batch.column(0).take(owner), batch.column(1).take(owner), *at], names=names)
 
     kinds = {"id": docs.schema["id"].dataType}
-    return docs.select("id", "text_hash", "text").mapInArrow(run, T.StructType([T.StructField(n, kinds.get(n, T.LongType())) for n in names]))
+    return docs.select("id", "text_hash", "text").mapInArrow(run, T.StructType([T.StructField(n, kinds.get(n, T.LongType()), nullable=False) for n in names]))
 
 
 def frequent(docs: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def shared_blocks(docs: DataFrame) -> DataFrame:
     parts = dealt.groupBy("digest", "salt").agg(F.min(whole).alias("first"), F.max(whole).alias("last"), F.max("salt").alias("piece"))
     joined = dealt.join(parts.where("piece > 0 OR first.id != last.id").drop("piece"), ["digest", "salt"])
     spread = parts.where("piece > 0").groupBy("digest").agg(*ends).select("digest", F.col("first").alias("first_of_all"), F.col("last").alias("last_of_all"))
-    joined = joined.join(F.broadcast(checkpointed(spread)), "digest", "left").withColumns({"first": F.coalesce("first_of_all", "first"), "last": F.coalesce("last_of_all", "last")}).where("first.id != last.id")
+    joined = joined.join(F.broadcast(spread), "digest", "left").withColumns({"first": F.coalesce("first_of_all", "first"), "last": F.coalesce("last_of_all", "last")}).where("first.id != last.id")
     mine = F.col("first.id") == F.col("id")
     other = F.when(mine, F.col("last")).otherwise(F.col("first"))
     return joined.select("id", "text_hash", "span", "words", "near", other["id"].alias("other_id"), other["text_hash"].alias("other_hash"), other["span"].alias("other_span"), (~mine).alias("cut"))
