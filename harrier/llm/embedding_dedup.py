@@ -1,4 +1,4 @@
-"""Embedding near-dedup by hyperplane buckets and exact comparison of the families that meet in them.
+"""Embedding near-dedup by NN-descent over a graph that starts in hyperplane buckets, and exact comparison of families.
 
 Vectors of one label are compared by cosine in double precision; pairs at ``least`` or more are links. Vectors
 that are null, empty or zero, hold a null or non-finite component, or have a null label or id link with nothing.
@@ -7,14 +7,19 @@ that are null, empty or zero, hold a null or non-finite component, or have a nul
    close vectors together, and a vector within half the link angle of a table's smallest id joins that ball. By the
    triangle inequality all members of a ball are linked with each other, so they are counted, not paired, and only
    the ball's centre takes part in the descent. A third of all vectors may be copies of one.
-2. *Buckets.* Tables of hyperplane signs put vectors into buckets of about ``8 * GROUP`` centres. A label has as many
-   tables as a pair at ``least`` needs to share no bucket with a chance below ``MISS``; both numbers follow the label's
-   size, so recall doesn't fall with it. Vectors of a bucket are compared in blocks of ``BLOCK`` against blocks.
-3. *Families.* A ball with many links goes to the family of the smallest centre that it is linked with, so a dense group
-   outside the balls is one family rather than a pair for each two of its members. Pairs of families with a link between
-   them are found in the buckets.
-4. *Links.* The members of such a pair, and of one family, are compared exactly, in blocks against blocks, and counted;
-   no task holds a whole family. Members of one ball aren't compared.
+2. *Start.* Tables of hyperplane signs put centres into buckets of about ``8 * GROUP``. A label has as many tables as a
+   pair at ``least`` needs to share no bucket with a chance below ``MISS``; both numbers follow the label's size, so
+   recall doesn't fall with it. Vectors of a bucket are compared in blocks of ``BLOCK`` against blocks, and each centre
+   keeps its ``NEIGHBOURS`` nearest ones within twice the link angle.
+3. *Descent.* In each round the centres of a list, and the one whose list it is, are compared with each other, and lists
+   are made anew of all that was found, both ways, until no link is added.
+4. *Enlarging.* A list that holds links only is saturated. As it would grow to the size of its group, its ball goes
+   instead to the family of the smallest centre that it is linked with in the buckets, so that a dense group is one
+   family rather than a list for each of its members. Pairs of families with a link in the buckets or lists are found.
+5. *Links.* The members of such a pair, and of one family, are compared exactly, in blocks against blocks, and counted;
+   no task holds a whole family. Members of one ball aren't compared. Pairs at the threshold stay.
+6. *Audit.* The links of ``AUDITED`` vectors are compared with brute force, and of as many again until ``PAIRS`` links have
+   been seen or ``AUDITS`` rounds are over; with a recall below ``RECALL`` all is done again with a smaller ``MISS``.
 
 Rows of one id are one vector (the smallest by content). Results have one row for each input row.
 """
@@ -27,14 +32,16 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrier.llm.components import checkpointed, connected_components
 
 LEAST = 0.93
-#: Links of a vector from which its ball goes to a family.
+#: The length of a list, and the links of a vector from which its ball goes to a family.
 NEIGHBOURS = 10
+#: Vectors audited at a time, the links that make an audit, how often vectors are added, and the least recall.
+AUDITED, PAIRS, AUDITS, RECALL = 256, 100, 4, 0.999
 #: Buckets hold about 8 * GROUP centres; a pair of the least similarity shares none with a chance below MISS.
 GROUP = 48
 MISS = 1e-6
@@ -154,16 +161,16 @@ def met(rows: DataFrame, pairs: DataFrame | None, by: list[str], vectors: DataFr
     return reduce(DataFrame.unionByName, found).join(vectors, "id").withColumn("t", F.pmod("unit", F.lit(n))), n
 
 
-def bucketed(distinct: DataFrame, least: float) -> DataFrame:
+def bucketed(distinct: DataFrame, least: float, miss: float) -> DataFrame:
     """Rows with their buckets (label, code), one for each of the label's tables.
 
     A table has ``bits`` hyperplane signs, so that a bucket holds about ``8 * GROUP`` centres, and the tables of a label
-    are as many as it takes for a pair at ``least`` to share no bucket with a chance below ``MISS``, whatever its size.
+    are as many as it takes for a pair at ``least`` to share no bucket with a chance below ``miss``, whatever its size.
     """
     sizes = distinct.groupBy("label").agg(F.count_distinct("centre").alias("n"))
     bits = F.greatest(F.lit(0), F.least(F.lit(24), F.ceil(F.log2(F.col("n") / (8 * GROUP))))).cast("int")
     share = F.pow(F.lit(1 - float(np.arccos(least)) / np.pi), F.col("bits"))
-    tables = F.when(F.col("bits") == 0, 1).otherwise(F.ceil(F.log(F.lit(MISS)) / F.log(1 - share))).cast("int")
+    tables = F.when(F.col("bits") == 0, 1).otherwise(F.ceil(F.log(F.lit(miss)) / F.log(1 - share))).cast("int")
     sized = distinct.join(F.broadcast(sizes.select("label", bits.alias("bits")).withColumn("tables", tables)), "label")
     schema = distinct.select("id", "centre", "owner", "salt", "label").schema.add("code", "long")
 
@@ -256,6 +263,101 @@ def member_links(units: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     return links.groupBy("id").agg(F.sum("n").alias("n")), links.select("a", "b").distinct()
 
 
+PAIR = "a long, b long, cosine double"
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """The ``NEIGHBOURS`` nearest b of each a, from pairs in either direction."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
+    return both.withColumn("place", place).where(F.col("place") <= NEIGHBOURS).drop("place")
+
+
+def started(units: DataFrame, reach: float) -> DataFrame:
+    """The nearest centres of each one that share a bucket with it, at a cosine of ``reach`` or more."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, unit in rows.groupby("unit", sort=False):
+            x, y, hit = _sides(unit, reach)
+            if not hit.any():
+                continue
+            cosine = np.where(hit, _matrix(x["vector"]) @ _matrix(y["vector"]).T, -2)
+            p, q = x["centre"].to_numpy(), y["centre"].to_numpy()
+            for own, other, c in ((p, q, cosine), (q, p, cosine.T)):
+                best = np.argpartition(-c, min(NEIGHBOURS, c.shape[1]) - 1, axis=1)[:, :NEIGHBOURS]
+                i, j = np.nonzero(np.take_along_axis(c, best, axis=1) > -2)
+                out.append(np.rec.fromarrays([own[i], other[best[i, j]], c[i, best[i, j]]], names="a,b,cosine"))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros(0, dtype=[("a", "i8"), ("b", "i8"), ("cosine", "f8")]))
+
+    return nearest(units.groupBy("t").applyInPandas(run, PAIR))
+
+
+def descend(lists: DataFrame, centres: DataFrame, reach: float) -> DataFrame:
+    """The lists after a round in which the members of each list, and its owner, meet."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, group in rows.groupby("owner", sort=False):
+            ids, x = group["id"].to_numpy(), _matrix(group["vector"])
+            cosine = x @ x.T
+            i, j = np.nonzero(np.triu(cosine >= reach, 1))
+            out.append(pd.DataFrame({"a": ids[i], "b": ids[j], "cosine": cosine[i, j]}))
+        return pd.concat(out).drop_duplicates(["a", "b"]).astype({"a": "int64", "b": "int64"})
+
+    members = lists.select(F.col("a").alias("owner"), F.col("b").alias("id")).unionByName(lists.select(F.col("a").alias("owner"), F.col("a").alias("id")).distinct())
+    n = max(1, members.count() // 4096)
+    met = members.join(centres, "id").withColumn("t", F.pmod(F.xxhash64("owner"), F.lit(n)))
+    return nearest(met.groupBy("t").applyInPandas(run, PAIR).unionByName(lists.select("a", "b", "cosine")))
+
+
+def neighbour_graph(units: DataFrame, centres: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs a < b of centres in each other's lists that are linked, after rounds until none is added."""
+    reach = float(np.cos(2 * np.arccos(least)))
+    lists = checkpointed(started(units, reach))
+    links = lists.where(F.col("cosine") >= least).count()
+    while not lists.isEmpty():
+        lists = checkpointed(descend(lists, centres, reach))
+        now = lists.where(F.col("cosine") >= least).count()
+        if now <= links:
+            break
+        links = now
+    return lists.where(F.col("cosine") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def audited(member: DataFrame, each: DataFrame, least: float) -> tuple[float, int]:
+    """The mean recall of the links (id, n_links) of sampled vectors that have any, and how many links those have."""
+    shares, seen = [], 0
+    for turn in range(AUDITS):
+        order = F.xxhash64("id", F.lit(77))
+        sample = member.select("id", "label", "vector").orderBy(order, "id").offset(turn * AUDITED).limit(AUDITED).collect()
+        if not sample:
+            break
+        by_label: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for label in {r["label"] for r in sample}:
+            own = [r for r in sample if r["label"] == label]
+            by_label[label] = np.array([r["id"] for r in own]), _matrix([bytes(r["vector"]) for r in own])
+        shared = member.sparkSession.sparkContext.broadcast(by_label)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                labels = np.array(batch.column(1).to_pylist(), dtype=object)
+                for label in set(labels.tolist()) & set(shared.value):
+                    at = np.flatnonzero(labels == label)
+                    ids, x = shared.value[label]
+                    y = _matrix([batch.column(2)[int(i)].as_py() for i in at])
+                    hit = (x @ y.T >= least) & (ids[:, None] != batch.column(0).to_numpy()[at][None, :])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.sum(axis=1))], names=["id", "n"])
+
+        true = member.select("id", "label", "vector").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where("n > 0")
+        for r in true.join(each, "id").select("n", "n_links").collect():  # at most AUDITED rows
+            shares.append(min(r["n_links"] / r["n"], 1.0))
+            seen += r["n"]
+        if seen >= PAIRS:
+            break
+    return (float(np.mean(shares)) if shares else 1.0), seen
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST) -> DataFrame:
     """id, n_links, component_id and kept, a row for each row."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(embedding).alias("embedding"))
@@ -264,14 +366,31 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     groups = ball.groupBy("centre").agg(F.count("*").alias("size"))
     big = groups.where(F.col("size") > BLOCK).select("centre", F.col("centre").alias("owner"), F.ceil(F.col("size") / BLOCK).alias("parts"))
     member = checkpointed(ball.join(unit, "id").join(big, "centre", "left").select("id", "centre", "label", "vector", "owner", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0).cast("long")).alias("salt")))
+    miss = MISS
+    while True:
+        each = checkpointed(_linked(member, ball, least, miss))
+        recall, _ = audited(member, each, least)
+        if recall >= RECALL or miss < MISS**4:
+            break
+        miss **= 2
+    out = rows.select("id").join(each, "id", "left")
+    return out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+
+
+def _linked(member: DataFrame, ball: DataFrame, least: float, miss: float) -> DataFrame:
+    """id, n_links and component_id of each vector in ``member`` (id, centre, label, vector, owner, salt)."""
     vectors = member.select("id", "centre", "vector")
     # equal vectors of a ball have the same buckets, so one of them stands for all in the search
-    codes = bucketed(member.groupBy("label", "centre", "vector").agg(F.min(F.struct("id", "owner", "salt")).alias("m")).select("label", "centre", "vector", "m.*"), least)
+    codes = bucketed(member.groupBy("label", "centre", "vector").agg(F.min(F.struct("id", "owner", "salt")).alias("m")).select("label", "centre", "vector", "m.*"), least, miss)
     near, _ = met(codes, None, ["label", "code"], vectors)
+    graph = neighbour_graph(near, member.where("id = centre").select("id", "vector"), least - SLACK)
     family = checkpointed(families(near, least - SLACK))
     named = vectors.join(family, "centre", "left").withColumn("family", F.coalesce("family", "centre"))
     near = near.join(family, "centre", "left").withColumn("family", F.coalesce("family", "centre"))
-    pairs = checkpointed(family_pairs(near, least - SLACK))
+    of = {c: family.select(F.col("centre").alias(c), F.col("family").alias(f"{c}_family")) for c in "ab"}
+    ends = [F.coalesce("a_family", "a"), F.coalesce("b_family", "b")]
+    refined = graph.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    pairs = checkpointed(family_pairs(near, least - SLACK).unionByName(refined).distinct())
     rows_of = member.select("id", "centre", "owner", "salt").join(named.select("id", "family"), "id")
     rows_of = rows_of.join(pairs.select(F.explode(F.array("a", "b")).alias("family")).distinct(), "family", "left_semi")
     units, _ = met(rows_of, pairs, ["family"], vectors)
@@ -282,6 +401,4 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     named = smallest.join(of_centre.withColumnRenamed("node", "centre"), "centre", "left").withColumn("component", F.coalesce("component", "centre"))
     component = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
     info = named.join(component, "component").select("centre", "component_id", F.col("n").alias("together"))
-    each = ball.join(info, "centre").join(across, "id", "left").select("id", (F.col("together") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), "component_id")
-    out = rows.select("id").join(each, "id", "left")
-    return out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    return ball.join(info, "centre").join(across, "id", "left").select("id", (F.col("together") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), "component_id")
