@@ -11,7 +11,11 @@ from pyspark.sql import types as T
 from harrier.functions.text import col
 
 #: A small default; pass a full public suffix list for real data.
-SUFFIXES = ("com", "org", "net", "de", "edu", "gov", "info", "io", "app", "dev", "eu", "fr", "es", "it", "ru", "cn", "in", "me", "co", "uk", "co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp")
+SUFFIXES = (
+    "com", "org", "net", "de", "edu", "gov", "info", "io", "app", "dev", "eu", "fr", "es", "it", "ru", "cn", "in", "me", "co", "uk",
+    "name", "life", "moe", "xyz", "site", "ch", "club", "racing", "live", "cc", "mobi", "au", "pw", "be", "pro", "top", "stream",
+    "co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp",
+)
 _AUTHORITY = r"^[^:/?#]+://(?:[^/?#@]*@)*([^/?#:]*)(?::[^/?#]*)?"
 
 
@@ -51,9 +55,8 @@ def host_parts(host: Column | str, suffixes: Sequence[str] = SUFFIXES) -> Column
     """
     host = F.lower(col(host))
     labels = F.split(host, r"\.")
-    known = F.array(*(F.lit(s) for s in suffixes))
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("tail")))
-    found = F.get(F.filter(tails, lambda t: F.array_contains(known, t["tail"])), F.lit(0))
+    found = F.get(F.filter(tails, lambda t: t["tail"].isin(*suffixes)), F.lit(0))
     at = F.coalesce(found["i"], F.size(labels) + 1)
     address = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     join = lambda first, n: F.when(n > 0, F.array_join(F.slice(labels, first, F.greatest(n, F.lit(0))), ".")).otherwise("")

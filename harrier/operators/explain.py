@@ -27,6 +27,20 @@ def _counted(n: Column, unit: str) -> Column:
     return F.concat(n.cast("int").cast("string"), F.lit(unit))
 
 
+def sanitized(df: DataFrame) -> DataFrame:
+    """df with what JSON can't hold made plain: NaN and infinite numbers null, binary as text, times as ISO 8601."""
+
+    def plain(c: str, kind: str) -> Column:
+        x = F.col(f"`{c}`")
+        if kind in ("double", "float"):
+            return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+        if kind == "binary":
+            return F.try_validate_utf8(x.cast("string"))
+        return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss") if kind.startswith("timestamp") else x
+
+    return df.select(*(plain(c, kind).alias(c) for c, kind in df.dtypes))
+
+
 # Labels, values, weights and limits of the signals below are fixed values.
 
 
@@ -69,8 +83,9 @@ def content_signals(df: DataFrame) -> Column:
 
 
 def age_days(created: Column, as_of: Column) -> Column:
-    """Whole days, none below zero."""
-    return F.greatest(F.lit(0), F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) / F.lit(86400e6))).cast("long")
+    """Whole days, none below zero; null without a time."""
+    days = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) / F.lit(86400e6))
+    return F.when(days.isNotNull(), F.greatest(F.lit(0), days)).cast("long")
 
 
 def age_label(days: Column) -> Column:

@@ -7,6 +7,7 @@ exits, the probabilities are aggregated (max, mean or median) and the stage near
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -109,3 +110,18 @@ def staged(urls: DataFrame, key: str, run: Sequence[tuple[Stage, Callable[[DataF
         scored = score(urls.join(open_.select(key), key, "left_semi")).select(key, stage.probability)
         known = known.join(scored, key, "left")
     return known
+
+
+def asymmetric(df: DataFrame, score: str, low: float, high: float) -> DataFrame:
+    """df with ``exited``: at or beyond the ends of a band that reaches ``low`` below a half and ``high`` above it."""
+    return df.withColumn("exited", outside(F.col(score), F.lit(0.5 - low), F.lit(0.5 + high)))
+
+
+def load_policy(text: str) -> Policy:
+    """A policy from JSON: {"margin", "aggregation", "stages": [{"name", "probability", "margin"}]}, checked as ``Policy`` does."""
+    given = json.loads(text)
+    unknown = set(given) - {"margin", "aggregation", "stages"}
+    if unknown or not given.get("stages"):
+        raise ValueError(f"a policy needs stages and has margin and aggregation besides, not {sorted(unknown)}")
+    stages = [Stage(s["name"], s.get("probability", f"p_{s['name']}"), s.get("margin")) for s in given["stages"]]
+    return Policy(stages, **{k: given[k] for k in ("margin", "aggregation") if k in given})

@@ -125,3 +125,31 @@ def first_best(df: DataFrame, keys: Sequence[str], value: str, tie: str, smalles
 def pair(df: DataFrame, how: Column) -> DataFrame:
     """The one row of df with the largest ordering struct."""
     return df.agg(F.max_by(F.struct(*df.columns), how).alias("__b")).select("__b.*")
+
+
+def in_order(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
+    """df with ``rank``, the place of a category in the given order; others come last."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    return df.withColumn("rank", F.when(place > 0, place).otherwise(len(order) + 1).cast("long"))
+
+
+def shares(df: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
+    """By key: the share of each row's n in the total in per cent, and the least, largest and mean n."""
+    by = Window.partitionBy(*keys)
+    return df.withColumns({"pct": 100 * F.col(n) / F.sum(n).over(by), "least": F.min(n).over(by), "most": F.max(n).over(by), "mean": F.avg(n).over(by)})
+
+
+def every_nth(df: DataFrame, n: int, step: str = "step") -> DataFrame:
+    """Each n-th step of a sweep."""
+    return df.where(F.col(step) % n == 0)
+
+
+def optimism(df: DataFrame, keys: Sequence[str], value: str, selected: str = "selected") -> DataFrame:
+    """By key: the best value less the selected one's."""
+    return df.groupBy(*keys).agg((F.max(value) - F.max(F.when(F.col(selected), F.col(value)))).alias("optimism"))
+
+
+def percentile_of(df: DataFrame, keys: Sequence[str], value: str, selected: str = "selected") -> DataFrame:
+    """By key: the share of rows whose value isn't above the selected one's."""
+    chosen = df.groupBy(*keys).agg(F.max(F.when(F.col(selected), F.col(value))).alias("__x"))
+    return df.join(F.broadcast(chosen), list(keys)).groupBy(*keys).agg(F.avg((F.col(value) <= F.col("__x")).cast("double")).alias("percentile"))

@@ -11,12 +11,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from harrier.plans.metrics import ranking_metrics, rates
+from harrier.sources import store
 
 SEED = 42
 LOT = 20_000
@@ -129,6 +130,56 @@ def holdout(df: DataFrame, key: str, share: float = 0.2, seed: int = SEED) -> Da
     return df.withColumn("held_out", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < share * 1_000_000)
 
 
+def stratified_holdout(df: DataFrame, key: str, label: str, share: float = 0.2, seed: int = SEED) -> DataFrame:
+    """df with ``held_out`` for exactly round(share * n) rows of each class, those with the smallest seeded hashes of the key.
+
+    Ranks are taken in lots of hashes and lots are counted first, so no class is one task's.
+    """
+    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__lot", F.shiftright("__h", 54))
+    lots = hashed.groupBy(label, "__lot").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(label).orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)
+    lots = lots.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__total": F.sum("__n").over(Window.partitionBy(label))}).drop("__n")
+    within = F.row_number().over(Window.partitionBy(label, "__lot").orderBy("__h", key))
+    ranked = hashed.withColumn("__r", within)
+    joined = ranked.join(F.broadcast(lots.withColumnRenamed(label, "__y")), ranked[label].eqNullSafe(F.col("__y")) & (ranked["__lot"] == lots["__lot"])).drop(lots["__lot"])  # 1,024 rows a class
+    return joined.withColumn("held_out", F.col("__r") + F.col("__before") <= F.round(F.col("__total") * F.lit(share))).drop("__h", "__lot", "__r", "__before", "__total", "__y")
+
+
+def cross_validate(df: DataFrame, columns: Sequence[str], label: str, model_type: str, key: str, folds: int = 5, seed: int = SEED) -> DataFrame:
+    """The measures of a model type on each of so many folds, every class being dealt over them."""
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)).cast("int")
+    dealt, rows = df.withColumn("__fold", place), []
+    for k in range(folds):
+        model, _ = train(dealt.where(F.col("__fold") != k), columns, label, model_type, seed)
+        scored = predict(dealt.where(F.col("__fold") == k), model, columns, [label])
+        rows.append(evaluate(scored, label, "probability").withColumn("fold", F.lit(k)))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def save_model(model: PipelineModel, columns: Sequence[str], path: str) -> None:
+    """A fitted pipeline and, beside it, its feature columns in order."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame(list(enumerate(columns)), "place int, name string").coalesce(1).write.mode("overwrite").json(f"{path}/columns")
+
+
+def load_model(path: str) -> tuple[PipelineModel, list[str]]:
+    """A saved pipeline and its feature columns."""
+    rows = SparkSession.active().read.schema("place int, name string").json(f"{path}/columns").orderBy("place").collect()
+    return PipelineModel.load(f"{path}/model"), [r["name"] for r in rows]
+
+
+def training_set(urls: DataFrame, features: DataFrame, key: str, label: str = "label", group: str | None = None, limit: int | None = None) -> DataFrame:
+    """Labelled rows that have features, with y (1 for positives); with ``group`` one row a group, positive if any is."""
+    rows = store.labelled(urls, label=label)
+    if limit is not None:
+        rows = rows.orderBy(key).limit(limit)
+    met = rows.join(features, key)
+    if group is not None:
+        return store.any_positive(met, group, label, key).withColumn("y", F.col("positive").cast("int")).drop("positive")
+    return met.withColumn("y", (F.col(label) == store.LABELS[0]).cast("int"))
+
+
 def evaluate(df: DataFrame, truth: str, score: str) -> DataFrame:
     """roc_auc, average_precision, and the rates at a probability of 0.5."""
     y, p = F.col(truth).cast("boolean"), F.col(score) >= 0.5

@@ -80,9 +80,11 @@ def margin_grid(df: DataFrame, stages: Sequence[str], truth: str, values: Sequen
     stages need, so the last join is on a table no larger than a stage's steps.
     """
     n = len(stages)
-    total = df.count()
     table = grid(df, values, "margin")
-    state, spent, steps, done = histogram(df, stages, truth, values, aggregation), 0.0, [], []
+    # bounded by steps and verdicts; kept, as each stage's branch and the total read it
+    counts = histogram(df, stages, truth, values, aggregation).persist()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    state, spent, steps, done = counts, 0.0, [], []
     for i in range(n):
         spent += float(latency[i])
         crossed = state.join(F.broadcast(table.select(F.col("step").alias(f"s{i}"))))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from harrier.queries import policy, urls
+from harrier.queries import inventory, policy, urls
 
-QUERIES = {**urls.QUERIES, **policy.QUERIES}
-SQL = {**urls.SQL, **policy.SQL}
+QUERIES = {**urls.QUERIES, **policy.QUERIES, **inventory.QUERIES}
+SQL = {**urls.SQL, **policy.SQL, **inventory.SQL}
 flagship = policy.flagship

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELS = ("phish", "benign")
@@ -51,13 +53,64 @@ def latest_reference(records: DataFrame, url: str, domain: str = "domain", at: s
     return records.groupBy(url).agg(F.max_by(snapshot_key(F.col(domain), F.col(at)), F.struct(at, order)).alias("record_ref"))
 
 
-def as_of_snapshot(urls: DataFrame, records: DataFrame, domain: str = "domain", at: str = "at", collected: str = "collected_at") -> DataFrame:
-    """Each URL with the newest snapshot of its domain that isn't later than the URL's own time; unmatched URLs stay."""
-    keyed = urls.withColumn("__id", F.struct(*urls.columns))
-    named = records.select(F.col(domain).alias("__d"), F.col(collected).alias("__t"), F.struct(*records.columns).alias("__r"))
-    met = keyed.join(named, (F.col(domain) == F.col("__d")) & (F.col("__t") <= F.col(at)), "left")
-    best = met.groupBy("__id").agg(F.max_by("__r", "__t").alias("record"))
-    return best.select("__id.*", "record")
+def as_of_snapshot(urls: DataFrame, records: DataFrame, domain: str = "domain", at: str = "at", collected: str = "collected_at", piece: str = "month") -> DataFrame:
+    """Each URL row with the newest snapshot of its domain that isn't later than the URL's own time; unmatched rows stay.
+
+    Both sides are laid in the order of time and the last record carried on, so nothing is paired. A domain is dealt in
+    pieces of its time (as ``date_trunc`` names them), each of which begins with the last record of the pieces before,
+    so a busy domain isn't one task's. Of snapshots of equal time the largest record counts.
+    """
+    url = F.struct(*(F.col(f"`{c}`") for c in urls.columns))
+    record = F.struct(*(F.col(f"`{c}`") for c in records.columns))
+    none = lambda df: F.lit(None).cast(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("x")).schema["x"].dataType)
+    cut = lambda c: F.date_trunc(piece, F.col(c))
+    snaps = records.select(F.col(domain).alias("d"), cut(collected).alias("piece"), F.col(collected).alias("t"), F.lit(0).alias("side"), none(urls).alias("url"), record.alias("record"))
+    rows = urls.select(F.col(domain).alias("d"), cut(at).alias("piece"), F.col(at).alias("t"), F.lit(1).alias("side"), url.alias("url"), none(records).alias("record"))
+    both = snaps.unionByName(rows)
+    newest = both.groupBy("d", "piece").agg(F.max(F.when(F.col("side") == 0, F.struct("t", "record"))).alias("newest"))
+    before = Window.partitionBy("d").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = newest.select("d", "piece", F.last("newest.record", ignorenulls=True).over(before).alias("carried"))
+    so_far = Window.partitionBy("d", "piece").orderBy("t", "side", "record").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("last", F.last("record", ignorenulls=True).over(so_far)).where("side = 1")
+    out = met.join(carried, met["d"].eqNullSafe(carried["d"]) & met["piece"].eqNullSafe(carried["piece"]), "left")
+    known = met["d"].isNotNull() & F.col("t").isNotNull()
+    return out.select("url.*", F.when(known, F.coalesce("last", "carried")).alias("record"))
+
+
+def store_content(urls: DataFrame, contents: DataFrame, key: str = "url", at: str = "ts", content: str = "content") -> DataFrame:
+    """The URL table with the newest content of each key and its time; a key that isn't there yet comes in without a label."""
+    newest = contents.groupBy(key).agg(F.max_by(F.struct(F.col(content).alias("content"), F.col(at).alias("content_at")), F.struct(at, content)).alias("__c"), F.min(at).alias("__first"))
+    joined = urls.drop("content", "content_at").join(newest, key, "full")
+    kept = [F.col(c) for c in urls.columns if c not in (key, "content", "content_at", "created_at", "updated_at")]
+    return joined.select(key, F.coalesce("created_at", "__first").alias("created_at"), F.greatest("updated_at", "__c.content_at").alias("updated_at"), *kept, F.col("__c.content").alias("content"), F.col("__c.content_at").alias("content_at"))
+
+
+def attempt_totals(attempts: DataFrame, error: str = "error", steps: tuple[str, ...] = ("domain", "content")) -> DataFrame:
+    """Counters of a run in which each row fails for itself: attempts, stored (no error at all) and those whose step went well."""
+    failed = lambda s: F.col(f"{s}_{error}").isNotNull()
+    none = ~reduce(lambda a, b: a | b, map(failed, steps))
+    return attempts.agg(F.count("*").alias("attempts"), F.count_if(none).alias("stored"), *(F.count_if(~failed(s)).alias(f"{s}_ok") for s in steps))
+
+
+def cached(df: DataFrame, folder: str, name: str, refresh: bool = False) -> DataFrame:
+    """df as it was written under its name in a shared folder, or written there now; ``refresh`` writes it anew."""
+    path = f"{folder}/{name}"
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if refresh or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def save_run(df: DataFrame, path: str, keys: tuple[str, ...] = ("seed", "fold")) -> None:
+    """The results of runs, in place of those of the same keys and of no others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def save_csv(df: DataFrame, path: str) -> None:
+    """A table of results as CSV with a header; nested columns as JSON."""
+    nested = [f.name for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")]
+    df.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in nested}).write.mode("overwrite").csv(path, header=True)
 
 
 def labelled(urls: DataFrame, require: str | None = None, label: str = "label") -> DataFrame:
