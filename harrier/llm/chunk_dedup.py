@@ -127,8 +127,8 @@ def shared_blocks(docs: DataFrame) -> DataFrame:
     """id, text_hash, span, words and near of each block that another document has too, its partner (id, text_hash, span
     of the first document that has the block, or for that one of the last) and whether that is an earlier one (cut)."""
     hot = checkpointed(frequent(docs))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("text_hash"), F.lit(SALTS)) + 1).otherwise(0).cast("int")
-    # one shuffle: blocks are grouped and joined where they lie
+    salt = F.coalesce(F.when(F.col("hot"), F.pmod(F.xxhash64("text_hash"), F.lit(SALTS)) + 1), F.lit(0).cast("long"))
+    # one shuffle: blocks are grouped and joined where they lie (keys that can't be null keep Spark from a filter in one branch)
     dealt = block_rows(docs).join(F.broadcast(hot), "digest", "left").withColumn("salt", salt).drop("hot").repartition("digest", "salt")
     whole = F.struct("id", "text_hash", "span", "words", "near")
     ends = [F.min("first").alias("first"), F.max("last").alias("last")]
