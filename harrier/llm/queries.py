@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.llm import byte_bpe, chat_format, chunk_dedup, decontaminate, embedding_dedup, language_id, minhash_dedup, pii, quality_fm, toxicity_nb
+from harrier.llm import byte_bpe, chat_format, chunk_dedup, decontaminate, embedding_dedup, importance, language_id, line_dedup, minhash_dedup, pii, quality_fm, spelling, toxicity_nb
 from harrier.llm.sampling import remainder
 
 #: Rank file of the tokenizer; a parameter of the operator.
@@ -184,6 +184,106 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+#: Where this divides the checksum of an id and a word, the word gets an error.
+NOISE = 199
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), noise=NOISE))
+
+
+def _crc32(text: str) -> str:
+    """The CRC-32 of a text's UTF-8 bytes as a BIGINT, bit by bit: DuckDB has no such function."""
+    step = "CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    per_byte = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, z: {step})"
+    octets = f"list_transform(range(0, CAST(strlen({text}) AS BIGINT)), lambda i: CAST('0x' || hex({text})[CAST(2 * i + 1 AS BIGINT):CAST(2 * i + 2 AS BIGINT)] AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {per_byte}), 4294967295::BIGINT)"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents) GROUP BY doc_id, w
+), hashed AS (
+  SELECT w, n, {_crc32("s")} AS h FROM (SELECT w, n, doc_id || ':' || w AS s FROM run)
+), word AS (
+  SELECT w AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w, n FROM hashed)
+  WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5
+), gap AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)
+), pair AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM gap a JOIN gap b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM gap a JOIN word b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM gap a JOIN word b ON a.rest = b.word
+), near AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n FROM pair GROUP BY word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM word LEFT JOIN near USING (word)
+), step AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT step.word, formed.form FROM step JOIN formed ON formed.word = step.root WHERE formed.form IS NOT NULL
+), last AS (
+  SELECT step.word, step.root FROM step JOIN formed ON formed.word = step.root WHERE formed.form IS NULL
+)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN last USING (word)
+"""
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = f"""
+WITH side AS (
+  SELECT row_number() OVER () AS row, doc_id, 0 AS target, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+  UNION ALL SELECT NULL, NULL, 1, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+), each AS (
+  SELECT row, target, word, count(*) AS n FROM (SELECT row, target, unnest(w) AS word FROM side) GROUP BY row, target, word
+), hashed AS (
+  SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM each)
+), counted AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE target = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE target = 1), 0) AS t FROM each JOIN hashed USING (word) GROUP BY bucket
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counted
+), weighed AS (
+  SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM each JOIN hashed USING (word) JOIN gain USING (bucket) WHERE target = 0 GROUP BY row
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features,
+    coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise
+  FROM side LEFT JOIN weighed USING (row) WHERE target = 0
+), placed AS (
+  SELECT doc_id, n_features, weight, weight + noise AS score,
+    CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) END AS place,
+    count(*) FILTER (WHERE n_features >= 20) OVER () AS n
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.kept_texts(_table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = f"""
+WITH line AS (
+  SELECT doc_id, i, x, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), held AS (
+  SELECT key, max(doc_id) AS top FROM line WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT doc_id, i, x, coalesce(doc_id <> top, false) AS lost FROM line LEFT JOIN held USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -196,8 +296,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_chunk_dedup": op9_chunk_dedup,
         "op10_language_id": op10_language_id,
+        "op11_spelling": op11_spelling,
+        "op12_importance": op12_importance,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
+    return {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op11_spelling": OP11_SQL, "op12_importance": OP12_SQL, "op13_line_dedup": OP13_SQL}
