@@ -4,7 +4,7 @@ A line's key is the line without ``[\x20\x09-\x0D]`` at its ends and with A-Z in
 ``LEAST_CHARS`` code points that at least ``LEAST_DOCS`` documents hold loses all its lines but those of the largest
 id that holds it.
 
-Rows of two 64-bit hashes of the key, id and place are dealt in ranges of (hashes, id falling, place) and sorted within.
+Rows of a 128-bit hash of the key (in two halves), id and place are dealt in ranges of (hash, id falling, place) and sorted within.
 A task streams its range: the first id of a key is the one that keeps it, and from the ``LEAST_DOCS``-th id on the
 others' lines are lost. It holds the lines of less than ``LEAST_DOCS`` documents at a time. A range may begin or end
 within a key, so a key that a third of all lines have is spread over many tasks; the rows of such keys stay open, and
@@ -24,33 +24,53 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harrier.llm.arrowtext import row_blocks, text_buffers
 from harrier.llm.components import checkpointed
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
-WHITE = " \t\n\x0b\x0c\r"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WHITE = b" \t\n\x0b\x0c\r"
 #: States of the rows that a task leaves.
 LOST, OPEN, SUMMARY = 0, 1, 2
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(WHITE)), _UPPER, _UPPER.lower())
+def long_lines(text: bytes, least_chars: int) -> Iterator[tuple[int, bytes]]:
+    """Place and key of the lines of UTF-8 text whose keys are long enough."""
+    for i, line in enumerate(text.lower().split(b"\n")):  # of bytes, only A-Z
+        line = line.strip(WHITE)
+        if len(line) >= least_chars and (line.isascii() or len(line.decode()) >= least_chars):
+            yield i, line
 
 
 def keyed_lines(docs: DataFrame, key: str, text: str, least_chars: int) -> DataFrame:
     """id, text_hash, n_lines, line (its place, from 0), h1 and h2, a row for each line that is long enough."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), line_key(x).alias("key")))
-    long = F.filter(lines, lambda x: F.length(x["key"]) >= least_chars)
-    hashed = F.transform(long, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit(1), x["key"]).alias("h2")))
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL")
-    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return rows.select("id", F.xxhash64("text").alias("text_hash"), n_lines.cast("int").alias("n_lines"), F.explode(hashed).alias("x")).select("id", "text_hash", "n_lines", "x.*")
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL").select("id", F.xxhash64("text").alias("text_hash"), "text")
+    result = T.StructType([T.StructField("id", rows.schema["id"].dataType), *T._parse_datatype_string("text_hash long, n_lines int, line int, h1 long, h2 long").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("text"))
+            for row, stop in row_blocks(offsets):
+                owner, place, digests, n_lines = [], [], [], []
+                for i in range(row, stop):
+                    own = data[offsets[i] : offsets[i + 1]].tobytes()
+                    n_lines.append(own.count(b"\n") + 1)
+                    for line, found in long_lines(own, least_chars):
+                        owner.append(i)
+                        place.append(line)
+                        digests.append(xxhash.xxh3_128_digest(found))
+                h = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+                at = pa.array(owner, type=pa.int64())
+                lines = pa.array(np.array(n_lines, dtype=np.int32)[np.array(owner, dtype=np.int64) - row])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("text_hash").take(at), lines, pa.array(place, type=pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=result.names)
+
+    return rows.mapInArrow(run, result)
 
 
 def _changes(column: pa.Array) -> np.ndarray:

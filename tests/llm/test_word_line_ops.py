@@ -73,7 +73,7 @@ def test_coded_words(texts):
 
 
 def kept_by_hand(rows, least_chars=40, least_docs=5):
-    key = lambda x: x.strip(line_dedup.WHITE).translate(LOWERED)
+    key = lambda x: x.strip(line_dedup.WHITE.decode()).translate(LOWERED)
     holds = defaultdict(set)
     for i, t in rows:
         for x in (t or "").split("\n"):
