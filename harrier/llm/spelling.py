@@ -19,6 +19,7 @@ an empty result. Extra columns aren't read.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -137,7 +138,7 @@ class Unit:
         if not self.words:
             return
         left, right, n = [], [], 0
-        sides = (_matrix(self.words), _matrix(texts))
+        sides = _matrices(self.words, texts)
         for j, text in enumerate(texts):
             for found in self.candidates(text):
                 for k in range(0, len(found), TOGETHER):
@@ -151,7 +152,9 @@ class Unit:
             yield self._verified(np.concatenate(left), np.concatenate(right), sides, texts)
 
     def _verified(self, i: np.ndarray, j: np.ndarray, sides: tuple, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        (a_all, a_len), (b_all, b_len) = sides
+        (a_all, a_len, a_set), (b_all, b_len, b_set) = sides
+        alike = np.bitwise_count(a_set[i] ^ b_set[j]) <= 2  # an edit changes two letters of a set at most
+        i, j = i[alike], j[alike]
         long = np.flatnonzero(b_len[j] > LONGEST)
         good = np.zeros(len(i), dtype=bool)
         for k in long.tolist():
@@ -169,11 +172,17 @@ class Unit:
         return i[good], j[good]
 
 
-def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words of up to ``LONGEST``, a row each, ended by zeros; and all lengths."""
-    wide = LONGEST + 1
-    flat = "".join(w.ljust(wide, "\0") if len(w) <= LONGEST else "\0" * wide for w in words)
-    return np.frombuffer(flat.encode("utf-32-le"), dtype=np.uint32).reshape(-1, wide), np.array([len(w) for w in words], dtype=np.int64)
+def _matrices(*sides: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each side: code points of the words of up to ``LONGEST``, a row each, ended by zeros; all lengths; and 64-bit sets of letters."""
+    wide = 1 + max((len(w) for words in sides for w in words if len(w) <= LONGEST), default=0)
+    narrow = all(w.isascii() or max(w) <= "\xff" for words in sides for w in words)
+    out = []
+    for words in sides:
+        flat = "".join(w.ljust(wide, "\0") if len(w) <= LONGEST else "\0" * wide for w in words)
+        points = np.frombuffer(flat.encode("latin-1"), dtype=np.uint8) if narrow else np.frombuffer(flat.encode("utf-32-le"), dtype=np.uint32)
+        letters = [functools.reduce(lambda bits, c: bits | 1 << (ord(c) & 63), set(w), 0) for w in words]
+        out.append((points.reshape(-1, wide), np.array([len(w) for w in words], dtype=np.int64), np.array(letters, dtype=np.uint64)))
+    return out
 
 
 def near_pairs(words: DataFrame, shard: int = SHARD, route: int = ROUTE) -> DataFrame:
