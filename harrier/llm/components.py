@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df, written as a compressed table to the shared folder: smaller than a checkpoint for wide or numeric rows."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def salted(rows: DataFrame, few: DataFrame, on: str | list[str], by: str, salts: int = 16) -> DataFrame:
     """rows joined with few on a key of which few has one row; a hot key's rows are dealt in ``salts`` pieces by another column."""
     dealt = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -9,7 +9,7 @@ features; Gumbel noise from a hash of seed and id makes the highest scores a dra
 Texts are coded in blocks of ``CODED_BYTES`` against the block's own list of distinct words. The lists of all blocks make
 one dictionary of integer ids; n-grams are tuples of ids. Each distinct tuple is put together from the dictionary and
 hashed once, and its gain is joined back to the blocks that have it. A word is at most one row a block, so neither a
-word nor a tuple can be hot, and texts aren't shuffled: their codes are, once for each of the two lookups. The table of gains has
+word nor a tuple can be hot, and texts aren't shuffled: their codes are, to meet what was looked up. The table of gains has
 ``buckets`` rows. Ranks come from a range partitioning by score and the number of rows of each range.
 
 Null and empty texts, and those without words, have no features and the weight 0. Repeated rows are scored each and get
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harrier.llm.arrowtext import ALNUM, LOWER, row_blocks, text_buffers
-from harrier.llm.components import checkpointed, salted
+from harrier.llm.components import checkpointed, salted, written
 from harrier.llm.wordtable import CODED_BYTES, coded_words
 
 BUCKETS = 10_000
@@ -38,11 +38,11 @@ SEED = "2024"
 #: Only documents of so many words can be drawn, and so many of a hundred of them are.
 LEAST_WORDS, PERCENT = 20, 10
 
-_CODED = "block long, side int, lengths binary, codes binary, words array<string>"
+_CODED = "block long, side int, lengths binary, codes binary, words array<string>, counts array<int>"
 
 
 def coded_blocks(texts: DataFrame, side: int) -> DataFrame:
-    """From (id, text): block, side, ids, lengths (words of each text) and codes (of all words, deflated), words (distinct)."""
+    """From (id, text): block, side, ids, lengths (words of each text) and codes (of all words, deflated), words (distinct) and their counts."""
     result = T.StructType([*T._parse_datatype_string(_CODED).fields, T.StructField("ids", T.ArrayType(texts.schema["id"].dataType))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,8 +57,9 @@ def coded_blocks(texts: DataFrame, side: int) -> DataFrame:
                 ids = batch.column("id").slice(row, stop - row)
                 one = lambda values, kind: pa.array([values], type=kind)
                 listed = pa.ListArray.from_arrays(pa.array([0, len(words)], type=pa.int32()), words.cast(pa.large_string()).cast(pa.string()))
+                counts = pa.ListArray.from_arrays(pa.array([0, len(words)], type=pa.int32()), pa.array(np.bincount(codes, minlength=len(words)).astype(np.int32)))
                 owners = pa.ListArray.from_arrays(pa.array([0, len(ids)], type=pa.int32()), ids)
-                yield pa.RecordBatch.from_arrays([one(number, pa.int64()), one(side, pa.int32()), one(np.diff(first).astype(np.int32).tobytes(), pa.binary()), one(packed, pa.binary()), listed, owners], names=result.names)
+                yield pa.RecordBatch.from_arrays([one(number, pa.int64()), one(side, pa.int32()), one(np.diff(first).astype(np.int32).tobytes(), pa.binary()), one(packed, pa.binary()), listed, counts, owners], names=result.names)
                 number += 1
 
     return texts.select("id", "text").mapInArrow(run, result)
@@ -97,22 +98,31 @@ def _in_order(found: pa.Table, value: str) -> np.ndarray:
     return out
 
 
-def block_grams(blocks: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """block, side, place, gram (ids of words) and n, a row for each distinct tuple of a block."""
+def block_grams(blocks: DataFrame, listed: DataFrame, words: DataFrame, width: int) -> DataFrame:
+    """block, side, place, gram (ids of words) and n, a row for each distinct tuple of a block.
+
+    Tuples of one are the block's words; codes are only read for longer ones.
+    """
+    ids = listed.join(words, "word").select("block", "side", "place", "id", "n")
+    single = ids.select("block", "side", "place", F.array("id").alias("gram"), "n")
+    if width == 1:
+        return single
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         codes, lengths = _block(left)
         known, parts, place = _in_order(right, "id"), [], 0
         for tuples, which, _, count in grams_of(codes, lengths, width):
-            n = np.bincount(which, weights=count, minlength=len(tuples)).astype(np.int64)
-            at = pa.array(np.arange(len(tuples) + 1, dtype=np.int32) * tuples.shape[1])
             size = len(tuples)
-            parts.append(pa.table({"block": pa.repeat(left.column("block")[0], size), "side": pa.repeat(left.column("side")[0], size), "place": pa.array(np.arange(place, place + size, dtype=np.int32)), "gram": pa.ListArray.from_arrays(at, pa.array(known[tuples.ravel()])), "n": pa.array(n)}))
+            if tuples.shape[1] > 1:
+                n = np.bincount(which, weights=count, minlength=size).astype(np.int64)
+                at = pa.array(np.arange(size + 1, dtype=np.int32) * tuples.shape[1])
+                parts.append(pa.table({"block": pa.repeat(left.column("block")[0], size), "side": pa.repeat(left.column("side")[0], size), "place": pa.array(np.arange(place, place + size, dtype=np.int32)), "gram": pa.ListArray.from_arrays(at, pa.array(known[tuples.ravel()])), "n": pa.array(n)}))
             place += size
         return pa.concat_tables(parts)
 
     given = blocks.select("block", "side", "lengths", "codes").where(F.size("words") > 0)
-    return given.groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(run, "block long, side int, place int, gram array<long>, n long")
+    ids = ids.select(F.col("block").alias("of"), "place", "id")
+    return single.unionByName(given.groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(run, "block long, side int, place int, gram array<long>, n long"))
 
 
 def hashed_grams(grams: DataFrame, words: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -144,14 +154,13 @@ def weights(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
     """id, n_words, n_features and weight, a row for each row of docs."""
     own = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     aim = target.select(F.lit(None).cast(own.schema["id"].dataType).alias("id"), F.col(target_text).alias("text")).where("text IS NOT NULL")
-    blocks = checkpointed(coded_blocks(own, 0).unionByName(coded_blocks(aim, 1)))
-    listed = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    blocks = written(coded_blocks(own, 0).unionByName(coded_blocks(aim, 1)))
+    listed = blocks.select("block", "side", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("block", "side", "place", F.col("x.words").alias("word"), F.col("x.counts").cast("long").alias("n"))
     words = checkpointed(listed.select("word").distinct()).withColumn("id", F.monotonically_increasing_id())
-    ids = listed.join(words, "word").select(F.col("block").alias("of"), "place", "id")
-    grams = checkpointed(block_grams(blocks, ids, width))
+    grams = written(block_grams(blocks, listed, words, width))
     of_side = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
     distinct = grams.groupBy("gram").agg(of_side(0).alias("s"), of_side(1).alias("t"))
-    distinct = checkpointed(hashed_grams(distinct, words, width, buckets))
+    distinct = written(hashed_grams(distinct, words, width, buckets))
     # at most one row for each bucket
     gained = distinct.join(F.broadcast(gains(distinct, buckets)), "bucket").select("gram", "gain")
     found = grams.where("side = 0").join(gained, "gram").select(F.col("block").alias("of"), "place", "gain")
