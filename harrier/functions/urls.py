@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harrier.functions.suffixes import SuffixRules, split_by_rules
 from harrier.functions.text import col
 
 #: A small default; pass a full public suffix list for real data.
@@ -48,11 +49,14 @@ def host_of(url: Column | str) -> Column:
     return F.btrim(F.regexp_extract(col(url), _AUTHORITY, 1), F.lit("."))
 
 
-def host_parts(host: Column | str, suffixes: Sequence[str] = SUFFIXES) -> Column:
+def host_parts(host: Column | str, suffixes: Sequence[str] | SuffixRules = SUFFIXES) -> Column:
     """struct(subdomain, domain, suffix): the longest known suffix, the label before it, and the rest.
 
-    Without a known suffix the last label is the domain; an IPv4 address is a domain of its own.
+    Without a known suffix the last label is the domain; an IPv4 address is a domain of its own. A whole public suffix
+    list, with wildcards and exceptions, comes as ``SuffixRules``.
     """
+    if isinstance(suffixes, SuffixRules):
+        return split_by_rules(col(host), suffixes)
     host = F.lower(col(host))
     labels = F.split(host, r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("tail")))

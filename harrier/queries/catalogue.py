@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from harrier.queries import inventory, policy, urls
+from harrier.queries import inventory, lookups, policy, urls
 
-QUERIES = {**urls.QUERIES, **policy.QUERIES, **inventory.QUERIES}
-SQL = {**urls.SQL, **policy.SQL, **inventory.SQL}
+QUERIES = {**urls.QUERIES, **policy.QUERIES, **inventory.QUERIES, **lookups.QUERIES}
+SQL = {**urls.SQL, **policy.SQL, **inventory.SQL, **lookups.SQL}
 flagship = policy.flagship
