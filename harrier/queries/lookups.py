@@ -1,14 +1,19 @@
-"""Queries of lookups in large tables: similar words, public suffixes and networks, each with its SQL."""
+"""Queries of lookups in large tables (similar words, public suffixes, networks), of keyed tables and guarded runs, each with its SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from harrier.functions.suffixes import SuffixRules, parsed_rules, split_by_table
 from harrier.functions.urls import host_parts
 from harrier.operators import networks, similar
-from harrier.queries.policy import _read
+from harrier.plans.guarded import guarded_stages
+from harrier.queries.policy import _CHANGES, _UPSERT, _changes, _read
 from harrier.queries.urls import PARTS, _parts
+from harrier.sources.store import shared_folder
+from harrier.streaming.keyed_table import KeyedTable
 
 #: Lines of a suffix list, with each kind of rule.
 RULE_LINES = ("// countries", "com", "uk", "co.uk", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck", "", "io  // comment", "github.io", "ck")
@@ -60,7 +65,37 @@ def network_lookup(spark, sf_dir):
     return found.withColumn("prefix_len", F.coalesce("prefix_len", F.lit(-1)).cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (similar_words, suffix_rules, suffix_rules_joined, network_lookup)}
+def keyed_table_batches(spark, sf_dir):
+    """Four batches of changes, in the order of time, the third of them applied twice, merged into buckets."""
+    table = KeyedTable(spark, f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}", buckets=16)
+    rows = _changes(spark, sf_dir)
+    part = F.lit(0)
+    for day in (8, 15, 22):
+        part = part + (F.col("ts") >= F.lit(f"2024-01-{day:02d}").cast("timestamp_ntz")).cast("int")
+    for i in (0, 1, 2, 2, 3):
+        table.apply(rows.where(part == i), i)
+    return table.read()
+
+
+def _price(rows):
+    if (rows["o_orderkey"] % 97 == 0).any():
+        raise ValueError("no price")
+    return rows["o_totalprice"] % 1000 / 1000
+
+
+def _share(rows):
+    if (rows["o_custkey"] % 50 == 1).any():
+        raise RuntimeError("no share")
+    return (rows["o_custkey"] % 4) / 4
+
+
+def guarded_run(spark, sf_dir):
+    """Two stages over orders that raise on some rows: counts and sums by what failed."""
+    done = guarded_stages(_read(spark, sf_dir, "orders"), {"price": (_price, ["o_orderkey", "o_totalprice"]), "share": (_share, ["o_custkey"])})
+    return done.groupBy("price_error", "share_error").agg(F.count("*").alias("n"), F.count("price").alias("n_price"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("shares"))
+
+
+QUERIES = {f.__name__: f for f in (similar_words, suffix_rules, suffix_rules_joined, network_lookup, keyed_table_batches, guarded_run)}
 
 _SUFFIX_SQL = f"""
 WITH h AS (
@@ -90,6 +125,9 @@ SQL = {
     coalesce(nb.n, 0) AS n_brands, coalesce(nk.n, 0) AS n_keywords FROM q LEFT JOIN nb USING (word) LEFT JOIN nk USING (word)""",
     "suffix_rules": _SUFFIX_SQL,
     "suffix_rules_joined": _SUFFIX_SQL,
+    "keyed_table_batches": f"WITH {_CHANGES} {_UPSERT}",
+    "guarded_run": """SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'ValueError: no price' END AS price_error, CASE WHEN o_custkey % 50 = 1 THEN 'RuntimeError: no share' END AS share_error,
+  count(*) AS n, count(*) FILTER (WHERE o_orderkey % 97 <> 0) AS n_price, coalesce(sum(CASE WHEN o_custkey % 50 <> 1 THEN (o_custkey % 4) / 4.0 END)::DOUBLE, 0) AS shares FROM orders GROUP BY 1, 2""",
     # by arithmetic on the parts that addresses are made of
     "network_lookup": """WITH a AS (
   SELECT c_custkey, c_custkey AS k, c_custkey % 11 = 0 AS bad, c_custkey % 13 = 0 AS missing, c_custkey % 2 = 0 AS four FROM customer

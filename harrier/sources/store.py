@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LABELS = ("phish", "benign")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share; a temporary one where there is none, on one machine only."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[[^\]]*\])?$", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
 def upsert_urls(events: DataFrame, key: str = "url", at: str = "ts", label: str = "label", source: str = "source", order: str = "seq") -> DataFrame:
     """One row a key: created_at of the first event, updated_at of the last, label and source of the last event with either.
 
