@@ -7,7 +7,9 @@ Bootstrapping then looks for identifiers that the expressions miss. *Mentions* a
 with digits or an at sign, and every token after a label (``user: ann``, ``key=value``). *Seeds* are the values that are
 base entities and, as a fifth kind, ``secret``: labelled or quoted strings of 32 hexadecimal digits or more. A mention's
 *patterns* are its label; the two words to its left; the words on both sides; and, for values that aren't plain words,
-each word up to four words away on either side together with the value's shape (``+9 (9) 9-9``).
+each word up to four words away on either side together with the value's shape (``+9 (9) 9-9``). Such a pattern must be
+borne out by its word: the word's own values, of whatever shape, must be of the same kind as surely. So a word that stands
+near values of all kinds ("the") gives nothing away, however alike the known values of one shape are.
 
 Distinct (pattern, value) pairs form a bipartite graph. In each round a pattern is scored for the kind that prevails
 among its values, by the lower bound (Wilson's, ``SURE`` standard deviations) of that kind's share of the values'
@@ -52,6 +54,8 @@ PATTERN_SCORE = 0.6
 VALUE_SCORE = 0.6
 #: Standard deviations of the lower bound of a pattern's share.
 SURE = 1.645
+#: A word without a shape: evidence for patterns with one, no pattern of its own.
+ALONE = r"^[<>]~ \S+$"
 #: Words on either side that a pattern with a shape reaches.
 REACH = 4
 #: Matches of a text whose places are computed together.
@@ -175,7 +179,8 @@ def mentions(docs: DataFrame) -> DataFrame:
     ]
     far = F.concat(F.transform("left", lambda w: F.concat_ws(" ", F.lit("<~"), w, "shape")), F.transform("right", lambda w: F.concat_ws(" ", F.lit(">~"), w, "shape")))
     far = F.when(F.col("shape") != "a", far).otherwise(F.array().cast("array<string>"))
-    return each.select("id", "text_hash", "start", "end", "value", kind.alias("kind"), refuted.alias("refuted"), F.array_distinct(F.array_compact(F.concat(F.array(*patterns), far))).alias("patterns"))
+    alone = F.concat(F.transform("left", lambda w: F.concat_ws(" ", F.lit("<~"), w)), F.transform("right", lambda w: F.concat_ws(" ", F.lit(">~"), w)))
+    return each.select("id", "text_hash", "start", "end", "value", kind.alias("kind"), refuted.alias("refuted"), F.array_distinct(F.array_compact(F.concat(F.array(*patterns), far, alone))).alias("patterns"))
 
 
 def sure(share: Column, n: Column) -> Column:
@@ -189,7 +194,10 @@ def _patterns(totals: DataFrame, gained: DataFrame | None) -> DataFrame:
     """pattern, kind and score of the accepted patterns, from the sums of seeds and of the values found so far."""
     every = totals if gained is None else totals.unionByName(gained.withColumn("n", F.lit(0).cast("long"))).groupBy("pattern").agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in ALL_KINDS))
     best = F.greatest(*(F.struct(sure(F.col(k) / F.col("n"), F.col("n")).alias("score"), F.lit(k).alias("kind")) for k in ALL_KINDS))
-    return every.select("pattern", best.alias("best")).where(F.col("best.score") >= PATTERN_SCORE).select("pattern", "best.kind", "best.score")
+    good = every.select("pattern", best.alias("best")).where(F.col("best.score") >= PATTERN_SCORE).select("pattern", "best.kind", "best.score")
+    words = good.where(F.col("pattern").rlike(ALONE)).select(F.col("pattern").alias("by"), F.col("kind").alias("word_kind"))
+    with_word = good.where(~F.col("pattern").rlike(ALONE)).withColumn("by", F.when(F.col("pattern").rlike("^[<>]~ "), F.substring_index("pattern", " ", 2)))
+    return with_word.join(words, "by", "left").where((F.col("by").isNull()) | (F.col("word_kind") == F.col("kind"))).select("pattern", "kind", "score")
 
 
 def _sums(rows: DataFrame, score: Column) -> list[Column]:
@@ -199,7 +207,7 @@ def _sums(rows: DataFrame, score: Column) -> list[Column]:
 def bootstrap(graph: DataFrame) -> DataFrame:
     """value, kind and score of the values that accepted patterns reveal, from (pattern, value, kind, refuted)."""
     totals = checkpointed(graph.groupBy("pattern").agg(F.count("*").alias("n"), *_sums(graph, F.lit(1.0))))
-    open_pairs = graph.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)) & ~F.col("refuted"))
+    open_pairs = graph.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)) & ~F.col("refuted") & ~F.col("pattern").rlike(ALONE))
     known = gained = None
     while True:
         votes = salted(open_pairs.select("pattern", "value"), _patterns(totals, gained), "pattern", "value")
