@@ -1,7 +1,7 @@
 """Stages that fail row by row: an error column in place of a failed job, and counters taken while the rows are written.
 
 A stage is a function from a pandas frame of its columns to a series of as many values. It is called once a batch; a batch
-in which it raises is gone over row by row, so one bad row costs a batch's time and no other row its value. An error is the
+in which it raises is halved until the bad rows stand alone, so they cost some calls each and no other row its value. An error is the
 exception's type and message. A value that is NaN is null. A stage that gives too few or too many values fails its rows.
 """
 
@@ -28,19 +28,22 @@ def _called(score: Score, rows: pd.DataFrame) -> pd.Series:
 
 def attempt(score: Score, rows: pd.DataFrame) -> pd.DataFrame:
     """value and error of each row."""
-    rows = rows.reset_index(drop=True)
-    try:
-        return pd.DataFrame({"value": _called(score, rows), "error": None})
-    except Exception:  # some row's fault: each for itself
-        values, errors = [], []
-        for i in range(len(rows)):
-            try:
-                values.append(_called(score, rows.iloc[i : i + 1].reset_index(drop=True)).iloc[0])
-                errors.append(None)
-            except Exception as e:
+    values: list[object] = []
+    errors: list[str | None] = []
+    waiting = [rows.reset_index(drop=True)]
+    while waiting:
+        part = waiting.pop()
+        try:
+            values += _called(score, part).tolist()
+            errors += [None] * len(part)
+        except Exception as e:  # some row's fault: halves, down to the row
+            if len(part) > 1:
+                middle = len(part) // 2
+                waiting += [part.iloc[middle:].reset_index(drop=True), part.iloc[:middle].reset_index(drop=True)]
+            elif len(part):
                 values.append(None)
                 errors.append(f"{type(e).__name__}: {e}"[:ERROR_CHARS])
-        return pd.DataFrame({"value": values, "error": errors})
+    return pd.DataFrame({"value": pd.Series(values, dtype=object), "error": pd.Series(errors, dtype=object)})
 
 
 def guarded(df: DataFrame, name: str, score: Score, columns: Sequence[str], kind: str = "double") -> DataFrame:
