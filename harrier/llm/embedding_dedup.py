@@ -7,19 +7,20 @@ that are null, empty or zero, hold a null or non-finite component, or have a nul
    close vectors together, and a vector within half the link angle of a table's smallest id joins that ball. By the
    triangle inequality all members of a ball are linked with each other, so they are counted, not paired, and only
    the ball's centre takes part in the descent. A third of all vectors may be copies of one.
-2. *Start.* Tables of hyperplane signs put centres into buckets of about ``8 * GROUP``. A label has as many tables as a
-   pair at ``least`` needs to share no bucket with a chance below ``MISS``; both numbers follow the label's size, so
-   recall doesn't fall with it. Vectors of a bucket are compared in blocks of ``BLOCK`` against blocks, and each centre
-   keeps its ``NEIGHBOURS`` nearest ones within twice the link angle.
-3. *Descent.* In each round the centres of a list, and the one whose list it is, are compared with each other, and lists
-   are made anew of all that was found, both ways, until no link is added.
-4. *Enlarging.* A list that holds links only is saturated. As it would grow to the size of its group, its ball goes
-   instead to the family of the smallest centre that it is linked with in the buckets, so that a dense group is one
-   family rather than a list for each of its members. Pairs of families with a link in the buckets or lists are found.
+2. *Start.* A few tables of hyperplane signs put centres into buckets of about ``8 * GROUP``: as many as leave a pair at
+   ``least`` without a common bucket with a chance below ``MISS``. Vectors of a bucket are compared in blocks of
+   ``BLOCK`` against blocks, and each centre starts with the ``NEIGHBOURS`` nearest ones it met, however far they are.
+3. *Descent.* In each round the centres of a list, the one whose list it is, and those that list it (in groups of
+   ``GROUP``) are compared with each other, and lists are made anew of all that was found, both ways, until no link and
+   hardly any entry is new. The rounds find the links that the start has left out.
+4. *Enlarging.* A list that holds links only is saturated and grows up to ``ENLARGED`` times its length. As it would grow
+   on to the size of its group, its ball goes to the family of the smallest centre that it is linked with, so that a
+   dense group is one family rather than a list for each of its members. Pairs of families with a link are found.
 5. *Links.* The members of such a pair, and of one family, are compared exactly, in blocks against blocks, and counted;
    no task holds a whole family. Members of one ball aren't compared. Pairs at the threshold stay.
 6. *Audit.* The links of ``AUDITED`` vectors are compared with brute force, and of as many again until ``PAIRS`` links have
-   been seen or ``AUDITS`` rounds are over; with a recall below ``RECALL`` all is done again with a smaller ``MISS``.
+   been seen or ``AUDITS`` rounds are over; with a recall below ``RECALL`` all is done again from a start in more tables
+   (``MISS`` to its third power, at most twice), and a last recall below ``WANTED`` is an error.
 
 Rows of one id are one vector (the smallest by content). Results have one row for each input row.
 """
@@ -38,13 +39,15 @@ from pyspark.sql import functions as F
 from harrier.llm.components import checkpointed, connected_components
 
 LEAST = 0.93
-#: The length of a list, and the links of a vector from which its ball goes to a family.
-NEIGHBOURS = 10
-#: Vectors audited at a time, the links that make an audit, how often vectors are added, and the least recall.
-AUDITED, PAIRS, AUDITS, RECALL = 256, 100, 4, 0.999
+#: The length of a list, the links of a vector from which its ball goes to a family, and how much longer a list of links may get.
+NEIGHBOURS, ENLARGED = 10, 4
+#: Rounds end when no link and no more than this share of the entries of all lists is new.
+SETTLED = 0.02
+#: Vectors audited at a time, the links that make an audit, how often vectors are added, the recall that ends the search and the least.
+AUDITED, PAIRS, AUDITS, RECALL, WANTED = 512, 1000, 4, 0.999, 0.98
 #: Buckets hold about 8 * GROUP centres; a pair of the least similarity shares none with a chance below MISS.
 GROUP = 48
-MISS = 1e-6
+MISS = 0.05
 #: The search for pairs of families asks for so much less than a link.
 SLACK = 1e-9
 BALL_TABLES, BALL_BITS = 8, 20
@@ -200,8 +203,8 @@ def _sides(unit: pd.DataFrame, least: float) -> tuple[pd.DataFrame, pd.DataFrame
     return x, y, hit & (x["centre"].to_numpy()[:, None] != y["centre"].to_numpy()[None, :])
 
 
-def families(units: DataFrame, least: float) -> DataFrame:
-    """(centre, family): a ball with links to ``NEIGHBOURS`` vectors or more goes to the family of the smallest linked centre."""
+def families(units: DataFrame, lists: DataFrame, least: float) -> DataFrame:
+    """(centre, family): a ball with ``NEIGHBOURS`` links or more in a unit or its list goes to the family of the smallest linked centre."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -213,7 +216,9 @@ def families(units: DataFrame, least: float) -> DataFrame:
                 out += list(zip(a["centre"].to_numpy()[at], others, h[at].sum(axis=1), strict=True))
         return pd.DataFrame(out, columns=["centre", "other", "n"]).astype("int64")
 
-    found = units.groupBy("t").applyInPandas(run, "centre long, other long, n long").groupBy("centre").agg(F.min("other").alias("other"), F.max("n").alias("n"))
+    listed = lists.where(F.col("cosine") >= least).groupBy(F.col("a").alias("centre")).agg(F.min("b").alias("other"), F.count("*").alias("n"))
+    found = units.groupBy("t").applyInPandas(run, "centre long, other long, n long").unionByName(listed)
+    found = found.groupBy("centre").agg(F.min("other").alias("other"), F.max("n").alias("n"))
     return found.select("centre", F.when(F.col("n") >= NEIGHBOURS, F.least("centre", "other")).otherwise(F.col("centre")).alias("family"))
 
 
@@ -266,23 +271,22 @@ def member_links(units: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 PAIR = "a long, b long, cosine double"
 
 
-def nearest(pairs: DataFrame) -> DataFrame:
-    """The ``NEIGHBOURS`` nearest b of each a, from pairs in either direction."""
+def nearest(pairs: DataFrame, least: float) -> DataFrame:
+    """The ``NEIGHBOURS`` nearest b of each a, from pairs in either direction; of links ``ENLARGED`` times as many."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
-    return both.withColumn("place", place).where(F.col("place") <= NEIGHBOURS).drop("place")
+    limit = F.when(F.col("cosine") >= least, ENLARGED * NEIGHBOURS).otherwise(NEIGHBOURS)
+    return both.withColumn("place", place).where(F.col("place") <= limit).drop("place")
 
 
-def started(units: DataFrame, reach: float) -> DataFrame:
-    """The nearest centres of each one that share a bucket with it, at a cosine of ``reach`` or more."""
+def started(units: DataFrame, least: float) -> DataFrame:
+    """The nearest centres of each one that share a bucket with it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, unit in rows.groupby("unit", sort=False):
-            x, y, hit = _sides(unit, reach)
-            if not hit.any():
-                continue
-            cosine = np.where(hit, _matrix(x["vector"]) @ _matrix(y["vector"]).T, -2)
+            x, y, other_ball = _sides(unit, -2.0)
+            cosine = np.where(other_ball, _matrix(x["vector"]) @ _matrix(y["vector"]).T, -2)
             p, q = x["centre"].to_numpy(), y["centre"].to_numpy()
             for own, other, c in ((p, q, cosine), (q, p, cosine.T)):
                 best = np.argpartition(-c, min(NEIGHBOURS, c.shape[1]) - 1, axis=1)[:, :NEIGHBOURS]
@@ -290,39 +294,47 @@ def started(units: DataFrame, reach: float) -> DataFrame:
                 out.append(np.rec.fromarrays([own[i], other[best[i, j]], c[i, best[i, j]]], names="a,b,cosine"))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros(0, dtype=[("a", "i8"), ("b", "i8"), ("cosine", "f8")]))
 
-    return nearest(units.groupBy("t").applyInPandas(run, PAIR))
+    return nearest(units.groupBy("t").applyInPandas(run, PAIR), least)
 
 
-def descend(lists: DataFrame, centres: DataFrame, reach: float) -> DataFrame:
-    """The lists after a round in which the members of each list, and its owner, meet."""
+def descend(lists: DataFrame, centres: DataFrame, least: float) -> DataFrame:
+    """The lists after a round in which the members of each list, its owner, and those that list the owner meet.
+
+    Whoever lists one owner is dealt over groups of about ``GROUP``, so a centre in very many lists makes no large group.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, group in rows.groupby("owner", sort=False):
+        for _, group in rows.groupby(["owner", "part"], sort=False):
             ids, x = group["id"].to_numpy(), _matrix(group["vector"])
             cosine = x @ x.T
-            i, j = np.nonzero(np.triu(cosine >= reach, 1))
-            out.append(pd.DataFrame({"a": ids[i], "b": ids[j], "cosine": cosine[i, j]}))
-        return pd.concat(out).drop_duplicates(["a", "b"]).astype({"a": "int64", "b": "int64"})
-
-    members = lists.select(F.col("a").alias("owner"), F.col("b").alias("id")).unionByName(lists.select(F.col("a").alias("owner"), F.col("a").alias("id")).distinct())
-    n = max(1, members.count() // 4096)
-    met = members.join(centres, "id").withColumn("t", F.pmod(F.xxhash64("owner"), F.lit(n)))
-    return nearest(met.groupBy("t").applyInPandas(run, PAIR).unionByName(lists.select("a", "b", "cosine")))
-
-
-def neighbour_graph(units: DataFrame, centres: DataFrame, least: float) -> DataFrame:
-    """The distinct pairs a < b of centres in each other's lists that are linked, after rounds until none is added."""
-    reach = float(np.cos(2 * np.arccos(least)))
-    lists = checkpointed(started(units, reach))
-    links = lists.where(F.col("cosine") >= least).count()
+            np.fill_diagonal(cosine, -2)
+            best = np.argpartition(-cosine, min(NEIGHBOURS, len(ids)) - 1, axis=1)[:, :NEIGHBOURS]
+            kept = cosine >= least
+            np.put_along_axis(kept, best, True, axis=1)
+            i, j = np.nonzero(np.triu(kept | kept.T, 1))
+            out.append(np.rec.fromarrays([ids[i], ids[j], cosine[i, j]], names="a,b,cosine"))
+        return pd.DataFrame(np.concatenate(out)).drop_duplicates(["a", "b"])
+
+    parts = lists.groupBy(F.col("b").alias("owner")).agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    listing = lists.select(F.col("b").alias("owner"), F.col("a").alias("id")).join(parts, "owner").select("owner", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id")
+    own = lists.select(F.col("a").alias("owner"), F.lit(0).cast("long").alias("part"), F.explode(F.array("a", "b")).alias("id"))
+    members = listing.unionByName(own).distinct()
+    n = max(1, lists.count() // 2048)
+    met = members.join(centres, "id").withColumn("t", F.pmod(F.xxhash64("owner", "part"), F.lit(n)))
+    return nearest(met.groupBy("t").applyInPandas(run, PAIR).unionByName(lists), least)
+
+
+def neighbour_lists(units: DataFrame, centres: DataFrame, least: float) -> DataFrame:
+    """(a, b, cosine): the lists after rounds of descent until they have settled."""
+    lists = checkpointed(started(units, least))
     while not lists.isEmpty():
-        lists = checkpointed(descend(lists, centres, reach))
-        now = lists.where(F.col("cosine") >= least).count()
-        if now <= links:
+        after = checkpointed(descend(lists, centres, least))
+        new = after.join(lists.select("a", "b"), ["a", "b"], "left_anti").agg(F.count("*").alias("n"), F.count_if(F.col("cosine") >= least).alias("links")).first()
+        lists = after
+        if new["links"] == 0 and new["n"] <= SETTLED * lists.count():
             break
-        links = now
-    return lists.where(F.col("cosine") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return lists
 
 
 def audited(member: DataFrame, each: DataFrame, least: float) -> tuple[float, int]:
@@ -370,9 +382,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     while True:
         each = checkpointed(_linked(member, ball, least, miss))
         recall, _ = audited(member, each, least)
-        if recall >= RECALL or miss < MISS**4:
+        if recall >= RECALL:
+            break
+        if miss < MISS**8:
+            if recall < WANTED:
+                raise RuntimeError(f"{recall:.3f} of the links of the audited vectors were found")
             break
-        miss **= 2
+        miss **= 3
     out = rows.select("id").join(each, "id", "left")
     return out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
@@ -383,8 +399,9 @@ def _linked(member: DataFrame, ball: DataFrame, least: float, miss: float) -> Da
     # equal vectors of a ball have the same buckets, so one of them stands for all in the search
     codes = bucketed(member.groupBy("label", "centre", "vector").agg(F.min(F.struct("id", "owner", "salt")).alias("m")).select("label", "centre", "vector", "m.*"), least, miss)
     near, _ = met(codes, None, ["label", "code"], vectors)
-    graph = neighbour_graph(near, member.where("id = centre").select("id", "vector"), least - SLACK)
-    family = checkpointed(families(near, least - SLACK))
+    lists = neighbour_lists(near, member.where("id = centre").select("id", "vector"), least - SLACK)
+    family = checkpointed(families(near, lists, least - SLACK))
+    graph = lists.where(F.col("cosine") >= least - SLACK).select("a", "b")
     named = vectors.join(family, "centre", "left").withColumn("family", F.coalesce("family", "centre"))
     near = near.join(family, "centre", "left").withColumn("family", F.coalesce("family", "centre"))
     of = {c: family.select(F.col("centre").alias(c), F.col("family").alias(f"{c}_family")) for c in "ab"}
