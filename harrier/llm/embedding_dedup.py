@@ -301,6 +301,7 @@ def descend(lists: DataFrame, centres: DataFrame, least: float) -> DataFrame:
     """The lists after a round in which the members of each list, its owner, and those that list the owner meet.
 
     Whoever lists one owner is dealt over groups of about ``GROUP``, so a centre in very many lists makes no large group.
+    A pair leaves its task only if it can enter one of its two lists, as the last entry of each list tells.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -312,6 +313,7 @@ def descend(lists: DataFrame, centres: DataFrame, least: float) -> DataFrame:
             best = np.argpartition(-cosine, min(NEIGHBOURS, len(ids)) - 1, axis=1)[:, :NEIGHBOURS]
             kept = cosine >= least
             np.put_along_axis(kept, best, True, axis=1)
+            kept &= cosine >= group["last"].to_numpy()[:, None]
             i, j = np.nonzero(np.triu(kept | kept.T, 1))
             out.append(np.rec.fromarrays([ids[i], ids[j], cosine[i, j]], names="a,b,cosine"))
         return pd.DataFrame(np.concatenate(out)).drop_duplicates(["a", "b"])
@@ -321,7 +323,10 @@ def descend(lists: DataFrame, centres: DataFrame, least: float) -> DataFrame:
     own = lists.select(F.col("a").alias("owner"), F.lit(0).cast("long").alias("part"), F.explode(F.array("a", "b")).alias("id"))
     members = listing.unionByName(own).distinct()
     n = max(1, lists.count() // 2048)
-    met = members.join(centres, "id").withColumn("t", F.pmod(F.xxhash64("owner", "part"), F.lit(n)))
+    size, low = F.count("*"), F.min("cosine")
+    last = F.when(size < NEIGHBOURS, -2.0).when((low >= least) & (size < ENLARGED * NEIGHBOURS), least).otherwise(low)
+    lasts = lists.groupBy(F.col("a").alias("id")).agg(last.alias("last"))
+    met = members.join(centres, "id").join(lasts, "id").withColumn("t", F.pmod(F.xxhash64("owner", "part"), F.lit(n)))
     return nearest(met.groupBy("t").applyInPandas(run, PAIR).unionByName(lists), least)
 
 
