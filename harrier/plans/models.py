@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -14,15 +14,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from harrier.plans.metrics import ranking_metrics, rates
 from harrier.sources import store
 
 SEED = 42
 LOT = 20_000
-#: Queries that one pass over the base compares, and base rows compared with them at a time.
-QUERY_BLOCK, BASE_ROWS = 1024, 256
+#: Queries and base rows of a group, and base rows compared with its queries at a time.
+QUERY_BLOCK, BASE_BLOCK, BASE_ROWS = 1024, 8192, 512
 
 
 def estimators(seed: int = SEED) -> dict:
@@ -204,58 +203,50 @@ def nearest_vectors(queries: DataFrame, base: DataFrame, k: int, key: str = "id"
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray]:
-    return [np.array(v.as_py(), dtype=np.float64) if v.is_valid else np.zeros(0) for v in column]
-
-
 def nearest_in_blocks(queries: DataFrame, base: DataFrame, k: int, key: str = "id", vector: str = "vector", label: str = "label") -> DataFrame:
-    """The k nearest base rows of each query row by squared distance, for a query table of any size: query, neighbour, label, distance, rank.
+    """The k nearest base rows of each query row by squared distance, for tables of any size: query, neighbour, label, distance, rank.
 
-    Each block of about ``QUERY_BLOCK`` queries is sent to the tasks of one pass over the base; a task keeps the k nearest
-    of its rows for each query, so a pass shuffles k rows a query and task. Rows without a vector, with a null or
-    not-a-number component or of another length are nobody's neighbours.
+    Each block of about ``QUERY_BLOCK`` queries meets each block of about ``BASE_BLOCK`` base rows in one group, which
+    keeps the k nearest of its rows for each query; these are ranked over all blocks. Nothing passes through the driver,
+    and no group grows with the tables. Rows without a key or vector, with a null or not-a-number component or of another
+    length are nobody's neighbours.
     """
-    spark, kinds = base.sparkSession, {f.name: f.dataType for f in base.schema}
+    kinds = {f.name: f.dataType for f in base.schema}
     schema = T.StructType([T.StructField("query", kinds[key]), T.StructField("neighbour", kinds[key]), T.StructField("label", kinds[label]), T.StructField("distance", T.DoubleType())])
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    numbered = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("block"))
-
-    def one_pass(block: int) -> DataFrame:
-        by_length: dict[int, tuple[list, list]] = {}
-        for r in numbered.where(F.col("block") == block).collect():
-            ids, rows = by_length.setdefault(len(r["v"]), ([], []))
-            ids.append(r["id"])
-            rows.append(r["v"])
-        shared = spark.sparkContext.broadcast({n: (ids, np.array(rows, dtype=np.float64)) for n, (ids, rows) in by_length.items()})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = {n: [[] for _ in ids] for n, (ids, _) in shared.value.items()}
-            least = {n: np.full(len(ids), np.inf) for n, (ids, _) in shared.value.items()}
-            for batch in batches:
-                ids, labels, vectors = batch.column(0).to_pylist(), batch.column(2).to_pylist(), _vectors(batch.column(1))
-                lengths = np.array([len(v) for v in vectors])
-                for n, (query, q) in shared.value.items():
-                    at = np.flatnonzero(lengths == n)
-                    for part in (at[i : i + BASE_ROWS] for i in range(0, len(at), BASE_ROWS)):
-                        x = np.stack([vectors[i] for i in part])
-                        distance = np.zeros((len(query), len(part)))
-                        for d in range(n):
-                            step = q[:, d, None] - x[None, :, d]
-                            distance += step * step
-                        near = distance <= least[n][:, None]
-                        for i in np.flatnonzero(near.any(axis=1)):
-                            met = [(float(distance[i, j]), ids[part[j]], labels[part[j]]) for j in np.flatnonzero(near[i]) if ids[part[j]] is not None and ids[part[j]] != query[i]]
-                            best[n][i] = sorted(best[n][i] + met, key=lambda m: m[:2])[:k]
-                            if len(best[n][i]) == k:
-                                least[n][i] = best[n][i][-1][0]
-            found = [(query[i], m[1], m[2], m[0]) for n, (query, _) in shared.value.items() for i, list_ in enumerate(best[n]) for m in list_]
-            names = ["query", "neighbour", "label", "distance"]
-            types = [batch_types[key], batch_types[key], batch_types[label], pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], type=t) for c, t in enumerate(types)], names=names)
-
-        return base.select(key, vector, label).mapInArrow(run, schema)
-
-    batch_types = {c: to_arrow_type(kinds[c]) for c in (key, label)}
-    met = reduce(DataFrame.unionByName, [one_pass(block) for block in range(n_blocks)])
+    usable = F.col(key).isNotNull() & F.col(vector).isNotNull()
+    q, b = queries.where(usable), base.where(usable)
+    n_q, n_b = (max(1, -(-rows.count() // size)) for rows, size in ((q, QUERY_BLOCK), (b, BASE_BLOCK)))
+
+    def dealt(rows: DataFrame, own: str, n: int, other: str, m: int, *columns: Column) -> DataFrame:
+        """rows with the number of their own block, once for each block of the other side."""
+        numbered = rows.select(F.pmod(F.xxhash64(key, vector), F.lit(n)).alias(own), *columns)
+        return numbered.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+
+    left = dealt(q, "i", n_q, "j", n_b, F.col(key).alias("query"), F.col(vector).alias("v"))
+    right = dealt(b, "j", n_b, "i", n_q, F.col(key).alias("neighbour"), F.col(vector).alias("v"), F.col(label).alias("label"))
+
+    def run(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        lengths, other_lengths = some["v"].map(len).to_numpy(), others["v"].map(len).to_numpy()
+        for n in np.intersect1d(lengths, other_lengths):
+            asked, rows = some[lengths == n], others[other_lengths == n]
+            x, y = (np.stack([np.asarray(v, dtype=np.float64) for v in side["v"]]) for side in (asked, rows))
+            names = asked["query"].to_numpy()
+            for at in range(0, len(rows), BASE_ROWS):
+                part = rows.iloc[at : at + BASE_ROWS]
+                distance = np.zeros((len(asked), len(part)))
+                for d in range(n):
+                    step = x[:, d, None] - y[None, at : at + BASE_ROWS, d]
+                    distance += step * step
+                distance[names[:, None] == part["neighbour"].to_numpy()[None, :]] = np.nan
+                kth = np.partition(distance, min(k, len(part)) - 1, axis=1)[:, min(k, len(part)) - 1]  # not-a-number comes last
+                u, w = np.nonzero(~np.isnan(distance) & ~(distance > kth[:, None]))
+                met = pd.DataFrame({"query": names[u], "neighbour": part["neighbour"].to_numpy()[w], "label": part["label"].to_numpy()[w], "distance": distance[u, w]})
+                found.append(met.sort_values(["query", "distance", "neighbour"]).groupby("query", sort=False).head(k))
+        if not found:
+            return pd.DataFrame({f.name: [] for f in schema})
+        return pd.concat(found).sort_values(["query", "distance", "neighbour"]).groupby("query", sort=False).head(k)
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrier.functions.text import leading
@@ -134,8 +134,8 @@ def outcomes_by_exit(df: DataFrame, stages: Sequence[str], truth: str, values: S
 def pick_margins(points: DataFrame, budget: float | None, prefer: str = "cheap", value: str = "f1", cost: str = "mean_latency_ms") -> DataFrame:
     """The best point within a budget; of nearly equal ones the cheapest or the dearest, with the number of ties."""
     feasible = points if budget is None else points.where(F.col(cost) <= budget)
-    best = feasible.agg(F.max(value).alias("__best"))
-    tied = feasible.join(F.broadcast(best)).where(F.abs(F.col(value) - F.col("__best")) <= 1e-8 + 1e-5 * F.abs("__best"))
+    best = feasible.withColumn("__best", F.max(value).over(Window.partitionBy(F.lit(0))))  # the points of one grid
+    tied = best.where(F.abs(F.col(value) - F.col("__best")) <= 1e-8 + 1e-5 * F.abs("__best"))
     keys = [c for c in points.columns if c.startswith("s") and c[1:].isdigit()] or [points.columns[0]]
     order = F.struct((F.col(cost) if prefer == "wide" else -F.col(cost)).alias("c"), *((-F.col(k)).alias(k) for k in keys))
     return tied.agg(F.max_by(F.struct(*points.columns), order).alias("__p"), F.count("*").alias("n_ties")).select("__p.*", "n_ties")
@@ -149,10 +149,14 @@ def budget_picks(points: DataFrame, budgets: Sequence[float], value: str = "f1",
 
 
 def budget_margins(points: DataFrame, budgets: Sequence[float], value: str = "f1", cost: str = "mean_latency_ms") -> DataFrame:
-    """For each budget the cheapest of the nearly best points within it, as ``pick_margins`` has it, with the numbers of ties and of feasible points."""
+    """For each budget the cheapest of the nearly best points within it, as ``pick_margins`` has it, with the numbers of ties and of feasible points.
+
+    The points, a grid of the caller's margins, are computed once: the best value comes from a window over a budget's points.
+    """
     met = points.join(F.broadcast(grid(points, budgets, "budget")), F.col(cost) <= F.col("budget"))
-    best = met.groupBy("budget").agg(F.max(value).alias("__best"), F.count("*").alias("n_feasible"))
-    tied = met.join(F.broadcast(best), "budget").where(F.abs(F.col(value) - F.col("__best")) <= 1e-8 + 1e-5 * F.abs("__best"))  # a row for each budget
+    by = Window.partitionBy("budget")
+    best = met.withColumns({"__best": F.max(value).over(by), "n_feasible": F.count("*").over(by)})
+    tied = best.where(F.abs(F.col(value) - F.col("__best")) <= 1e-8 + 1e-5 * F.abs("__best"))
     keys = [c for c in points.columns if c.startswith("s") and c[1:].isdigit()]
     order = F.struct((-F.col(cost)).alias("c"), *((-F.col(k)).alias(k) for k in keys))
     picked = tied.groupBy("budget", "n_feasible").agg(F.max_by(F.struct(*points.columns), order).alias("__p"), F.count("*").alias("n_ties"))

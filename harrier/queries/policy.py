@@ -589,6 +589,8 @@ SQL = {
     "delta_sweep": f"WITH {_PROB}, {_steps_sql(51)}, x AS (SELECT i AS step, {_CELLS}, {_EXITS}, avg(CASE ex WHEN 0 THEN 1.0 WHEN 1 THEN 51.0 ELSE 951.0 END) AS ms FROM e GROUP BY i) SELECT step, tp, fp, fn, tn, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1, exit_0, exit_1, exit_2, exit_3, round(ms, 6) AS mean_latency_ms FROM x",
     "exit_composition": f"WITH {_PROB}, {_steps_sql(11, 'max')} SELECT i AS step, {_EXITS} FROM e GROUP BY i",
     "outcome_cube": f"WITH {_PROB}, {_steps_sql(11)}, x AS (SELECT i AS step, ex AS exit_at, CASE WHEN y AND v THEN 'TP' WHEN v THEN 'FP' WHEN y THEN 'FN' ELSE 'TN' END AS outcome, count(*) AS n FROM e GROUP BY ALL) SELECT g.i AS step, a.k AS exit_at, o.outcome, coalesce(n, 0) AS n FROM range(0, 11) g(i) CROSS JOIN range(0, 4) a(k) CROSS JOIN (SELECT unnest(['TP', 'FP', 'FN', 'TN']) AS outcome) o LEFT JOIN x ON x.step = g.i AND x.exit_at = a.k AND x.outcome = o.outcome",
+    "exit_composition_full": f"WITH {_PROB}, {_steps_sql(51, 'max')} SELECT i AS step, {_EXITS} FROM e GROUP BY i",
+    "outcome_cube_full": f"WITH {_PROB}, {_steps_sql(51)}, x AS (SELECT i AS step, ex AS exit_at, CASE WHEN y AND v THEN 'TP' WHEN v THEN 'FP' WHEN y THEN 'FN' ELSE 'TN' END AS outcome, count(*) AS n FROM e GROUP BY ALL) SELECT g.i AS step, a.k AS exit_at, o.outcome, coalesce(n, 0) AS n FROM range(0, 51) g(i) CROSS JOIN range(0, 4) a(k) CROSS JOIN (SELECT unnest(['TP', 'FP', 'FN', 'TN']) AS outcome) o LEFT JOIN x ON x.step = g.i AND x.exit_at = a.k AND x.outcome = o.outcome",
     "threshold_sweep": f"WITH {_PROB}, x AS (SELECT i AS step, {_CELLS} FROM (SELECT i, y, p_url >= i::DOUBLE / 100 AS v FROM p, range(0, 101) r(i)) GROUP BY i) SELECT step, {_RATES} FROM x",
     "margin_grid3": f"WITH {_PROB}, {_GRID} SELECT s0, s1, s2, tp, fp, fn, tn, round(mean_latency_ms, 6) AS mean_latency_ms FROM r",
     "budget_picks": f"WITH {_PROB}, {_GRID} SELECT budget, round(max(f1), 9) AS best_f1, count(*) AS n_feasible FROM r JOIN (SELECT unnest([50.0, 100.0, 250.0, 500.0, 1000.0, 2000.0, 4000.0])::DOUBLE AS budget) ON mean_latency_ms <= budget GROUP BY budget",
@@ -631,6 +633,7 @@ SQL = {
     "align_features": "SELECT doc_id, coalesce(CAST(n_chars AS DOUBLE), 0) AS n_chars, coalesce(TRY_CAST(source AS DOUBLE), 0) AS source, 0::DOUBLE AS absent FROM documents",
     "label_map_sum": f"WITH {_PROB} SELECT l_orderkey, l_linenumber, round(p_url + coalesce(p_content, 0), 9) AS phish, round(coalesce(p_domain, 0), 9) AS benign FROM p",
     "nearest_vectors": "WITH q AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 20), d AS (SELECT q.vec_id AS query, e.vec_id AS neighbour, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM q, embeddings e WHERE e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS rank FROM d) SELECT query, rank, neighbour FROM r WHERE rank <= 5",
+    "nearest_vectors_full": "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id AS query, e.vec_id AS neighbour, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM q, embeddings e WHERE e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS rank FROM d) SELECT query, rank, neighbour FROM r WHERE rank <= 5",
 }
 
 
