@@ -297,6 +297,12 @@ def failure_streak_stop(spark, sf_dir):
     return kept.groupBy("user_id").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
+def failure_streak_whole(spark, sf_dir):
+    """All events as one log, up to the fourth error in a row."""
+    log = _read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type")
+    return feeds.until_failures(log, F.col("event_type") != "error", 4).agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
 # stores
 
 
@@ -541,6 +547,7 @@ QUERIES = {
     "nearest_threshold": nearest_threshold,
     "top_k_models": top_k_models,
     "failure_streak_stop": failure_streak_stop,
+    "failure_streak_whole": failure_streak_whole,
     "url_upsert_first_last": url_upsert_first_last,
     "url_upsert_incremental": url_upsert_incremental,
     "snapshot_upsert": snapshot_upsert,
@@ -607,6 +614,7 @@ SQL = {
     "nearest_threshold": f"WITH {_PROB} SELECT CAST(33 AS BIGINT) AS step, 0.33::DOUBLE AS threshold, count(*) FILTER (WHERE y AND p_url >= 33::DOUBLE / 100) AS tp FROM p",
     "top_k_models": f"WITH {_TIMINGS} SELECT grp, round(avg(total_ms), 6) AS mean_ms FROM x GROUP BY grp ORDER BY avg(total_ms) DESC, grp LIMIT 5",
     "failure_streak_stop": "WITH a AS (SELECT user_id, event_id, event_type = 'error' AS bad, lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), s AS (SELECT user_id, min(event_id) FILTER (WHERE bad AND before) AS stop FROM a GROUP BY user_id) SELECT user_id, count(*) AS n, max(event_id) AS last FROM events JOIN s USING (user_id) WHERE stop IS NULL OR event_id <= stop GROUP BY user_id",
+    "failure_streak_whole": "WITH a AS (SELECT event_id, event_type = 'error' AS bad, count(*) FILTER (WHERE event_type <> 'error') OVER (ORDER BY event_id) AS g FROM events), b AS (SELECT event_id, bad, count(*) FILTER (WHERE bad) OVER (PARTITION BY g ORDER BY event_id) AS run FROM a), s AS (SELECT min(event_id) FILTER (WHERE bad AND run >= 4) AS stop FROM b) SELECT count(*) AS n, max(event_id) AS last FROM events, s WHERE stop IS NULL OR event_id <= stop",
     "url_upsert_first_last": f"WITH {_CHANGES} {_UPSERT}",
     "url_upsert_incremental": f"WITH {_CHANGES} {_UPSERT}",
     "snapshot_upsert": "SELECT snapshot, seq, value FROM (SELECT user_id || '|' || strftime(ts, '%Y-%m-%d') AS snapshot, event_id AS seq, value, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",

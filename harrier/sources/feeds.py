@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Segments that a log without a key is cut into.
+SEGMENTS = 256
 
 
 def parse_time(text: Column) -> Column:
@@ -74,8 +78,12 @@ def result_url(df: DataFrame) -> Column:
 def until_failures(log: DataFrame, ok: Column, n: int, order: str = "seq", by: str | None = None) -> DataFrame:
     """The log up to and with the n-th failure in a row; later rows are left out.
 
-    ``by`` names independent runs (one window each); without it the log is one run.
+    ``by`` names independent runs (one window each); without it the log is one run, which ``first_streak`` cuts into
+    segments if ``order`` is a number, a date or a time.
     """
+    if not by and isinstance(log.schema[order].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        stop = F.broadcast(first_streak(log, ok, n, order))  # one row
+        return log.join(stop).where(F.col("__stop").isNull() | (F.col(order) <= F.col("__stop"))).drop("__stop")
     part = [by] if by else []
     runs = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     streak = log.withColumn("__good", F.count_if(ok).over(runs)).withColumn("__ok", ok)
@@ -86,6 +94,35 @@ def until_failures(log: DataFrame, ok: Column, n: int, order: str = "seq", by: s
     return met.where(F.col("__stop").isNull() | (F.col(order) <= F.col("__stop"))).drop("__good", "__ok", "__streak", "__stop")
 
 
+def first_streak(log: DataFrame, ok: Column, n: int, order: str = "seq", segments: int = SEGMENTS) -> DataFrame:
+    """One row, ``__stop``: where the log, as one run, has its n-th failure in a row, or null.
+
+    The log is cut at quantiles of ``order``. A segment is summed up by its rows, by whether any went well and by the
+    failures at its end; from these few rows each segment gets the failures that run into it, and then finds its own
+    first stop by itself. Rows of one order stay together, those of a null order come
+    first; a row whose ``ok`` is null neither fails nor ends a streak.
+    """
+    cuts = log.agg(F.percentile_approx(order, [i / segments for i in range(1, segments)]).alias("__cuts"))
+    rows = log.select(F.col(order).alias("__o"), ok.alias("__ok")).join(F.broadcast(cuts))
+    rows = rows.select("__o", "__ok", F.when(F.col("__o").isNull() | F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col("__o")))).alias("__s"))
+    # a segment's last good row parts the failures at its end from the rest; rows of one order count by it as a whole
+    last_ok = F.max(F.when(F.col("__ok"), F.struct("__o"))).alias("good")
+    each = rows.groupBy("__s").agg(last_ok)
+    ends = rows.join(F.broadcast(each), "__s").groupBy("__s").agg(  # a row for each segment
+        F.count_if(F.col("good").isNotNull()).alias("any"),
+        F.count_if(~F.col("__ok") & (F.col("good").isNull() | (F.struct("__o") > F.col("good")))).alias("trail"),
+    )
+    before = Window.orderBy("__s")  # as many rows as there are segments
+    shifted = ends.select("__s", F.lag("trail", 1, 0).over(before).alias("trail"), (F.lag("any", 1, 0).over(before) > 0).cast("int").alias("any"))
+    shifted = shifted.withColumn("run", F.sum("any").over(before))
+    carried = shifted.select("__s", F.sum("trail").over(Window.partitionBy("run").orderBy("__s")).alias("__carry"))
+    upto = Window.partitionBy("__s").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
+    streak = rows.withColumn("__good", F.count_if("__ok").over(upto)).where(~F.col("__ok"))
+    streak = streak.withColumn("__n", F.count("*").over(Window.partitionBy("__s", "__good").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)))
+    reached = streak.join(F.broadcast(carried), "__s").where(F.col("__n") + F.when(F.col("__good") == 0, F.col("__carry")).otherwise(0) >= n)
+    return reached.agg(F.min("__o").alias("__stop"))
+
+
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """URLs with labels from a CSV file (url[,label]) or from text lines, where # starts a comment; the first of equal URLs counts."""
     if path.endswith(".csv"):
