@@ -15,7 +15,7 @@ from harrier.functions.text import col, count_matches
 _TAG = r"""<[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 _ATTRIBUTE = r"""([a-zA-Z_:@][-a-zA-Z0-9_:.@]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 BLOCKED = r"(?i)\b(suspended|blocked|forbidden|denied|restricted)\b"
-#: Patterns counted in inline scripts, by feature.
+#: Patterns counted in inline scripts, by feature.
 SCRIPT_PATTERNS = {
     "html_create_element": r"createElement\(",
     "html_write": r"write\(",
@@ -46,6 +46,7 @@ SCRIPT_PATTERNS = {
     "html_unicode_encoding": r"\\u[0-9A-Fa-f]{4}",
     "html_long_variable_name": r"\b[a-zA-Z0-9_]{20,}\b",
 }
+#: Styles that hide an element.
 HIDING = ("display: none", "visibility: hidden", "opacity: 0", "position: absolute")
 
 
