@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrier.functions.text import leading
+from harrier.plans.quantiles import quantiles
 
 OUTCOMES = ("ok", "unreachable", "timeout", "feature_error", "model_error")
 
@@ -89,19 +90,25 @@ def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, keys: Sequence[str], phases: Sequence[str], outcome: str = "outcome") -> DataFrame:
-    """By key and phase: count, mean, median, p95, min and max of the rows that went well, 2 decimals; groups without any stay."""
+    """By key and phase: count, mean, median, p95, min and max of the rows that went well, 2 decimals; groups without any stay.
+
+    Median and p95 are exact for groups of any size and hold no group's values (``plans/quantiles.py``).
+    """
     good = F.when(F.col(outcome) == "ok", F.col("ms"))
     pairs = ", ".join(f"'{p}', `{p}`" for p in phases)
     long = df.selectExpr(*keys, f"`{outcome}`", f"stack({len(phases)}, {pairs}) AS (phase, ms)")
-    return long.groupBy(*keys, "phase").agg(
+    sums = long.groupBy(*keys, "phase").agg(
         F.count(good).alias("n"),
         F.round(F.avg(good), 2).alias("mean_ms"),
-        F.round(F.percentile(good, 0.5), 2).alias("median_ms"),
-        F.round(F.percentile(good, 0.95), 2).alias("p95_ms"),
         F.round(F.min(good), 2).alias("min_ms"),
         F.round(F.max(good), 2).alias("max_ms"),
         F.count("*").alias("n_total"),
     )
+    by = [*keys, "phase"]
+    middle = quantiles(long.where(F.col(outcome) == "ok"), by, "ms", {"median_ms": 0.5, "p95_ms": 0.95})
+    other = middle.toDF(*(f"__{c}" for c in middle.columns))
+    met = sums.join(other, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by], "left")
+    return met.select(*by, "n", "mean_ms", F.round("__median_ms", 2).alias("median_ms"), F.round("__p95_ms", 2).alias("p95_ms"), "min_ms", "max_ms", "n_total")
 
 
 def outcome_rates(df: DataFrame, keys: Sequence[str], outcomes: Sequence[str] = OUTCOMES, outcome: str = "outcome") -> DataFrame:
