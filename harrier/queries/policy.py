@@ -14,7 +14,7 @@ from harrier.functions.text import mean, value_entropy
 from harrier.functions.urls import normalize_url, url_parts
 from harrier.operators import domain_features as records
 from harrier.operators.explain import age_label, payload
-from harrier.plans import extra_trees, metrics, models, sweeps
+from harrier.plans import boosting, extra_trees, metrics, models, sweeps
 from harrier.plans.cascade import Policy, Stage, decide, one_sided
 from harrier.sources import feeds, store
 
@@ -499,15 +499,29 @@ def predict_scores(spark, sf_dir):
     return models.predict(features, model, columns, ["page_id"])
 
 
-def extra_trees_scores(spark, sf_dir):
-    """Whether a line is still open, by trees learnt from all orders but a quarter, over all lines."""
+OPEN_LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "days", "l_suppkey", "l_partkey"]
+
+
+def _open_lines(spark, sf_dir):
+    """Lines, whether each is still open, and whether its order is held out (a quarter are)."""
     lines = _read(spark, sf_dir, "lineitem").withColumn("y", (F.col("l_linestatus") == "O").cast("int")).withColumn("days", F.unix_date(F.to_date("l_shipdate")))
-    lines = lines.withColumn("held_out", F.pmod(F.crc32(F.col("l_orderkey").cast("string")), F.lit(4)) == 2)
-    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "days", "l_suppkey", "l_partkey"]
-    model = extra_trees.train(lines.where(~F.col("held_out")), columns, "y", n_trees=20, depth=8)
+    return lines.withColumn("held_out", F.pmod(F.crc32(F.col("l_orderkey").cast("string")), F.lit(4)) == 2)
+
+
+def extra_trees_scores(spark, sf_dir):
+    """Whether a line is still open, by randomised trees learnt from all orders but those held out, over all lines."""
+    lines = _open_lines(spark, sf_dir)
+    model = extra_trees.train(lines.where(~F.col("held_out")), OPEN_LINE_COLUMNS, "y", n_trees=20, depth=8)
     return extra_trees.predict(lines, model, ["l_orderkey", "l_linenumber", "held_out", "y"])
 
 
+def boosted_scores(spark, sf_dir):
+    """Whether a line is still open, by boosted trees learnt from all orders but those held out, over all lines."""
+    lines = _open_lines(spark, sf_dir)
+    model = boosting.train(lines.where(~F.col("held_out")), OPEN_LINE_COLUMNS, "y", "l_orderkey", n_trees=10, depth=4, rate=0.3)
+    return boosting.predict(lines, model, ["l_orderkey", "l_linenumber", "held_out", "y"])
+
+
 def nearest_vectors(spark, sf_dir):
     base = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     queries = base.orderBy("id").limit(20)
@@ -549,6 +563,7 @@ QUERIES = {
     "payload_verdicts": payload_verdicts,
     "latency_summary": latency_summary,
     "extra_trees_scores": extra_trees_scores,
+    "boosted_scores": boosted_scores,
     "latency_by_label_grouping_sets": latency_by_label_grouping_sets,
     "outcome_rates": outcome_rates,
     "near_timeout_rate": near_timeout_rate,
