@@ -17,8 +17,8 @@ from harrier.sources.store import shared_folder
 
 #: Cuts of a sketch; its error in rank is far below the share between two cuts.
 CUTS, ACCURACY = 256, 10_000
-#: So many values of a group between two cuts are sorted in place of sketched again.
-FEW = 10_000
+#: So many values of a group, or of a group between two cuts, are sorted in one task in place of sketched (2 MB).
+FEW = 250_000
 
 
 def _sketch(value: Column) -> Column:
@@ -37,10 +37,14 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, quantiles: Seq
     rows = df.select(*(F.col(f"`{k}`").alias(c) for k, c in zip(keys, names, strict=True)), F.col(f"`{value}`").cast("double").alias("v"))
     rows = rows.where(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("v", F.col("v") + F.lit(0.0))  # -0.0 is 0.0
     start = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    start = start.withColumn("rank", F.explode(_ranks(F.col("n"), quantiles)))
     shared_folder(df.sparkSession)
-    open_, done = start.checkpoint(), None
-    while True:
+    start = start.withColumn("ranks", _ranks(F.col("n"), quantiles)).checkpoint()
+    short = start.where(F.col("n") <= few).select(*(F.col(c).alias(f"b{c}") for c in names), "n", "ranks")
+    same = [F.col(c).eqNullSafe(F.col(f"b{c}")) for c in names]
+    sorted_ = (rows.join(short, same) if names else rows.crossJoin(F.broadcast(short))).groupBy(*names, "n", "ranks").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    done = sorted_.select(*names, "n", F.explode("ranks").alias("rank"), "vs").select(*names, "n", "rank", F.get("vs", F.col("rank").cast("int")).alias("value"))
+    open_ = start.where(F.col("n") > few).select(*names, "n", F.explode("ranks").alias("rank"), "lo", "hi")
+    while not open_.isEmpty():
         bounds = open_.select(*(F.col(c).alias(f"b{c}") for c in names), "n", "rank", "lo", "hi")
         on = [F.col(c).eqNullSafe(F.col(f"b{c}")) for c in names] 
         within = rows.join(bounds, on) if names else rows.crossJoin(F.broadcast(bounds))  # without keys: one group's few ranks
@@ -66,10 +70,9 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, quantiles: Seq
         left = rows.join(small, on) if names else rows.crossJoin(F.broadcast(small))
         few_values = left.where(inside).groupBy(*(F.col(f"b{c}").alias(c) for c in names), "n", "rank", "place").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # at most ``few`` values
         sorted_ = few_values.select(*names, "n", "rank", F.get("vs", F.col("place").cast("int")).alias("value"))
-        done = settled.unionByName(sorted_) if done is None else done.unionByName(settled).unionByName(sorted_)
+        done = done.unionByName(settled).unionByName(sorted_)
         open_ = narrowed.where("found IS NULL AND NOT small").select(*names, "n", "rank", F.col("next_lo").alias("lo"), F.col("next_hi").alias("hi"))
-        if open_.isEmpty():
-            return done
+    return done
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], few: int = FEW) -> DataFrame:
