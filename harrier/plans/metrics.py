@@ -89,6 +89,12 @@ def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:
     return steps.crossJoin(F.broadcast(totals)).select(F.col("score").alias("threshold"), over(F.col("fp"), F.col("n_neg")).alias("fpr"), over(F.col("tp"), F.col("n_pos")).alias("tpr"))  # totals: one row
 
 
+def hundredths(x: Column) -> Column:
+    """x to 2 decimals, with halves of the scaled double away from zero, as SQL's round() does it; Spark's rounds the shortest decimal text."""
+    x = x.cast("double")
+    return F.when(F.abs(x) < 1e300, F.round(x * 100.0) / 100.0).otherwise(x)
+
+
 def latency_summary(df: DataFrame, keys: Sequence[str], phases: Sequence[str], outcome: str = "outcome") -> DataFrame:
     """By key and phase: count, mean, median, p95, min and max of the rows that went well, 2 decimals; groups without any stay.
 
@@ -99,16 +105,16 @@ def latency_summary(df: DataFrame, keys: Sequence[str], phases: Sequence[str], o
     long = df.selectExpr(*keys, f"`{outcome}`", f"stack({len(phases)}, {pairs}) AS (phase, ms)")
     sums = long.groupBy(*keys, "phase").agg(
         F.count(good).alias("n"),
-        F.round(F.avg(good), 2).alias("mean_ms"),
-        F.round(F.min(good), 2).alias("min_ms"),
-        F.round(F.max(good), 2).alias("max_ms"),
+        hundredths(F.avg(good)).alias("mean_ms"),
+        hundredths(F.min(good)).alias("min_ms"),
+        hundredths(F.max(good)).alias("max_ms"),
         F.count("*").alias("n_total"),
     )
     by = [*keys, "phase"]
     middle = quantiles(long.where(F.col(outcome) == "ok"), by, "ms", {"median_ms": 0.5, "p95_ms": 0.95})
     other = middle.toDF(*(f"__{c}" for c in middle.columns))
     met = sums.join(other, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by], "left")
-    return met.select(*by, "n", "mean_ms", F.round("__median_ms", 2).alias("median_ms"), F.round("__p95_ms", 2).alias("p95_ms"), "min_ms", "max_ms", "n_total")
+    return met.select(*by, "n", "mean_ms", hundredths(F.col("__median_ms")).alias("median_ms"), hundredths(F.col("__p95_ms")).alias("p95_ms"), "min_ms", "max_ms", "n_total")
 
 
 def outcome_rates(df: DataFrame, keys: Sequence[str], outcomes: Sequence[str] = OUTCOMES, outcome: str = "outcome") -> DataFrame:

@@ -84,6 +84,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str,
     def one(q: float) -> Column:
         place = F.lit(float(q)) * (F.col("n") - 1)
         low, high = F.element_at("at", F.floor(place)), F.element_at("at", F.ceil(place))
-        return F.when(low == high, low).otherwise(low + (high - low) * (place - F.floor(place)))
+        share = place - F.floor(place)
+        # rounded once, as SQL engines do it: sums of rounded products differ from them at ties of a later round()
+        between = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1.0 - share, high * share).cast("double")
+        return F.when(low == high, low).otherwise(between)
 
     return table.select(*(F.col(c).alias(k) for c, k in zip(names, keys, strict=True)), *(one(q).alias(name) for name, q in wanted.items()))

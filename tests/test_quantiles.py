@@ -36,3 +36,18 @@ def test_without_keys_and_without_rows(spark):
     df = spark.range(1, 20_001).select(F.col("id").cast("double").alias("x"))
     assert Q.quantiles(df, [], "x", {"m": 0.5}, few=10).collect() == [(10_000.5,)]
     assert Q.quantiles(df.where("x < 0").withColumn("g", F.lit(1)), ["g"], "x", {"m": 0.5}).collect() == []
+
+
+def test_ties_round_as_in_sql(spark):
+    """0.95 of (301.42, 304.08) at 0.75 is 303.415 in SQL, which a sum of rounded products misses; 1.005 is less than its text."""
+    import duckdb
+
+    from harrier.plans.metrics import latency_summary
+
+    rng = np.random.default_rng(1)
+    groups = {g: np.round(rng.exponential(50, rng.integers(2, 60)), 2) * 2 for g in range(1500)} | {-1: np.array([1.005]), -2: np.array([301.42] * 5 + [304.08]), -3: np.array([-1.5, 2.25])}
+    df = spark.createDataFrame([(g, "ok", float(x)) for g, v in groups.items() for x in v], "g long, outcome string, ms double")
+    got = {r.g: (r.median_ms, r.p95_ms, r.min_ms, r.max_ms) for r in latency_summary(df, ["g"], ["ms"]).collect()}
+    t = df.toPandas()  # noqa: F841
+    want = duckdb.sql("SELECT g, round(quantile_cont(ms, 0.5), 2), round(quantile_cont(ms, 0.95), 2), round(min(ms), 2), round(max(ms), 2) FROM t GROUP BY g").fetchall()
+    assert got == {g: tuple(rest) for g, *rest in want}
