@@ -17,6 +17,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrier.functions.text import let
+
 #: Rules that a plan carries: a few megabytes at most.
 MOST_RULES = 50_000
 #: Rows of a joined rule table are repeated so often that a rule as common as ``com`` is many tasks' work.
@@ -57,9 +59,9 @@ class SuffixRules:
         tail = lambda i: F.array_join(F.slice(labels, i, n), ".")
         places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
         tails = F.transform(places, lambda i: F.struct(i.alias("i"), tail(i).alias("tail"), F.when(i < n, tail(i + 1)).alias("parent")))
-        exceptions = F.filter(tails, lambda t: t["parent"].isNotNull() & self.holds(F.concat(F.lit("!"), t["tail"])))
-        matches = F.filter(tails, lambda t: self.holds(t["tail"]) | F.coalesce(self.holds(F.concat(F.lit("*."), t["parent"])), F.lit(False)))
-        return F.coalesce(F.get(exceptions, F.lit(0))["i"] + 1, F.get(matches, F.lit(0))["i"], n + 1)
+        exceptions = lambda tails: F.filter(tails, lambda t: t["parent"].isNotNull() & self.holds(F.concat(F.lit("!"), t["tail"])))
+        matches = lambda tails: F.filter(tails, lambda t: self.holds(t["tail"]) | F.coalesce(self.holds(F.concat(F.lit("*."), t["parent"])), F.lit(False)))
+        return let(tails, lambda t: F.coalesce(F.get(exceptions(t), F.lit(0))["i"] + 1, F.get(matches(t), F.lit(0))["i"], n + 1))
 
 
 def split_at(host: Column, labels: Column, at: Column) -> Column:
@@ -73,9 +75,8 @@ def split_at(host: Column, labels: Column, at: Column) -> Column:
 
 def split_by_rules(host: Column, rules: SuffixRules) -> Column:
     """struct(subdomain, domain, suffix) of a host, null for a null one."""
-    host = F.lower(F.btrim(host, F.lit(".")))
-    labels = F.split(host, r"\.")
-    return F.when(host.isNotNull(), split_at(host, labels, rules.first_label(labels)))
+    parts = lambda h: let(F.split(h, r"\."), lambda labels: let(rules.first_label(labels), lambda at: split_at(h, labels, at)))
+    return F.when(host.isNotNull(), let(F.lower(F.btrim(host, F.lit("."))), parts))
 
 
 def split_by_table(df: DataFrame, rules: DataFrame, host: str = "host", rule: str = "rule", out: str = "parts") -> DataFrame:

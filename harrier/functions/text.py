@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MD5_MODULUS = 2147483647
@@ -14,6 +14,16 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once; as a plain expression it would be computed wherever the body names it, in a lambda once for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores: for costly work a row on tables that are few splits because their files are small."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def count_of(text: Column | str, part: str) -> Column:
     """How often a character occurs."""
     return (F.length(col(text)) - F.length(F.replace(col(text), F.lit(part), F.lit("")))).cast("long")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from harrier.functions.suffixes import SuffixRules, parsed_rules, split_by_table
+from harrier.functions.text import spread
 from harrier.functions.urls import host_parts
 from harrier.operators import networks, similar
 from harrier.plans.guarded import guarded_stages
@@ -45,8 +46,8 @@ def _rules(spark):
 
 def suffix_rules(spark, sf_dir):
     """Hosts split by plain, wildcard and exception rules that the plan carries."""
-    p = host_parts("host", SuffixRules.of_table(_rules(spark)))
-    return _hosts(spark, sf_dir).select("c_custkey", p["subdomain"].alias("subdomain"), p["domain"].alias("domain"), p["suffix"].alias("suffix"))
+    hosts = spread(_hosts(spark, sf_dir))
+    return hosts.select("c_custkey", host_parts("host", SuffixRules.of_table(_rules(spark))).alias("p")).select("c_custkey", "p.subdomain", "p.domain", "p.suffix")
 
 
 def suffix_rules_joined(spark, sf_dir):

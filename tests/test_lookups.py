@@ -133,3 +133,12 @@ def test_longest_networks(spark):
         assert r.prefix_len == best, r
         # of equal networks the largest row; their texts may differ in bits past the prefix
         assert (r.cidr, r.name) == max(((c, m) for n, c, m in inside if n == best), default=(None, None)), r
+
+
+def test_suffix_rules_are_looked_up_once_a_host(spark, sf):
+    """The plan names each kind of lookup once (it did dozens of times), and its rows are dealt over the cores although the table is one small file."""
+    from harrier.queries.lookups import suffix_rules
+
+    plan = suffix_rules(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("crc32(") == 3, plan.count("crc32(")
+    assert plan.count("Repartition") == 1
