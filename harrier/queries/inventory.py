@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrier.functions.text import spread
 from harrier.functions.urls import host_parts, suffix_candidates
 from harrier.operators import domain_features as records
 from harrier.operators import explain
@@ -244,7 +245,7 @@ def card_contacts(spark, sf_dir):
     card = lambda fn, mail: F.concat(F.lit('["vcard", [["version", {}, "text", "4.0"], ["fn", {}, "text", "'), fn, F.lit('"], ["email", {}, "text", "'), mail, F.lit('"]]]'))
     entity = lambda roles, fn, mail: F.struct(F.array(*map(F.lit, roles)).alias("roles"), card(fn, mail).alias("vcardArray"))
     entities = F.array(entity(["Registrar"], F.col("c_mktsegment"), F.lit("")), entity(["administrative", "technical"], name, F.concat(key.cast("string"), F.lit("@x.org"))), entity(["registrant"], F.lit(""), F.lit("")))
-    found = _read(spark, sf_dir, "customer").select("c_custkey", registration.contacts(entities).alias("m"))
+    found = spread(_read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).select("c_custkey", registration.contacts(entities).alias("m"))
     return found.select("c_custkey", F.col("m")["registrar"][0]["name"].alias("registrar"), F.col("m")["registrar"][0]["email"].alias("registrar_email"), F.col("m")["administrative"][0]["name"].alias("admin"), F.col("m")["administrative"][0]["email"].alias("admin_email"), F.map_contains_key("m", "registrant").alias("has_registrant"))
 
 

@@ -7,14 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from harrier.functions.text import let
+
 ROLES = {"registrar": ("registrar",), "registrant": ("registrant",), "administrative": ("admin",)}
 
 
+def _card_rows(card: Column) -> Column:
+    return F.from_json(F.get_json_object(card, "$[1]"), "array<array<string>>")
+
+
+def _last_text(rows: Column, field: str) -> Column:
+    values = F.filter(rows, lambda r: (F.size(r) >= 4) & (F.get(r, F.lit(0)) == field) & ~F.coalesce(F.get(r, F.lit(3)), F.lit("[")).rlike(r"^\s*[\[{]"))
+    return F.get(F.try_element_at(values, F.lit(-1)), F.lit(3))
+
+
 def card_value(card: Column, field: str) -> Column:
     """The last text of a field in a jCard given as JSON (["vcard", [[field, {}, type, value], ...]]); null without one."""
-    rows = F.from_json(F.get_json_object(card, "$[1]"), "array<array<string>>")
-    values = F.filter(rows, lambda r: (F.size(r) >= 4) & (F.get(r, F.lit(0)) == field) & ~F.coalesce(F.get(r, F.lit(3)), F.lit("[")).rlike(r"^\s*[\[{]"))
-    return F.get(F.get(values, F.size(values) - 1), F.lit(3))
+    return _last_text(_card_rows(card), field)
 
 
 def contacts(entities: Column) -> Column:
@@ -23,23 +32,18 @@ def contacts(entities: Column) -> Column:
     A role counts wherever its name is part of an entity's role; contacts with neither name nor email and roles
     without contacts are left out.
     """
-    people = F.transform(
-        entities,
-        lambda e: F.struct(
-            F.transform(F.coalesce(e["roles"], F.array().cast("array<string>")), lambda r: F.lower(r)).alias("roles"),
-            F.nullif(card_value(e["vcardArray"], "fn"), F.lit("")).alias("name"),
-            F.nullif(card_value(e["vcardArray"], "email"), F.lit("")).alias("email"),
-        ),
-    )
-    people = F.filter(people, lambda p: p["name"].isNotNull() | p["email"].isNotNull())
-
-    def with_role(role: str, marks: Sequence[str]) -> Column:
+    roles = lambda e: F.transform(F.coalesce(e["roles"], F.array().cast("array<string>")), lambda r: F.lower(r))
+    parsed = lambda e: let(_card_rows(e["vcardArray"]), lambda rows: F.struct(roles(e).alias("roles"), _last_text(rows, "fn").alias("name"), _last_text(rows, "email").alias("email")))
+    given = lambda p: F.struct(p["roles"].alias("roles"), *(F.nullif(p[c], F.lit("")).alias(c) for c in ("name", "email")))
+    every = F.filter(F.transform(F.transform(entities, parsed), given), lambda p: p["name"].isNotNull() | p["email"].isNotNull())
+
+    def with_role(people: Column, role: str, marks: Sequence[str]) -> Column:
         has = lambda p: F.filter(p["roles"], lambda r: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(r, m)))
         each = F.flatten(F.transform(people, lambda p: F.transform(has(p), lambda _: F.struct(p["name"].alias("name"), p["email"].alias("email")))))
         return F.struct(F.lit(role).alias("key"), each.alias("value"))
 
-    pairs = F.array(*(with_role(role, marks) for role, marks in ROLES.items()))
-    return F.map_from_entries(F.filter(pairs, lambda p: F.size(p["value"]) > 0))
+    pairs = lambda people: F.array(*(with_role(people, role, marks) for role, marks in ROLES.items()))
+    return F.map_from_entries(F.filter(let(every, pairs), lambda p: F.size(p["value"]) > 0))
 
 
 def first_present(parsed: Column, keys: Sequence[str]) -> Column:

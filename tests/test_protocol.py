@@ -65,3 +65,12 @@ def test_protocol(spark):
     picks = {r.budget: r for r in out["picks"].collect()}
     assert set(picks) == {60.0, 400.0, 2000.0} and all(0 <= p.percentile <= 1 for p in picks.values())
     assert out["zoo"].where("selected").count() == 3 and out["sweep"].count() == 6
+
+
+def test_a_card_is_parsed_once(spark, sf):
+    """The plan parses a card in one place (it did in one for each role, field and use), and rows are dealt over the cores."""
+    from harrier.queries.inventory import card_contacts
+
+    plan = card_contacts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object(") == 1, plan.count("get_json_object(")
+    assert plan.count("Repartition") == 1
