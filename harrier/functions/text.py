@@ -43,11 +43,14 @@ def characters(text: Column | str) -> Column:
 
 def entropy_by_length(text: Column | str) -> Column:
     """Shannon entropy of the characters in bits, divided by the text's length; 0 for the empty text."""
-    text = col(text)
-    size = F.length(text).cast("double")
-    share = lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / size
-    bits = F.aggregate(F.array_sort(F.array_distinct(characters(text))), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
-    return F.when(F.length(text) == 0, 0.0).otherwise(bits / size)
+
+    def of(text: Column) -> Column:
+        size = F.length(text).cast("double")
+        share = lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / size
+        bits = F.aggregate(F.array_sort(F.array_distinct(characters(text))), F.lit(0.0), lambda a, c: a - let(share(c), lambda p: p * F.log2(p)))
+        return F.when(F.length(text) == 0, 0.0).otherwise(bits / size)
+
+    return let(col(text), of)
 
 
 def md5_mod(text: Column | str) -> Column:
@@ -74,16 +77,18 @@ def total(values: Column | str) -> Column:
 
 def mean(values: Column | str, empty: float | None = 0.0) -> Column:
     """The mean of an array without its nulls; ``empty`` for none."""
-    values = F.array_compact(col(values))
-    return F.when(F.size(values) > 0, total(values) / F.size(values)).otherwise(F.lit(empty).cast("double"))
+    of = lambda v: F.when(F.size(v) > 0, total(v) / F.size(v)).otherwise(F.lit(empty).cast("double"))
+    return let(F.array_compact(col(values)), of)
 
 
 def deviation(values: Column | str, empty: float | None = 0.0) -> Column:
     """The population standard deviation of an array without its nulls; ``empty`` for fewer than two."""
-    values = F.array_compact(col(values))
-    average = total(values) / F.size(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x.cast("double") - average) * (x.cast("double") - average))
-    return F.when(F.size(values) > 1, F.sqrt(squares / F.size(values))).otherwise(F.lit(empty).cast("double"))
+
+    def of(v: Column) -> Column:
+        squares = lambda average: F.aggregate(v, F.lit(0.0), lambda a, x: a + (x.cast("double") - average) * (x.cast("double") - average))
+        return F.when(F.size(v) > 1, F.sqrt(let(total(v) / F.size(v), squares) / F.size(v))).otherwise(F.lit(empty).cast("double"))
+
+    return let(F.array_compact(col(values)), of)
 
 
 def smallest(values: Column | str, empty: float | None = 0.0) -> Column:
@@ -96,9 +101,12 @@ def largest(values: Column | str, empty: float | None = 0.0) -> Column:
 
 def value_entropy(values: Column | str) -> Column:
     """Shannon entropy in bits of an array's distinct values; 0 for an empty one."""
-    values = col(values)
-    share = lambda v: F.size(F.filter(values, lambda x: x == v)).cast("double") / F.size(values)
-    return F.aggregate(F.array_sort(F.array_distinct(values)), F.lit(0.0), lambda a, v: a - share(v) * F.log2(share(v)))
+
+    def of(values: Column) -> Column:
+        share = lambda v: F.size(F.filter(values, lambda x: x == v)).cast("double") / F.size(values)
+        return F.aggregate(F.array_sort(F.array_distinct(values)), F.lit(0.0), lambda a, v: a - let(share(v), lambda p: p * F.log2(p)))
+
+    return let(col(values), of)
 
 
 def longest_run(text: Column | str, pattern: str) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from harrier.functions.text import deviation
 from harrier.functions.urls import normalize_url, url_parts
 from harrier.operators.domain_features import country_hash, dns_features, geo_features, rdap_domain_features
 from harrier.operators.url_features import url_features
@@ -67,3 +68,13 @@ def test_margin_of_a_half_still_exits_at_certainty(spark):
 def test_missing_and_not_a_number_are_zero(spark):
     df = spark.createDataFrame([(1, float("nan"), None, True, "x")], "id int, a double, b double, c boolean, d string")
     assert tuple(align(df, ["a", "b", "c", "d", "e"]).first()) == (0.0, 0.0, 1.0, 0.0, 0.0)
+
+
+def test_deviation_is_linear(spark):
+    """The mean of 20,000 values is computed once, not for each of them (which took minutes)."""
+    import time
+
+    began = time.monotonic()
+    got = spark.range(1, 20_001).agg(F.collect_list("id").alias("v")).select(deviation("v"), deviation(F.transform("v", lambda x: x * 2.0)), deviation(F.array(F.lit(None).cast("double"), F.lit(3.0)))).first()
+    assert [round(x, 3) for x in got] == [5773.503, 11547.005, 0.0]
+    assert time.monotonic() - began < 30
