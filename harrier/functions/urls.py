@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harrier.functions.suffixes import SuffixRules, split_by_rules
-from harrier.functions.text import col
+from harrier.functions.text import col, let
 
 #: A small default; pass a full public suffix list for real data.
 SUFFIXES = (
@@ -57,19 +57,23 @@ def host_parts(host: Column | str, suffixes: Sequence[str] | SuffixRules = SUFFI
     """
     if isinstance(suffixes, SuffixRules):
         return split_by_rules(col(host), suffixes)
-    host = F.lower(col(host))
-    labels = F.split(host, r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("tail")))
-    found = F.get(F.filter(tails, lambda t: t["tail"].isin(*suffixes)), F.lit(0))
-    at = F.coalesce(found["i"], F.size(labels) + 1)
-    address = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    join = lambda first, n: F.when(n > 0, F.array_join(F.slice(labels, first, F.greatest(n, F.lit(0))), ".")).otherwise("")
-    parts = F.struct(
-        join(F.lit(1), at - 2).alias("subdomain"),
-        F.when(at > 1, F.get(labels, at - 2)).otherwise("").alias("domain"),
-        F.coalesce(found["tail"], F.lit("")).alias("suffix"),
-    )
-    return F.when(address, F.struct(F.lit("").alias("subdomain"), host.alias("domain"), F.lit("").alias("suffix"))).otherwise(parts)
+    join = lambda labels, first, n: F.when(n > 0, F.array_join(F.slice(labels, first, F.greatest(n, F.lit(0))), ".")).otherwise("")
+
+    def first_tail(labels: Column) -> Column:
+        tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("tail")))
+        return F.get(F.filter(tails, lambda t: t["tail"].isin(*suffixes)), F.lit(0))
+
+    def parts(host: Column, labels: Column, found: Column) -> Column:
+        at = F.coalesce(found["i"], F.size(labels) + 1)
+        split = F.struct(
+            join(labels, F.lit(1), at - 2).alias("subdomain"),
+            F.when(at > 1, F.get(labels, at - 2)).otherwise("").alias("domain"),
+            F.coalesce(found["tail"], F.lit("")).alias("suffix"),
+        )
+        address = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+        return F.when(address, F.struct(F.lit("").alias("subdomain"), host.alias("domain"), F.lit("").alias("suffix"))).otherwise(split)
+
+    return let(F.lower(col(host)), lambda h: let(F.split(h, r"\."), lambda labels: let(first_tail(labels), lambda found: parts(h, labels, found))))
 
 
 def path_after_suffix(url: Column | str, suffix: Column | str) -> Column:

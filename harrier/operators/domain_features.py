@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrier.functions.text import col, count_matches, deviation, digit_count, entropy_by_length, largest, longest_run, mean, ratio, simhash32, smallest, total, value_entropy
+from harrier.functions.text import col, count_matches, deviation, digit_count, entropy_by_length, largest, let, longest_run, mean, ratio, simhash32, smallest, total, value_entropy
 from harrier.functions.urls import SUFFIXES, host_parts
 
 # Fixed values.
@@ -82,7 +82,7 @@ def record_errors(df: DataFrame, record: str = "record") -> Column:
 def subdomain_count(name: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     """Labels above the registered domain, less one if "www" is among them."""
     labels = F.filter(F.split(host_parts(name, suffixes)["subdomain"], r"\."), lambda x: x != "")
-    return (F.size(labels) - F.array_contains(labels, "www").cast("int")).cast("long")
+    return let(labels, lambda x: (F.size(x) - F.array_contains(x, "www").cast("int")).cast("long"))
 
 
 def _name(prefix: str, text: Column, suffixes: Sequence[str]) -> dict[str, Column]:
@@ -95,15 +95,15 @@ def dns_features(df: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame
     count |= {f"dns_{c}_count": F.col(f"dns_{c}").isNotNull().cast("long") for c in ("SOA", "CNAME")}
     kinds = sum((F.col(f"dns_{c}").isNotNull().cast("long") for c in ("AAAA", "CNAME", "MX", "NS", "TXT", "SOA")), F.col("dns_A").isNotNull().cast("long"))
     out = df.withColumns({"dns_dnssec_score": F.lit(0.0), **_name("dns_zone", F.col("dns_zone"), suffixes), **count, "dns_resolved_record_types": kinds})
-    ttls = F.array_compact(F.map_values("dns_ttls"))
+    soa = F.when(F.col("dns_SOA").isNull() & (F.col("dns_zone_level") > 0), F.col("dns_zone_SOA")).otherwise(F.col("dns_SOA"))
+    helpers = {"__soa": soa, "__ttls": F.array_compact(F.map_values("dns_ttls")), "__names": F.transform("dns_MX", lambda m: m["name"]), "__written": F.filter("dns_TXT", lambda t: F.length(t) > 0)}
+    out = out.withColumns(helpers)
+    ttls, names, written = F.col("__ttls"), F.col("__names"), F.col("__written")
     share = lambda test: F.size(F.filter(ttls, test)).cast("double") / F.size(ttls)
     some = F.coalesce(F.size(ttls), F.lit(0)) > 0
-    soa = F.when(F.col("dns_SOA").isNull() & (F.col("dns_zone_level") > 0), F.col("dns_zone_SOA")).otherwise(F.col("dns_SOA"))
-    out = out.withColumn("__soa", soa)
-    names = F.transform("dns_MX", lambda m: m["name"])
-    written = F.filter("dns_TXT", lambda t: F.length(t) > 0)
     entropies = total(F.transform(written, entropy_by_length))
-    hits = F.aggregate(written, F.lit(0), lambda a, t: a + sum((F.contains(F.lower(t), F.lit(v)).cast("int") for v in VERIFIERS[1:]), F.contains(F.lower(t), F.lit(VERIFIERS[0])).cast("int")))
+    marks = lambda t: sum((F.contains(t, F.lit(v)).cast("int") for v in VERIFIERS[1:]), F.contains(t, F.lit(VERIFIERS[0])).cast("int"))
+    hits = F.aggregate(F.transform(written, F.lower), F.lit(0), lambda a, t: a + marks(t))
     features = {
         "dns_ttl_avg": F.when(some, mean(ttls)),
         "dns_ttl_stdev": F.when(some, deviation(ttls)),
@@ -117,11 +117,11 @@ def dns_features(df: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame
         "dns_mx_avg_len": F.when(F.size("dns_MX") > 0, mean(F.transform(names, F.length))),
         "dns_mx_avg_entropy": F.when(F.size("dns_MX") > 0, mean(F.transform(names, entropy_by_length))),
         "dns_txt_avg_len": F.when(F.col("dns_TXT").isNotNull(), F.coalesce(F.try_divide(total(F.transform(written, F.length)), F.size("dns_TXT")), F.lit(0.0))),
-        "dns_txt_avg_entropy": F.when(entropies > 0, entropies / F.size(written)),
+        "dns_txt_avg_entropy": let(entropies, lambda e: F.when(e > 0, e / F.size(written))),
         "dns_txt_external_verification_score": F.coalesce(hits, F.lit(0)).cast("double"),
         **{f"dns_txt_{c}_exists": F.coalesce(F.col(f"dns_email_extras.{c}"), F.lit(False)).cast("long") for c in ("spf", "dkim", "dmarc")},
     }
-    return out.withColumns(features).drop("__soa")
+    return out.withColumns(features).drop(*helpers)
 
 
 def ipv4_number(ip: Column) -> Column:

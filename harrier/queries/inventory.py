@@ -23,7 +23,7 @@ AS_OF = "1998-12-01 00:00:00"
 
 def domain_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and a nested record for each customer."""
-    c, K = _read(spark, sf_dir, "customer"), F.col("c_custkey")  # noqa: N806
+    c, K = spread(_read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")), F.col("c_custkey")  # noqa: N806
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     when = lambda test, value: F.when(F.expr(test), value)
     authority = F.struct(text("ns", K % 3, ".example.com").alias("primary_ns"), F.lit("admin.example.com").alias("resp_mailbox_dname"), (K % 7 * 100).alias("refresh"), F.lit(900).cast("long").alias("retry"), (K % 5).alias("expire"), F.lit(60).cast("long").alias("min_ttl"))

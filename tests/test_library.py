@@ -325,3 +325,16 @@ def test_models(spark):
     parts = models.nested_split(df.withColumn("yb", F.col("y") > 0), "grp", "yb", 1)
     assert parts.count() == 300 and models.leaks(parts, "grp").count() == 0 and parts.select("part").distinct().count() == 3
     assert 40 <= models.holdout(df, "id").where("held_out").count() <= 80
+
+
+def test_record_features_name_their_inputs_once(spark, sf):
+    """Labels of a name are split once for each use of a name (the plan had 140 splits), and rows are dealt over the cores."""
+    from harrier.queries.inventory import dns_record_features
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = dns_record_features(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count(" split(") + plan.count("(split(") <= 16, plan.count("split(")
+    assert plan.count("Repartition") == 1
