@@ -13,9 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrier.plans import blocks
 from harrier.plans.models import SEED, align
 from harrier.sources.store import shared_folder
 
@@ -36,14 +38,7 @@ class Tree:
     value: list[float] = field(default_factory=lambda: [0.0])
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
-        feature, cut, left = np.array(self.feature), np.array(self.cut), np.array(self.left)
-        at = np.zeros(len(bins), dtype=np.int64)
-        while True:
-            inner = np.flatnonzero(feature[at] >= 0)
-            if not len(inner):
-                return at
-            here = at[inner]
-            at[inner] = left[here] + (bins[inner, feature[here]] > cut[here])
+        return blocks.descend(bins, 0, np.array(self.feature), np.array(self.cut), np.array(self.left))
 
 
 @dataclass
@@ -59,7 +54,7 @@ class Boosted:
 
 def binned(x: np.ndarray, edges: list[list[float]]) -> np.ndarray:
     """The bin of each value: how many edges lie below it."""
-    return np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)], axis=1)
+    return np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)]).T
 
 
 def sampled(keys: np.ndarray, tree: int, share: float, seed: int) -> np.ndarray:
@@ -72,9 +67,9 @@ def sampled(keys: np.ndarray, tree: int, share: float, seed: int) -> np.ndarray:
 
 
 def derivatives(margin: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """First and second derivative of the logistic loss, in fixed point."""
+    """First and second derivative of the logistic loss, in fixed point (whole numbers in doubles)."""
     p = 1 / (1 + np.exp(-margin))
-    return np.rint(np.stack([p - y, p * (1 - p)], axis=1) * UNIT).astype(np.int64)
+    return np.rint(np.stack([p - y, p * (1 - p)]) * UNIT)
 
 
 def best_splits(sums: np.ndarray, allowed: np.ndarray, penalty: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,24 +89,30 @@ def best_splits(sums: np.ndarray, allowed: np.ndarray, penalty: float, least: fl
     return at // gain.shape[2], at % gain.shape[2], flat[np.arange(len(flat)), at], value
 
 
+#: The arrays of a block: hashed keys, labels, bins (features by rows) and margins.
+BLOCK, KINDS = ("key", "y", "bins", "margin"), (np.int64, np.int8, np.int16, np.float64)
+
+
 def _sums(rows: DataFrame, model: Boosted, tree: Tree, nodes: range, first: int, share: float, seed: int) -> np.ndarray:
     number, width, bins = len(model.trees), len(model.columns), max(len(e) for e in model.edges) + 1
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros((len(nodes) * width * bins, 2), dtype=np.int64)
-        for frame in frames:
-            frame = frame[sampled(frame["key"].to_numpy(), number, share, seed)]
-            if len(frame):
-                b = np.stack(frame["bins"].to_numpy()).astype(np.int64)
-                d = derivatives(frame["margin"].to_numpy() + model.margin(b, first), frame["y"].to_numpy())
-                node = tree.leaves(b) - nodes.start
-                here = node >= 0
-                slots = (node[here, None] * width + np.arange(width)) * bins + b[here]
-                np.add.at(out, slots.ravel(), np.repeat(d[here], width, axis=0))
-        seen = np.flatnonzero(out.any(axis=1))
-        yield pd.DataFrame({"slot": seen, "g": out[seen, 0], "h": out[seen, 1]})
-
-    table = rows.mapInPandas(task, "slot long, g long, h long").groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, len(nodes), width, bins), dtype=np.int64)
+        for key, y, b, margin in blocks.arrays(batches, KINDS):
+            b = b.reshape(width, -1)
+            node = tree.leaves(b.T) - nodes.start
+            here = np.flatnonzero((node >= 0) & sampled(key, number, share, seed))
+            if len(here):
+                b = b.take(here, axis=1)
+                d, at = derivatives(margin[here] + model.margin(b.T, first), y[here]), node[here] * bins
+                for f in range(width):
+                    for i in (0, 1):  # a block's sums of whole numbers are exact in doubles
+                        out[i, :, f] += np.bincount(at + b[f], weights=d[i], minlength=len(nodes) * bins).astype(np.int64).reshape(len(nodes), bins)
+        g, h = out.reshape(2, -1)
+        seen = np.flatnonzero((g != 0) | (h != 0))
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (seen, g[seen], h[seen])], ["slot", "g", "h"])
+
+    table = rows.mapInArrow(task, "slot long, g long, h long").groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
     out = np.zeros((len(nodes) * width * bins, 2), dtype=np.int64)
     out[table["slot"], 0], out[table["slot"], 1] = table["g"], table["h"]
     return out.reshape(len(nodes), width, bins, 2)
@@ -126,20 +127,21 @@ def train(
     ``key`` is a column that tells rows apart; rows of one key are sampled together. Needs rows of both classes.
     """
     carried = align(df.where(F.col(f"`{label}`").isNotNull()), columns, [label, key] if key != label else [label])
-    rows = carried.select(F.xxhash64(F.col(f"`{key}`")).alias("key"), F.array(*(F.col(f"`{c}`") for c in columns)).alias("x"), F.col(f"`{label}`").cast("int").alias("y"))
+    features = [f"f{i}" for i in range(len(columns))]
+    rows = carried.select(F.xxhash64(F.col(f"`{key}`")).alias("key"), F.col(f"`{label}`").cast("int").alias("y"), *(F.col(f"`{c}`").alias(f) for c, f in zip(columns, features, strict=True)))
     if rows.select(F.countDistinct("y")).first()[0] != 2:
         raise ValueError("training needs rows of both classes")
     shared_folder(df.sparkSession)
     at = F.array(*(F.lit(i / BINS) for i in range(1, BINS)))
-    cuts = rows.agg(*(F.percentile_approx(F.col("x")[i], at, F.lit(ACCURACY)).alias(f"e{i}") for i in range(len(columns)))).first()
+    cuts = rows.agg(*(F.percentile_approx(f, at, F.lit(ACCURACY)).alias(f) for f in features)).first()
     model = Boosted(list(columns), [sorted(set(e)) for e in cuts], rate)
     edges = model.edges
 
-    @F.pandas_udf("array<short>")
-    def bins(x: pd.Series) -> pd.Series:
-        return pd.Series(list(binned(np.stack(x.to_numpy()), edges).astype(np.int16)) if len(x) else [])
+    def block(batch: list[np.ndarray]) -> list[np.ndarray]:
+        key, y, *x = batch
+        return [key, y.astype(np.int8), np.stack([np.searchsorted(e, v, side="left") for e, v in zip(edges, x, strict=True)]).astype(np.int16), np.zeros(len(y))]
 
-    rows, first = rows.select("key", "y", bins("x").alias("bins"), F.lit(0.0).alias("margin")).checkpoint(), 0
+    rows, first = blocks.pack(rows, block, BLOCK).checkpoint(), 0
     for t in range(n_trees):
         if t - first == REFRESH:
             rows, first = _with_margin(rows, model, first).checkpoint(), t
@@ -164,19 +166,22 @@ def train(
 
 
 def _with_margin(rows: DataFrame, model: Boosted, first: int) -> DataFrame:
-    @F.pandas_udf("double")
-    def margin(bins: pd.Series, before: pd.Series) -> pd.Series:
-        return before + model.margin(np.stack(bins.to_numpy()).astype(np.int64), first) if len(bins) else before
+    width = len(model.columns)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks.arrays(batches, KINDS):
+            new = [*block[:3], block[3] + model.margin(block[2].reshape(width, -1).T, first)]
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in new], list(BLOCK))
 
-    return rows.withColumn("margin", margin("bins", "margin"))
+    return rows.mapInArrow(task, rows.schema)
 
 
 def predict(df: DataFrame, model: Boosted, keep: Sequence[str], name: str = "probability") -> DataFrame:
     """``keep`` and the probability of the positive class."""
 
     @F.pandas_udf("double")
-    def probability(x: pd.Series) -> pd.Series:
-        return pd.Series(1 / (1 + np.exp(-model.margin(binned(np.stack(x.to_numpy()), model.edges)))) if len(x) else np.zeros(0))
+    def probability(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(1 / (1 + np.exp(-model.margin(binned(x.to_numpy(), model.edges)))) if len(x) else np.zeros(0))
 
     rows = align(df, model.columns, keep)
-    return rows.select(*(F.col(f"`{k}`") for k in keep), probability(F.array(*(F.col(f"`{c}`") for c in model.columns))).alias(name))
+    return rows.select(*(F.col(f"`{k}`") for k in keep), probability(F.struct(*(F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(model.columns)))).alias(name))
