@@ -15,9 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrier.plans import blocks
 from harrier.plans.models import SEED, align
 from harrier.sources.store import shared_folder
 
@@ -38,14 +40,7 @@ class ExtraTrees:
 
     def leaves(self, x: np.ndarray, tree: int) -> np.ndarray:
         """The node of a tree that each row ends in."""
-        at = np.full(len(x), tree)
-        while True:
-            f = self.feature[at]
-            inner = np.flatnonzero(f >= 0)
-            if not len(inner):
-                return at
-            here = at[inner]
-            at[inner] = self.left[here] + (x[inner, f[inner]] > self.threshold[here])
+        return blocks.descend(x, tree, self.feature, self.threshold, self.left)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return sum((self.value[self.leaves(x, t)] for t in range(self.n_trees)), np.zeros(len(x))) / self.n_trees
@@ -58,31 +53,47 @@ def _drawn(seed: int, node: int, width: int, k: int) -> tuple[np.ndarray, np.nda
     return features, rng.random(len(features))
 
 
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for frame in frames:
-        if len(frame):
-            yield np.stack(frame["x"].to_numpy()).astype(np.float64), frame["y"].to_numpy().astype(np.int64)
+#: The arrays of a block: features (features by rows) and labels.
+BLOCK, KINDS = ("x", "y"), (np.float64, np.int8)
+
+
+def _met(batches: Iterator[pa.RecordBatch], model: ExtraTrees, trees: range, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block and tree that has rows in open nodes: features, labels, and those rows with the places of their nodes, by place."""
+    for x, y in blocks.arrays(batches, KINDS):
+        x = x.reshape(len(model.columns), -1)
+        for t in trees:
+            p = place.take(model.leaves(x.T, t))
+            order = np.argsort(p, kind="stable")  # of 16 bits: by radix
+            order = order[np.count_nonzero(p < 0) :]
+            if len(order):
+                yield x, y, order, p.take(order).astype(np.int64)
+
+
+def _places(model: ExtraTrees, open_nodes: np.ndarray) -> np.ndarray:
+    place = np.full(len(model.feature), -1, dtype=np.int16 if len(open_nodes) < 2**15 else np.int32)
+    place[open_nodes] = np.arange(len(open_nodes))
+    return place
 
 
 def _ranges(rows: DataFrame, model: ExtraTrees, trees: range, open_nodes: np.ndarray, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The least and the largest value of each candidate feature among the rows of each open node; infinite where there are none."""
-    place = np.full(len(model.feature), -1)
-    place[open_nodes] = np.arange(len(open_nodes))
-    width = candidates.shape[1]
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lo, hi = np.full(candidates.shape, np.inf), np.full(candidates.shape, -np.inf)
-        for x, _ in _batches(frames):
-            for t in trees:
-                p = place[model.leaves(x, t)]
-                at = np.flatnonzero(p >= 0)
-                values = x[at[:, None], candidates[p[at]]]
-                np.minimum.at(lo, p[at], values)
-                np.maximum.at(hi, p[at], values)
-        seen = np.flatnonzero(np.isfinite(lo.ravel()))
-        yield pd.DataFrame({"slot": seen, "lo": lo.ravel()[seen], "hi": hi.ravel()[seen]})
-
-    out = rows.mapInPandas(task, "slot long, lo double, hi double").groupBy("slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    place, width = _places(model, open_nodes), candidates.shape[1]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo, hi = np.full(candidates.T.shape, np.inf), np.full(candidates.T.shape, -np.inf)
+        for x, _, row, p in _met(batches, model, trees, place):
+            flat, n = x.ravel(), x.shape[1]
+            starts = np.flatnonzero(np.diff(p, prepend=-1))
+            node = p[starts]
+            for j in range(width):
+                values = flat.take(candidates[:, j].take(p) * n + row)
+                lo[j, node] = np.minimum(lo[j, node], np.minimum.reduceat(values, starts))
+                hi[j, node] = np.maximum(hi[j, node], np.maximum.reduceat(values, starts))
+        lo, hi = lo.T.ravel(), hi.T.ravel()
+        seen = np.flatnonzero(np.isfinite(lo))
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (seen, lo[seen], hi[seen])], ["slot", "lo", "hi"])
+
+    out = rows.mapInArrow(task, "slot long, lo double, hi double").groupBy("slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     table = out.toPandas()  # two numbers for each candidate of an open node
     lo, hi = np.full(candidates.size, np.inf), np.full(candidates.size, -np.inf)
     lo[table["slot"]], hi[table["slot"]] = table["lo"], table["hi"]
@@ -91,24 +102,26 @@ def _ranges(rows: DataFrame, model: ExtraTrees, trees: range, open_nodes: np.nda
 
 def _counts(rows: DataFrame, model: ExtraTrees, trees: range, open_nodes: np.ndarray, candidates: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     """(rows, positives) to the left of each threshold and, in the last place, of each node in all."""
-    place = np.full(len(model.feature), -1)
-    place[open_nodes] = np.arange(len(open_nodes))
+    place = _places(model, open_nodes)
     shape = (len(open_nodes), candidates.shape[1] + 1, 2)
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(shape, dtype=np.int64)
-        for x, y in _batches(frames):
-            for t in trees:
-                p = place[model.leaves(x, t)]
-                at = np.flatnonzero(p >= 0)
-                left = x[at[:, None], candidates[p[at]]] <= thresholds[p[at]]
-                both = np.concatenate([left, np.ones((len(at), 1), dtype=bool)], axis=1).astype(np.int64)
-                np.add.at(sums, p[at], np.stack([both, both * y[at, None]], axis=2))
+        for x, y, row, p in _met(batches, model, trees, place):
+            flat, n = x.ravel(), x.shape[1]
+            code = p * 4 + y.take(row)
+            for j in range(shape[1] - 1):
+                left = flat.take(candidates[:, j].take(p) * n + row) <= thresholds[:, j].take(p)
+                cells = np.bincount(code + 2 * left, minlength=4 * shape[0]).reshape(-1, 2, 2)  # node, left, class
+                sums[:, j, 0] += cells[:, 1].sum(axis=1)
+                sums[:, j, 1] += cells[:, 1, 1]
+            sums[:, -1, 0] += cells.sum(axis=(1, 2))
+            sums[:, -1, 1] += cells[:, :, 1].sum(axis=1)
         flat = sums.reshape(-1, 2)
         seen = np.flatnonzero(flat[:, 0])
-        yield pd.DataFrame({"slot": seen, "n": flat[seen, 0], "pos": flat[seen, 1]})
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (seen, flat[seen, 0], flat[seen, 1])], ["slot", "n", "pos"])
 
-    table = rows.mapInPandas(task, "slot long, n long, pos long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toPandas()
+    table = rows.mapInArrow(task, "slot long, n long, pos long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toPandas()
     sums = np.zeros((shape[0] * shape[1], 2), dtype=np.int64)
     sums[table["slot"], 0], sums[table["slot"], 1] = table["n"], table["pos"]
     return sums.reshape(shape)
@@ -137,9 +150,9 @@ def train(df: DataFrame, columns: Sequence[str], label: str, n_trees: int = 300,
     all that were drawn are constant, one class is left, or fewer than ``least_rows`` rows. Needs rows of both classes.
     """
     labelled = align(df.where(F.col(f"`{label}`").isNotNull()), columns, [label])
-    rows = labelled.select(F.array(*(F.col(f"`{c}`") for c in columns)).alias("x"), F.col(f"`{label}`").cast("int").alias("y"))
+    rows = labelled.select(F.col(f"`{label}`").cast("int").alias("y"), *(F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(columns)))
     shared_folder(df.sparkSession)
-    rows = rows.checkpoint()  # features are computed once, not in each pass
+    packed = blocks.pack(rows, lambda batch: [np.stack(batch[1:]), batch[0].astype(np.int8)], BLOCK).checkpoint()  # features are computed once, not in each pass
     if rows.select(F.countDistinct("y")).first()[0] != 2:
         raise ValueError("training needs rows of both classes")
     width = len(columns)
@@ -151,12 +164,12 @@ def train(df: DataFrame, columns: Sequence[str], label: str, n_trees: int = 300,
         for level in range(depth + 1):
             drawn = [_drawn(seed, int(node), width, k) for node in open_nodes]
             candidates, places = np.stack([f for f, _ in drawn]), np.stack([p for _, p in drawn])
-            lo, hi = _ranges(rows, model, trees, open_nodes, candidates)
+            lo, hi = _ranges(packed, model, trees, open_nodes, candidates)
             differs = hi > lo
             usable = differs & (np.cumsum(differs, axis=1) <= k)
             with np.errstate(invalid="ignore"):
                 thresholds = np.where(usable, np.minimum(lo + places * (hi - lo), np.nextafter(hi, -np.inf)), 0.0)
-            counts = _counts(rows, model, trees, open_nodes, candidates, thresholds)
+            counts = _counts(packed, model, trees, open_nodes, candidates, thresholds)
             total, positives = counts[:, -1, 0], counts[:, -1, 1]
             model.value[open_nodes] = positives / np.maximum(total, 1)
             best, splits = choose(counts, usable)
@@ -179,11 +192,11 @@ def predict(df: DataFrame, model: ExtraTrees, keep: Sequence[str], name: str = "
     """``keep`` and the mean over trees of the share of positives in a row's leaf."""
 
     @F.pandas_udf("double")
-    def probability(x: pd.Series) -> pd.Series:
-        return pd.Series(model.probability(np.stack(x.to_numpy()).astype(np.float64)) if len(x) else np.zeros(0))
+    def probability(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(model.probability(x.to_numpy()) if len(x) else np.zeros(0))
 
     rows = align(df, model.columns, keep)
-    return rows.select(*(F.col(f"`{k}`") for k in keep), probability(F.array(*(F.col(f"`{c}`") for c in model.columns))).alias(name))
+    return rows.select(*(F.col(f"`{k}`") for k in keep), probability(F.struct(*(F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(model.columns)))).alias(name))
 
 
 def save(model: ExtraTrees, path: str) -> None:
